@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inputlens.llm import bpe
+from inputlens.llm import bpe, packing, training_order
+from inputlens.llm.common import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all documents' token sequences as shards in training order; one row for each record read back."""
+    path = f"{shared_dir(spark)}/inputlens-shards-{uuid.uuid4().hex}"
+    training_order.write_shards(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), key=20_240_229)
+    return training_order.with_crc(training_order.read_shards(spark, path))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of byte_bpe_50k.json come from the same vocabulary in rank form; id 2 ends a document."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), end_id=2)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text; rows that repeat stay as often as they are."""
     docs = table(spark, sf_dir, "documents")
@@ -21,5 +36,9 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 
-QUERIES = {"op9_byte_bpe": op9_byte_bpe}
+QUERIES = {
+    "op5_training_order": op5_training_order,
+    "op7_packing": op7_packing,
+    "op9_byte_bpe": op9_byte_bpe,
+}
 ORACLE_SQL: dict[str, str] = {}
