@@ -85,6 +85,14 @@ class _Powers:
 _POWERS = {seed: _Powers(0x9E3779B97F4A7C15 + 2 * seed * 0x632BE59BD9B4E019 & ((1 << 64) - 1) | 1) for seed in (1, 2)}
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int, lower: bool) -> np.ndarray:
+    """A 64-bit hash of each byte span, equal for equal bytes wherever they stand; ``lower`` folds A-Z."""
+    up, down = _POWERS[seed](len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_byte_table(seed, lower)[data] * up[:-1], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 class Words:
     """Words of several documents: ``bounds[i]:bounds[i+1]`` are document i's words, with byte spans and hashes."""
 
@@ -105,13 +113,7 @@ class Words:
         self.text = data
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.bounds = np.searchsorted(self.starts, offsets)
-        self.hashes = []
-        for seed in seeds:
-            up, down = _POWERS[seed](len(data) + 1)
-            total = np.zeros(len(data) + 1, dtype=np.uint64)
-            np.cumsum(_byte_table(seed, lower)[data] * up[:-1], out=total[1:])
-            value = (total[self.ends] - total[self.starts]) * down[self.starts]
-            self.hashes.append(mix(value + (self.ends - self.starts).astype(np.uint64)))
+        self.hashes = [span_hashes(data, self.starts, self.ends, seed, lower) for seed in seeds]
 
 
 def hashed_words(column, seeds: tuple[int, ...] = (1,), lower: bool = False) -> Iterator[tuple[int, int, Words]]:
