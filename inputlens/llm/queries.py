@@ -8,14 +8,47 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inputlens.llm import bpe, packing, training_order
-from inputlens.llm.common import shared_dir
+from inputlens.llm import bpe, lang_id, packing, quality_knn, toxicity, training_order
+from inputlens.llm.common import crc_bucket, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, label: str) -> DataFrame:
+    """doc_id, text and one label of ``labels``; an id with several labels has a row for each."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label"))
+    return docs.select("doc_id", "text").join(labels, "doc_id")
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn from texts and languages outside the held-out fold; predict every text."""
+    docs = table(spark, sf_dir, "documents")
+    fold = crc_bucket(F.col("doc_id"), 5)
+    model = lang_id.fit(docs.filter(fold != 0))
+    found = docs.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), lang_id.predict(F.col("text"), model).alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.rejected").alias("rejected"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn ``labels.toxic`` outside the held-out fold; score every text."""
+    docs = table(spark, sf_dir, "documents")
+    fold = crc_bucket(F.col("doc_id"), 3)
+    model = toxicity.fit(labelled(spark, sf_dir, docs.filter(fold != 1), "toxic"))
+    found = docs.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), toxicity.predict(F.col("text"), model).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn ``labels.quality`` outside the held-out fold; score every text."""
+    docs = table(spark, sf_dir, "documents")
+    fold = crc_bucket(F.col("doc_id"), 5)
+    model = quality_knn.fit(labelled(spark, sf_dir, docs.filter(fold != 0), "quality"))
+    found = docs.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), quality_knn.predict(F.col("text"), model).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents' token sequences as shards in training order; one row for each record read back."""
     path = f"{shared_dir(spark)}/inputlens-shards-{uuid.uuid4().hex}"
@@ -37,7 +70,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language": op2_language,
+    "op3_toxicity": op3_toxicity,
     "op5_training_order": op5_training_order,
+    "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op9_byte_bpe": op9_byte_bpe,
 }
