@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inputlens.llm import bpe, lang_id, packing, quality_knn, toxicity, training_order
+from inputlens.llm import ann_tree, bpe, lang_id, packing, quality_knn, topk_bitslice, toxicity, training_order
 from inputlens.llm.common import crc_bucket, shared_dir
 
 
@@ -49,6 +49,16 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top 5 integer inner products of every vector whose id is divisible by 50."""
+    return topk_bitslice.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20."""
+    return ann_tree.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents' token sequences as shards in training order; one row for each record read back."""
     path = f"{shared_dir(spark)}/inputlens-shards-{uuid.uuid4().hex}"
@@ -72,9 +82,24 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_language": op2_language,
     "op3_toxicity": op3_toxicity,
+    "op4_topk": op4_topk,
     "op5_training_order": op5_training_order,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
+    "op8_nearest": op8_nearest,
     "op9_byte_bpe": op9_byte_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, e -> CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, e -> e IS NULL OR NOT isfinite(e))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+    CAST(list_sum(list_transform(list_zip(a.q, b.q), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+""",
+}
