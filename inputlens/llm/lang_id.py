@@ -41,8 +41,11 @@ def fit(labelled: DataFrame) -> dict[str, list[bytes]]:
     SAMPLE_DOCS, the first SAMPLE_CHARS characters of each. Everything else covers all rows."""
     labelled = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    sample = labelled.join(counts, "lang").filter(place * F.col("n") < SAMPLE_DOCS)
+    counts = labelled.groupBy("lang").count().collect()  # a row for each language
+    if not counts:
+        return {}
+    share = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, SAMPLE_DOCS / n)])
+    sample = labelled.filter(place < share[F.col("lang")])
     rows = sample.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), place.alias("place")).collect()
     by: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.place, r.text)):
