@@ -41,6 +41,22 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, of_each: int, chars: int) -> tuple[list, dict[int, int]]:
+    """A bounded sample for fitting: of each label (0, 1) about ``of_each`` documents, those whose hashed id falls
+    under a share; rows (doc_id, place, label, text) in order of place, and the number of labelled ids by label.
+
+    ``labels`` has doc_id and label; an id with several labels counts with the highest, null labels don't count.
+    The chosen ids, at most some 2 * of_each, are broadcast; texts are cut at ``chars`` characters here only."""
+    labels = labels.filter("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
+    sizes = {r[0]: r[1] for r in labels.groupBy("label").count().collect()}
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    share = F.when(F.col("label") == 1, of_each / max(1, sizes.get(1, 0))).otherwise(of_each / max(1, sizes.get(0, 0)))
+    chosen = labels.withColumn("place", place).filter(F.col("place") < share)
+    rows = docs.select("doc_id", F.substring("text", 1, chars).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.dropDuplicates(["doc_id"]).select("doc_id", "place", "label", "text").collect()
+    return sorted(rows, key=lambda r: (r.place, r.doc_id)), sizes
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64-bit words (three xor-shift-multiply rounds)."""
     x = x ^ (x >> np.uint64(30))

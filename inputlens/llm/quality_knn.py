@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inputlens.llm.common import hashed_words, mix, span_hashes
+from inputlens.llm.common import hashed_words, labelled_sample, mix, span_hashes
 
 #: Labelled documents in the sample at most (about), and characters of each taken.
 SAMPLE_DOCS, SAMPLE_CHARS = 6000, 40_000
@@ -94,27 +94,22 @@ def leading_axes(x: np.ndarray, rank: int, rounds: int = 3) -> np.ndarray:
     return np.linalg.svd(q.T @ x, full_matrices=False)[2][:rank].T
 
 
-def fit(labelled: DataFrame) -> Model:
-    """Model from rows (doc_id, text, label 0/1): both classes in equal parts if there are enough of each.
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Model from the documents (doc_id, text) that ``labels`` (doc_id, label 0/1) names: both classes in equal
+    parts if there are enough of each.
 
-    A bounded sample: of either class the rows whose hashed id falls under a share that gives about half of
-    SAMPLE_DOCS, the first SAMPLE_CHARS characters of each. Without rows every score is the prior 0.5."""
-    labelled = labelled.filter("label IS NOT NULL").select("doc_id", "text", F.col("label").cast("int").alias("label"))
-    sizes = {r[0]: r[1] for r in labelled.groupBy("label").count().collect()}
-    total = sum(sizes.values())
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col("label") == 1, SAMPLE_DOCS / 2 / max(1, sizes.get(1, 0))).otherwise(SAMPLE_DOCS / 2 / max(1, sizes.get(0, 0)))
-    rows = labelled.filter(place < share).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "label").toPandas()
-    if not total or not len(rows):
+    A bounded sample: of either class about half of SAMPLE_DOCS documents, the first SAMPLE_CHARS characters of each.
+    Without rows every score is the prior 0.5."""
+    rows, sizes = labelled_sample(docs, labels, SAMPLE_DOCS // 2, SAMPLE_CHARS)
+    if not rows:
         return Model(np.ones(TERMS), np.zeros((TERMS, 1)), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
-    rows = rows.sort_values(["doc_id", "text"], kind="stable")
-    n = counts(pa.array(rows["text"], pa.string()))
+    n = counts(pa.array([r.text for r in rows], pa.string()))
     idf = np.log((1 + len(n)) / (1 + (n > 0).sum(0))) + 0.1
     x = weighted(n, idf)
     axes = leading_axes(x, RANK)
     z = x @ axes
     z /= np.maximum(1e-9, np.linalg.norm(z, axis=1, keepdims=True))
-    return Model(idf, axes, z.astype(np.float32), rows["label"].to_numpy(dtype=float), sizes.get(1, 0) / total)
+    return Model(idf, axes, z.astype(np.float32), np.array([r.label for r in rows], float), sizes.get(1, 0) / sum(sizes.values()))
 
 
 def score(model: Model, column: pa.Array) -> np.ndarray:

@@ -16,10 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, label: str) -> DataFrame:
-    """doc_id, text and one label of ``labels``; an id with several labels has a row for each."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label"))
-    return docs.select("doc_id", "text").join(labels, "doc_id")
+def labels_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select("doc_id", F.col(name).alias("label"))
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +33,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learn ``labels.toxic`` outside the held-out fold; score every text."""
     docs = table(spark, sf_dir, "documents")
     fold = crc_bucket(F.col("doc_id"), 3)
-    model = toxicity.fit(labelled(spark, sf_dir, docs.filter(fold != 1), "toxic"))
+    model = toxicity.fit(docs.filter(fold != 1), labels_of(spark, sf_dir, "toxic"))
     found = docs.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), toxicity.predict(F.col("text"), model).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
@@ -44,7 +42,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learn ``labels.quality`` outside the held-out fold; score every text."""
     docs = table(spark, sf_dir, "documents")
     fold = crc_bucket(F.col("doc_id"), 5)
-    model = quality_knn.fit(labelled(spark, sf_dir, docs.filter(fold != 0), "quality"))
+    model = quality_knn.fit(docs.filter(fold != 0), labels_of(spark, sf_dir, "quality"))
     found = docs.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), quality_knn.predict(F.col("text"), model).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
@@ -92,12 +90,12 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op4_topk": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, e -> CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, e -> e IS NULL OR NOT isfinite(e))) = 0),
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
 s AS (
   SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
-    CAST(list_sum(list_transform(list_zip(a.q, b.q), p -> p[1] * p[2])) AS BIGINT) AS score
+    CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
