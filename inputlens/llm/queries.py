@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inputlens.llm import ann_tree, bpe, lang_id, packing, quality_knn, topk_bitslice, toxicity, training_order
+from inputlens.llm import ann_tree, bpe, lang_id, packing, quality_knn, substring_dedup, topk_bitslice, toxicity, training_order
 from inputlens.llm.common import crc_bucket, shared_dir
 
 
@@ -20,6 +20,12 @@ def labels_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id", F.col(name).alias("label"))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every text once all repeated windows of 35 words are removed."""
+    done = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "dedup.n_words", "dedup.n_removed", "dedup.kept_sha256")
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learn from texts and languages outside the held-out fold; predict every text."""
     docs = table(spark, sf_dir, "documents")
@@ -78,6 +84,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_language": op2_language,
     "op3_toxicity": op3_toxicity,
     "op4_topk": op4_topk,
@@ -88,6 +95,24 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+w AS (
+  SELECT rid, i, array_to_string(words[i : i + 34], ' ') AS s
+  FROM (SELECT rid, words, unnest(range(1, len(words) - 33)) AS i FROM d)),
+r AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1),
+c AS (
+  SELECT rid, list(DISTINCT p) AS gone
+  FROM (SELECT rid, unnest(range(i, i + 35)) AS p FROM w JOIN r USING (s)) GROUP BY rid),
+k AS (
+  SELECT doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed,
+    CASE WHEN gone IS NULL THEN words
+      ELSE list_select(words, list_filter(range(1, len(words) + 1), lambda p: NOT list_contains(gone, p))) END AS kept
+  FROM d LEFT JOIN c USING (rid))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+  sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+""",
     "op4_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
