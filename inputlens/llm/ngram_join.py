@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inputlens.llm import sketch
-from inputlens.llm.common import hashed_words, mix, rolling, written
+from inputlens.llm.common import hashed_words, mix, rolling, row_key, written
 
 #: Words of a shingle and the similarity, in percent.
 SHINGLE, THRESHOLD = 5, 80
@@ -93,10 +93,13 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
             if pending:
                 counts += np.bincount(np.concatenate(pending), minlength=FREQUENCY_CELLS).astype(np.uint32)
             n = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.nulls(n, pa.binary())], names=["doc_id", "n", "node", "payload"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([zlib.compress(counts.tobytes(), 1)])], names=["doc_id", "n", "node", "payload"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.nulls(n, pa.binary())], names=names)
+        nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([*nothing, pa.array([zlib.compress(counts.tobytes(), 1)])], names=names)
 
-    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, n int, node long, payload binary"), "profile")
+    names = ["doc_id", "row_hash", "n", "node", "payload"]
+    rows = docs.select(F.col("doc_id").cast("long"), "text", row_key()["hash"].alias("row_hash"))
+    return written(rows.mapInArrow(scan, "doc_id long, row_hash long, n int, node long, payload binary"), "profile")
 
 
 def frequency_levels(payloads: DataFrame) -> np.ndarray:
@@ -283,7 +286,7 @@ def links(docs: DataFrame, profiled: DataFrame, k: int, threshold: int) -> DataF
 
 
 def similar_groups(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id and node for every row of ``docs`` (doc_id, text).
+    """doc_id, row_hash, n_shingles and component_id for every row of ``docs`` (doc_id, text).
 
     n_shingles is the size of the row's set; component_id the smallest id reachable by links, itself included. Rows
     without words (or null) have an empty set and no links; rows that repeat have equal sets, which link; null ids
@@ -291,11 +294,23 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD
     An empty table gives none."""
     profiled = profile(docs, k)
     labels = links(docs, profiled, k, threshold)
-    rows = profiled.filter("payload IS NULL").select("doc_id", "n", "node")
+    rows = profiled.filter("payload IS NULL").select("doc_id", "row_hash", "n", "node")
     nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left")
     nodes = nodes.withColumn("label", F.coalesce("label", "node"))
     names = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
     nodes = nodes.join(names, "label").select("node", "component_id")
     linked = rows.filter("n > 0").join(nodes, "node")
     alone = rows.filter("n = 0").withColumn("component_id", F.col("doc_id"))
-    return linked.unionByName(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "node")
+    return linked.unionByName(alone).select("doc_id", "row_hash", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """``docs`` (doc_id, text and any others) with one row of each group: that of the smallest id. Rows without
+    words stay; of rows that repeat (id and text) one stays."""
+    groups = similar_groups(docs, k, threshold)
+    key = F.struct(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("row_hash").alias("hash"))
+    named = groups.filter("n_shingles > 0 AND doc_id <=> component_id").groupBy("component_id").agg(F.min(key).alias("k")).select("k")
+    kept = named.unionByName(groups.filter("n_shingles = 0").select(key.alias("k")).distinct())
+    kept = kept.select(F.col("k.id").alias("__il_id"), F.col("k.hash").alias("__il_hash"))
+    keyed = docs.withColumn("__il_row", row_key()).withColumns({"__il_id": F.col("__il_row.id"), "__il_hash": F.col("__il_row.hash")})
+    return keyed.join(kept, ["__il_id", "__il_hash"], "left_semi").dropDuplicates(["__il_id", "__il_hash"]).select(docs.columns)

@@ -85,7 +85,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that links of 80 percent of their five-word shingles join."""
-    return ngram_join.similar_groups(table(spark, sf_dir, "documents")).drop("node")
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents")).drop("row_hash")
 
 
 QUERIES = {

@@ -15,11 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inputlens.llm import sketch
-from inputlens.llm.common import SEPARATORS, Words, hashed_words, rolling, written
+from inputlens.llm.common import SEPARATORS, Words, hashed_words, rolling, row_key, written
 
 WINDOW, ANCHOR = 35, 8
 #: Bytes of text to an anchor, roughly (sizes the sketch; only its speed depends on it).
@@ -93,11 +93,6 @@ def _hashes(words: Words, places: np.ndarray, window: int) -> np.ndarray:
     return rolling(words.hashes[0], min(ANCHOR, window))[places] if len(places) else np.zeros(0, dtype=np.uint64)
 
 
-def row_key(text: str = "text", doc_id: str = "doc_id") -> Column:
-    """Key of a row: its id and a hash of id and text. Rows that repeat share it, and all that follows from it."""
-    return F.struct(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("id"), F.xxhash64(F.col(doc_id).isNull(), doc_id, text).alias("hash"))
-
-
 def dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
     """``docs`` (doc_id, text and any others) with a struct ``dedup``: n_words, n_removed, kept_sha256 (hex, of the kept
     words joined by one space) and, on request, kept_text: the text itself if nothing is removed, else those words
