@@ -160,17 +160,21 @@ def hashed_words(column, seeds: tuple[int, ...] = (1,), lower: bool = False) ->
         at = to
 
 
-def rolling(hashes: np.ndarray, k: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
-    """Hashes of every ``k`` consecutive values; entry i covers i..i+k-1 (length n-k+1)."""
-    n = len(hashes) - k + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    powers = np.multiply.accumulate(np.full(len(hashes) + 1, base, dtype=np.uint64))
-    inverse = pow(base, -1, 1 << 64)
-    down = np.multiply.accumulate(np.full(len(hashes) + 1, inverse, dtype=np.uint64))
+_SPANS = _Powers(0xD6E8FEB86659FD93)
+
+
+def joined_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each run ``starts[i]:ends[i]`` of ``hashes``, equal for equal runs wherever they stand."""
+    up, down = _SPANS(len(hashes) + 1)
     total = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    np.cumsum(hashes * powers[:-1], out=total[1:])
-    return mix((total[k:] - total[:-k]) * down[:n])
+    np.cumsum(hashes * up[:-1], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of every ``k`` consecutive values; entry i covers i..i+k-1 (length n-k+1)."""
+    starts = np.arange(max(0, len(hashes) - k + 1))
+    return joined_hashes(hashes, starts, starts + k)
 
 
 @functools.cache

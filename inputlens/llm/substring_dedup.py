@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inputlens.llm import sketch
-from inputlens.llm.common import SEPARATORS, Words, hashed_words, rolling, row_key, written
+from inputlens.llm.common import SEPARATORS, Words, hashed_words, joined_hashes, mix, rolling, row_key, written
 
 WINDOW, ANCHOR = 35, 8
 #: Bytes of text to an anchor, roughly (sizes the sketch; only its speed depends on it).
@@ -51,46 +51,95 @@ def windows(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return starts[inside], doc[inside], anchor[inside]
 
 
-def anchor_hashes(words: Words, places: np.ndarray) -> np.ndarray:
-    return rolling(words.hashes[0], ANCHOR)[places]
+class Runs:
+    """Neighbouring windows with one anchor: first windows, how many, documents and the anchor's hash of each run."""
+
+    def __init__(self, words: Words, window: int):
+        starts, doc, anchor = windows(words, window)
+        edges = np.flatnonzero(np.diff(anchor, prepend=-1))
+        k = min(ANCHOR, window)
+        self.words, self.window = words, window
+        self.first, self.doc = starts[edges], doc[edges]
+        self.n = np.diff(np.append(edges, len(starts)))
+        self.anchor = joined_hashes(words.hashes[0], anchor[edges], anchor[edges] + k)
+
+    def only(self, some: np.ndarray) -> Runs:
+        self.first, self.doc, self.n, self.anchor = self.first[some], self.doc[some], self.n[some], self.anchor[some]
+        return self
+
+    @property
+    def at(self) -> np.ndarray:
+        """First window in its document."""
+        return (self.first - self.words.bounds[self.doc]).astype(np.int32)
+
+    def contents(self) -> list[np.ndarray]:
+        """Two hashes of all words of a run."""
+        return [joined_hashes(h, self.first, self.first + self.n - 1 + self.window).view(np.int64) for h in self.words.hashes]
 
 
 def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """row (a struct, any key of a row), at: first words of the windows that start more than once anywhere.
+    """row, at, n: runs of n windows from the at-th word of a row on that each start more than once anywhere.
 
-    ``rows`` has columns row and text. Every start counts, also of rows that repeat."""
+    ``rows`` has columns text and row (a struct of the row's id and hash). Every start counts, also of rows that
+    repeat. Runs of neighbouring windows with one anchor are grouped by their whole words first: copies of a run
+    repeat as a whole. Only where an anchor has several different runs are windows compared one by one, once for
+    each different run."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
-    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    def anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, _, words in hashed_words(batch.column(0)):
-            _, _, anchor = windows(words, window)
-            places = anchor[np.diff(anchor, prepend=-1) != 0]  # an anchor serves neighbouring windows
-            yield _hashes(words, places, window)
+            yield Runs(words, window).anchor
 
-    bits = sketch.build(rows.select("text"), keys, size // BYTES_PER_ANCHOR)
+    often = sketch.build(rows.select("text"), anchors, size // BYTES_PER_ANCHOR)
     key_type = rows.schema["row"].dataType.simpleString()
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = bits.value.often
         for batch in batches:
             text, row = batch.column(0), batch.column(1)
             for first, _, words in hashed_words(text, (1, 2)):
-                starts, doc, anchor = windows(words, window)
-                some = often(_hashes(words, anchor, window))
-                starts, doc = starts[some], doc[some]
-                if len(starts):
-                    one, two = (rolling(h, window)[starts].view(np.int64) for h in words.hashes)
-                    at = (starts - words.bounds[doc]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), row.take(pa.array(first + doc)), pa.array(at)], names=["one", "two", "row", "at"])
+                runs = Runs(words, window)
+                runs.only(often.value.often(runs.anchor))
+                one, two = runs.contents()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(runs.anchor.view(np.int64)), pa.array(one), pa.array(two), row.take(pa.array(first + runs.doc)), pa.array(runs.at), pa.array(runs.n.astype(np.int32))],
+                    names=["anchor", "one", "two", "row", "at", "n"],
+                )
+
+    runs = rows.select("text", "row").mapInArrow(suspects, f"anchor long, one long, two long, row {key_type}, at int, n int")
+    runs = written(runs, "runs")
+    contents = runs.groupBy("anchor", "one", "two").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "at")).alias("some"))
+    contents = written(contents, "contents")
+    whole = runs.join(contents.filter("times > 1").select("one", "two"), ["one", "two"]).select("row", "at", "n")
+    # anchors with several different runs: one of each, to be compared by window
+    several = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("anchor")
+    compared = written(contents.join(several, "anchor").select(F.col("some.row.hash").alias("hash"), F.col("some.at").alias("at")), "compared")
+
+    def places(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield _place(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+
+    chosen = sketch.build(compared, places, compared.count(), least=1)
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, row = batch.column(0), batch.column(1)
+            hashes = row.field("hash").to_numpy()
+            for first, _, words in hashed_words(text, (1, 2)):
+                runs = Runs(words, window)
+                runs.only(chosen.value.often(_place(hashes[first + runs.doc], runs.at)))
+                starts = np.repeat(runs.first - np.cumsum(runs.n) + runs.n, runs.n) + np.arange(runs.n.sum())
+                doc = np.repeat(runs.doc, runs.n)
+                one, two = (joined_hashes(h, starts, starts + window).view(np.int64) for h in words.hashes)
+                at = (starts - words.bounds[doc]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), row.take(pa.array(first + doc)), pa.array(at)], names=["one", "two", "row", "at"])
 
-    found = rows.select("text", "row").mapInArrow(suspects, f"one long, two long, row {key_type}, at int")
-    found = written(found, "windows")
-    twice = found.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return found.join(twice, ["one", "two"]).select("row", "at")
+    # a run is sent at most once; one that the sketch lets pass wrongly is a copy of a whole run or stands alone
+    found = written(rows.select("text", "row").mapInArrow(single, f"one long, two long, row {key_type}, at int"), "windows")
+    twice = found.groupBy("one", "two").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
+    return whole.unionByName(found.join(twice, ["one", "two"]).select("row", "at", F.lit(1).alias("n")))
 
 
-def _hashes(words: Words, places: np.ndarray, window: int) -> np.ndarray:
-    return rolling(words.hashes[0], min(ANCHOR, window))[places] if len(places) else np.zeros(0, dtype=np.uint64)
+def _place(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return mix(hashes.view(np.uint64) + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
@@ -103,7 +152,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> Dat
     repeat are documents of their own, so all their windows repeat. Texts shorter than a window stay whole."""
     keyed = docs.withColumn("__il_row", row_key())
     marks = repeated_windows(keyed.select(F.col("__il_row").alias("row"), "text"), window)
-    marks = marks.groupBy(F.col("row.id").alias("__il_id"), F.col("row.hash").alias("__il_hash")).agg(F.collect_set("at").alias("__il_at"))
+    marks = marks.groupBy(F.col("row.id").alias("__il_id"), F.col("row.hash").alias("__il_hash")).agg(F.collect_set(F.struct("at", "n")).alias("__il_at"))
     joined = keyed.withColumns({"__il_id": F.col("__il_row.id"), "__il_hash": F.col("__il_row.hash")}).join(marks, ["__il_id", "__il_hash"], "left")
     kind = "n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
 
@@ -117,14 +166,15 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> Dat
     return joined.withColumn("__il_cut", cut("text", "__il_at")).select(*[F.col(c) for c in docs.columns if c != "dedup"], F.col("__il_cut").alias("dedup"))
 
 
-def _cut(text: str | None, places: np.ndarray | None, window: int) -> tuple[int, int, str, str | None]:
+def _cut(text: str | None, places: list | None, window: int) -> tuple[int, int, str, str | None]:
     words = (text or "").encode().split()  # at exactly the bytes of SEPARATORS
     n = len(words)
     kept = words
     if places is not None and len(places):
+        at, runs = (np.array([p[c] for p in places]) for c in ("at", "n"))
         change = np.zeros(n + 1, dtype=np.int32)
-        np.add.at(change, places, 1)
-        np.add.at(change, np.asarray(places) + window, -1)
+        np.add.at(change, at, 1)
+        np.add.at(change, at + runs - 1 + window, -1)
         kept = [w for w, c in zip(words, np.cumsum(change[:n]).tolist(), strict=True) if not c]
     joined = b" ".join(kept)
     return n, n - len(kept), hashlib.sha256(joined).hexdigest(), text if len(kept) == n else joined.decode()
