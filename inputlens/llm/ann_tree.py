@@ -3,8 +3,9 @@
 The tree is fitted on a bounded sample; every row is indexed, each under the leaf it descends to. A query walks the
 tree through a priority queue: the open node whose centre has the largest inner product with it is opened first,
 until it has visited as many leaves as calibration asks for. Calibration compares the walk with exact neighbours,
-over all rows, of a bounded sample of queries, and widens the visits until their recall is reached. Leaves are
-searched exactly, in blocks, so that a crowded leaf is many blocks.
+over all rows, of a bounded sample of queries, and widens the visits until their recall is reached. Neighbouring
+leaves are searched together, a query bringing the list of those it visits, so that a query has one short result for
+each group and not for each leaf; a crowded leaf is dealt into several groups.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from inputlens.llm.common import written
 
 #: Rows that the tree is fitted on at most (about), children of a node, rows of a leaf aimed at, leaves at most.
 SAMPLE_ROWS, BRANCHES, LEAF_ROWS, MOST_LEAVES = 20_000, 8, 512, 1024
-#: Queries of the calibration at most (about), recall that it must reach, rows of a searched block at most (about).
-CALIBRATION_QUERIES, RECALL, BLOCK_ROWS = 200, 0.95, 2048
+#: Queries of the calibration at most (about), recall that it must reach, rows of a searched group at most (about).
+CALIBRATION_QUERIES, RECALL, GROUP_ROWS = 200, 0.95, 8192
 ROUNDS = 8
 
 
@@ -103,6 +104,18 @@ def grow(x: np.ndarray, leaves: int, seed: int = 11) -> Tree:
     return Tree(np.array(centres), children, [next(numbers) if not kids else -1 for kids in children])
 
 
+def grouped(sizes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Group of each leaf, neighbours together up to ``rows`` rows, and the number of blocks of each leaf's group:
+    a leaf of more rows is a group by itself, of several blocks."""
+    group, blocks, held, g = np.zeros(len(sizes), dtype=np.int64), np.ones(len(sizes), dtype=np.int64), 0, 0
+    for leaf, size in enumerate(sizes.tolist()):
+        if held and held + size > rows:
+            g, held = g + 1, 0
+        group[leaf], blocks[leaf] = g, max(1, -(-size // rows))
+        held += size
+    return group, blocks
+
+
 def matrix(column: pd.Series, dims: int) -> np.ndarray:
     out = np.zeros((len(column), dims))
     for i, v in enumerate(column):
@@ -118,9 +131,10 @@ def exact_scores(x: np.ndarray, query: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest(ids: np.ndarray, x: np.ndarray, query: np.ndarray, rough: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and exact scores of the k nearest, ties to smaller ids; ``rough`` are the products in any rounding."""
-    other = np.flatnonzero(ids != own)
+def nearest(ids: np.ndarray, x: np.ndarray, query: np.ndarray, rough: np.ndarray, own: int, k: int, here: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and exact scores of the k nearest, ties to smaller ids; ``rough`` are the products in any rounding, ``here`` the
+    rows in question (all)."""
+    other = np.flatnonzero(ids != own) if here is None else here[ids[here] != own]
     if len(other) > k:
         least = np.partition(rough[other], len(other) - k)[len(other) - k]
         other = other[rough[other] >= least - 1e-9 * (1 + abs(least))]
@@ -165,40 +179,46 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
     for leaf, size in indexed.groupBy("leaf").count().collect():
         sizes[leaf] = size
     visits = calibrate(indexed, is_query, nq, tree, dims, k, recall)
-    blocks = np.maximum(1, -(-sizes // BLOCK_ROWS))
+    group, blocks = grouped(sizes, GROUP_ROWS)
     number = F.monotonically_increasing_id()
-    blocks_of = F.element_at(F.lit(blocks.tolist()), F.col("leaf") + 1)
-    dealt = indexed.withColumn("block", F.pmod(F.xxhash64(number), blocks_of))
+    of_leaf = lambda values: F.element_at(F.lit(values.tolist()), F.col("leaf") + 1)
+    dealt = indexed.withColumns({"group": of_leaf(group), "block": F.pmod(F.xxhash64(number), of_leaf(blocks))})
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for row, own, v in zip(pdf["query_row"], pdf["vec_id"], matrix(pdf["embedding"], dims), strict=True):
                 seen = held = 0
+                visited: dict[int, list[int]] = {}
                 for leaf in shared.value.walk(v):
                     if seen >= visits and held > k:
                         break
                     seen, held = seen + 1, held + sizes[leaf]
-                    out += [(row, own, v, leaf, b) for b in range(blocks[leaf])]
-            yield pd.DataFrame(out, columns=["query_row", "query_id", "query", "leaf", "block"])
+                    visited.setdefault(group[leaf], []).append(leaf)
+                out += [(row, own, v, leaves, g, b) for g, leaves in visited.items() for b in range(blocks[leaves[0]])]
+            yield pd.DataFrame(out, columns=["query_row", "query_id", "query", "leaves", "group", "block"])
 
     asked = indexed.filter(is_query).select(number.alias("query_row"), "vec_id", "embedding")
-    asked = asked.mapInPandas(walk, "query_row long, query_id long, query array<double>, leaf int, block long")
+    asked = asked.mapInPandas(walk, "query_row long, query_id long, query array<double>, leaves array<int>, group long, block long")
 
     def scan(block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(block) and len(queries):
             ids, x, q = block["vec_id"].to_numpy(), matrix(block["embedding"], dims), matrix(queries["query"], dims)
+            leaf = block["leaf"].to_numpy()
             for a in range(0, len(q), 256):
                 rough = q[a : a + 256] @ x.T
                 for i in range(len(rough)):
+                    visited = np.zeros(len(sizes), dtype=bool)
+                    visited[queries["leaves"].iat[a + i]] = True
+                    here = np.flatnonzero(visited[leaf])
                     own = queries["query_id"].iat[a + i]
-                    best, scores = nearest(ids, x, q[a + i], rough[i], own, k)
+                    best, scores = nearest(ids, x, q[a + i], rough[i], own, k, here)
                     found.append((np.full(len(best), queries["query_row"].iat[a + i]), np.full(len(best), own), ids[best], scores))
         parts = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.zeros(0, t) for t in ("i8", "i8", "i8", "f8")]
         return pd.DataFrame(dict(zip(("query_row", "query_id", "vec_id", "score"), parts, strict=True)))
 
-    keys = ["leaf", "block"]
+    keys = ["group", "block"]
     partial = dealt.groupBy(keys).cogroup(asked.groupBy(keys)).applyInPandas(scan, "query_row long, query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -63,7 +63,7 @@ def test_top_k_with_few_rows(spark):
 def test_tree_search(spark, monkeypatch, small):
     if small:
         monkeypatch.setattr(ann_tree, "LEAF_ROWS", 30)
-        monkeypatch.setattr(ann_tree, "BLOCK_ROWS", 25)
+        monkeypatch.setattr(ann_tree, "GROUP_ROWS", 70)
     data = sample(900) + ODD
     fine = [(i, padded(v)) for i, v in data if i is not None and v and all(e is not None and math.isfinite(e) for e in v) and any(v)]
     got = ann_tree.search(vectors(spark, data), F.col("vec_id") % 20 == 0, k=20).collect()
