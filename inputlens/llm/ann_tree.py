@@ -181,7 +181,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
     visits = calibrate(indexed, is_query, nq, tree, dims, k, recall)
     group, blocks = grouped(sizes, GROUP_ROWS)
     number = F.monotonically_increasing_id()
-    of_leaf = lambda values: F.element_at(F.lit(values.tolist()), F.col("leaf") + 1)
+    # both sides' keys must be of one type to meet
+    of_leaf = lambda values: F.element_at(F.lit(values.tolist()), F.col("leaf") + 1).cast("long")
     dealt = indexed.withColumns({"group": of_leaf(group), "block": F.pmod(F.xxhash64(number), of_leaf(blocks))})
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -64,9 +64,11 @@ def test_tree_search(spark, monkeypatch, small):
     if small:
         monkeypatch.setattr(ann_tree, "LEAF_ROWS", 30)
         monkeypatch.setattr(ann_tree, "GROUP_ROWS", 70)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # groups meet in partitions of their own
     data = sample(900) + ODD
     fine = [(i, padded(v)) for i, v in data if i is not None and v and all(e is not None and math.isfinite(e) for e in v) and any(v)]
     got = ann_tree.search(vectors(spark, data), F.col("vec_id") % 20 == 0, k=20).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     by = dict(fine)
     want = brute(fine, 20, 20, lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)))
     truth, found = {(q, i) for q, _, i, _ in want}, {(r.query_id, r.vec_id) for r in got}
