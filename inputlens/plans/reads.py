@@ -63,9 +63,8 @@ def batch_status(spark: SparkSession, root: str) -> DataFrame:
 def ml_metrics(spark: SparkSession, root: str) -> DataFrame:
     """The newest model report with available = true, or one row with false."""
     report = read_table(spark, root, "model_report")
-    row = report.limit(1).withColumn("available", F.lit(True))
-    missing = spark.range(1).select(F.lit(False).alias("available")).filter(report.limit(1).count() == 0)
-    return row.unionByName(missing, allowMissingColumns=True)
+    one = spark.range(1).select(F.lit(1).alias("__one"))
+    return one.join(report.limit(1).withColumn("__held", F.lit(True)), F.lit(True), "left").select(F.col("__held").isNotNull().alias("available"), *report.columns)
 
 
 def liveness(spark: SparkSession, root: str, user: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -84,12 +85,19 @@ def start_speed_layer(lines: DataFrame, root: str, metrics_every: str | None = "
 def supervise(spark: SparkSession, queries: list[StreamingQuery]) -> None:
     """Wait until one query ends, then stop the others; raises what ended it."""
     try:
-        spark.streams.awaitAnyTermination()
+        while all(q.isActive for q in queries):
+            spark.streams.resetTerminated()  # ends of other queries, or of earlier ones, don't count
+            try:
+                spark.streams.awaitAnyTermination(1)
+            except StreamingQueryException:
+                continue
     finally:
         for q in queries:
             if q.isActive:
                 q.stop()
-        spark.streams.resetTerminated()
+    for q in queries:
+        if (error := q.exception()) is not None:
+            raise error
 
 
 class ProgressLog(StreamingQueryListener):
