@@ -29,8 +29,9 @@ from inputlens.llm.common import hashed_words, mix, rolling, row_key, written
 
 #: Words of a shingle and the similarity, in percent.
 SHINGLE, THRESHOLD = 5, 80
-#: Cells that count how frequent shingles are, bits of a bitmap, rows of a tile's block, rows of a task's tiles (about).
-FREQUENCY_CELLS, BITMAP_BITS, BLOCK_ROWS, TASK_ROWS = 1 << 18, 512, 1024, 40_000
+#: Cells that count how frequent shingles are, and of a block of them; bits of a bitmap at least and at most; rows of
+#: a tile's block, and of a task's tiles (about).
+FREQUENCY_CELLS, FREQUENCY_BLOCK, LEAST_BITS, MOST_BITS, BLOCK_ROWS, TASK_ROWS = 1 << 24, 1 << 18, 64, 1 << 15, 1024, 40_000
 #: Bytes of text to a shingle, roughly (sizes the sketch; only its speed depends on it).
 BYTES_PER_SHINGLE = 6
 
@@ -63,10 +64,22 @@ def prefix(s: np.ndarray, levels: np.ndarray, threshold: int) -> np.ndarray:
     return s[order[:take]]
 
 
-def bitmap(s: np.ndarray, bits: int = BITMAP_BITS) -> np.ndarray:
-    """Parity of the number of elements hashed to each bit."""
-    counts = np.bincount((mix(s) % np.uint64(bits)).astype(np.int64), minlength=bits)
-    return np.packbits((counts & 1).astype(np.uint8))
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Parity of the number of elements hashed to each bit; twice as many bits as elements, as a power of two."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(s) - 1).bit_length()))
+    counts = np.bincount((mix(s) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little")
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap of fewer bits (bytes ``size``, a power of two less): parities of its parts, added."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
+
+
+def possible(total: np.ndarray, apart: np.ndarray, threshold: int) -> np.ndarray:
+    """Whether sets with sizes adding to ``total`` can be similar if their bitmaps differ in ``apart`` bits: each
+    such bit is an element of one set only, so |A and B| <= (total - apart) / 2."""
+    return (total - apart) // 2 * (100 + threshold) >= threshold * total
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
@@ -76,48 +89,51 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
 
 
 def profile(docs: DataFrame, k: int) -> DataFrame:
-    """One pass over the texts: for each row its id, set size and node, and for each partition the counts of
-    shingles by cell (payload)."""
+    """One pass over the texts: for each row its id, hash, set size, node and bitmap; and from each partition the
+    counts of shingles by cell, as blocks (block, payload). Cells counted once in a partition are left out: the
+    counts only order shingles, and any order is right."""
+    names = ["doc_id", "row_hash", "n", "node", "bits", "block", "payload"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(FREQUENCY_CELLS, dtype=np.uint32)
         for batch in batches:
-            sizes, nodes, pending = [], [], []
+            sizes, nodes, bits = [], [], []
             for s in shingle_sets(batch.column(1), k):
                 sizes.append(len(s))
                 nodes.append(node_of(s))
-                pending.append((s & np.uint64(FREQUENCY_CELLS - 1)).astype(np.int32))
-                if len(pending) == 500:
-                    counts += np.bincount(np.concatenate(pending), minlength=FREQUENCY_CELLS).astype(np.uint32)
-                    pending = []
-            if pending:
-                counts += np.bincount(np.concatenate(pending), minlength=FREQUENCY_CELLS).astype(np.uint32)
+                bits.append(bitmap(s).tobytes() if len(s) else b"")
+                counts[(s & np.uint64(FREQUENCY_CELLS - 1)).astype(np.int64)] += 1
             n = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.nulls(n, pa.binary())], names=names)
-        nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64())]
-        yield pa.RecordBatch.from_arrays([*nothing, pa.array([zlib.compress(counts.tobytes(), 1)])], names=names)
+            columns = [batch.column(0), batch.column(2), sizes, nodes, bits, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+        for block in range(FREQUENCY_CELLS // FREQUENCY_BLOCK):
+            part = counts[block * FREQUENCY_BLOCK : (block + 1) * FREQUENCY_BLOCK]
+            at = np.flatnonzero(part > 1)
+            if len(at):
+                payload = zlib.compress(np.stack([at.astype(np.uint32), part[at]]).tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in kinds[:5]], pa.array([block], pa.int32()), pa.array([payload])], names=names)
 
-    names = ["doc_id", "row_hash", "n", "node", "payload"]
     rows = docs.select(F.col("doc_id").cast("long"), "text", row_key()["hash"].alias("row_hash"))
-    return written(rows.mapInArrow(scan, "doc_id long, row_hash long, n int, node long, payload binary"), "profile")
+    return written(rows.mapInArrow(scan, "doc_id long, row_hash long, n int, node long, bits binary, block int, payload binary"), "profile")
 
 
-def frequency_levels(payloads: DataFrame) -> np.ndarray:
-    """Half powers of two of the shingle counts by cell, over all documents; fixed size. Partitions' counts are
-    added in tasks first, some at a time."""
+def frequency_levels(profiled: DataFrame) -> np.ndarray:
+    """Half powers of two of the shingle counts by cell, over all documents: a byte a cell, FREQUENCY_CELLS bytes."""
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(FREQUENCY_CELLS, dtype=np.uint64)
-        for pdf in batches:
-            for p in pdf["payload"]:
-                total += np.frombuffer(zlib.decompress(p), dtype=np.uint64 if len(zlib.decompress(p)) == 8 * FREQUENCY_CELLS else np.uint32)
-        yield pd.DataFrame({"payload": [zlib.compress(total.tobytes(), 1)]})
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.ones(FREQUENCY_BLOCK)
+        for payload in pdf["payload"]:
+            at, n = np.frombuffer(zlib.decompress(payload), dtype=np.uint32).reshape(2, -1)
+            total[at] += n
+        levels = np.floor(2 * np.log2(total)).astype(np.uint8)
+        return pd.DataFrame({"block": [key[0]], "payload": [zlib.compress(levels.tobytes(), 1)]})
 
-    part = payloads.repartition(16).mapInPandas(add, "payload binary")
-    total = np.zeros(FREQUENCY_CELLS, dtype=np.uint64)
-    for (p,) in part.collect():  # 16 rows of fixed size
-        total += np.frombuffer(zlib.decompress(bytes(p)), dtype=np.uint64)
-    return np.floor(2 * np.log2(np.maximum(1, total))).astype(np.uint8)
+    parts = profiled.filter("block IS NOT NULL").select("block", "payload").groupBy("block").applyInPandas(add, "block int, payload binary")
+    levels = np.zeros(FREQUENCY_CELLS, dtype=np.uint8)
+    for block, payload in parts.collect():
+        levels[block * FREQUENCY_BLOCK : (block + 1) * FREQUENCY_BLOCK] = np.frombuffer(zlib.decompress(bytes(payload)), dtype=np.uint8)
+    return levels
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -137,34 +153,28 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, expected: int, k: int) -> DataFrame:
-    """node, size, bits and elements of the sets of ``wanted`` (node, doc_id: a document that has the set).
+def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """node and elements of the sets of ``wanted`` (node, doc_id: a document that has the set).
 
     The documents are found on the way through the texts by a sketch of the wanted pairs, so that few others'
     sets move; the rest is an exact join."""
 
     def pair_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield _pair_key(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False))
+        yield _pair_key(batch.column(0).to_numpy(), batch.column(1).fill_null(-1).to_numpy())
 
-    bits = sketch.build(wanted.select("node", F.coalesce("doc_id", F.lit(-1)).alias("doc_id")), pair_keys, expected, least=1)
+    bits = sketch.build(wanted.select("node", "doc_id"), pair_keys, wanted.count(), least=1)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = bits.value.often
         for batch in batches:
-            ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).fill_null(-1).to_numpy()
             for a in range(0, len(ids), 500):
                 sets = list(shingle_sets(batch.column(1).slice(a, 500), k))
                 nodes = np.array([node_of(s) for s in sets], dtype=np.int64)
                 some = np.flatnonzero(often(_pair_key(nodes, ids[a : a + 500])))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(nodes[some]), pa.array([len(sets[i]) for i in some], pa.int32()),
-                        pa.array([bitmap(sets[i]).tobytes() for i in some], pa.binary()), pa.array([sets[i].tobytes() for i in some], pa.binary()),
-                    ],
-                    names=["node", "size", "bits", "elements"],
-                )
-
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "node long, size int, bits binary, elements binary")
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array([sets[i].tobytes() for i in some], pa.binary())], names=["node", "elements"])
+
+    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "node long, elements binary")
     return written(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
@@ -172,8 +182,29 @@ def _pair_key(nodes: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return mix(nodes.view(np.uint64) ^ mix(ids.astype(np.int64).view(np.uint64)))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar."""
+def bounded(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
+    """Those of the pairs (a, b) whose bitmaps allow the similarity; ``nodes`` has node, n, bits."""
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("bits").alias("x"))
+    right = nodes.select(F.col("node").alias("b"), "n", F.col("bits").alias("y"))
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = np.zeros(batch.num_rows, dtype=np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint8) for v in (x, y))
+                size = min(len(x), len(y))
+                apart[i] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()
+            total = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(possible(total, apart, threshold)))
+
+    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "m", "n", "x", "y")
+    return rows.mapInArrow(bound, "a long, b long")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar, as a written table; the sets come from the texts."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = sets_of(docs, written(nodes.select("node", "doc_id").join(ends, "node", "left_semi"), "wanted"), k)
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
 
@@ -182,18 +213,19 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
             keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), threshold) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(settle, "a long, b long")
+    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
+    return written(joined.mapInArrow(settle, "a long, b long"), "links")
 
 
-def tile_pairs(rows: DataFrame, threshold: int) -> DataFrame:
-    """Candidate pairs (a, b) among rows (token, node, label, size, bits): same token, different labels, sizes and
+def tile_pairs(rows: DataFrame, bitmaps: DataFrame, threshold: int) -> DataFrame:
+    """Candidate pairs (a, b) among rows (token, node, label, n): same token, different labels, sizes and
     bitmaps that allow the similarity.
 
     A node stands in the tile of its size band, and in that of the next band for the larger sets there. A tile
     of more than BLOCK_ROWS rows is dealt into blocks; every pair of blocks is an item of work, and items are
     gathered into tasks of about TASK_ROWS rows."""
     width = math.log(100 / threshold) or 1.0
-    band = F.floor(F.log(F.col("size").cast("double")) / width).cast("int")
+    band = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
     placed = rows.withColumns({"band": F.explode(F.array(band, band + 1)), "own": band})
     placed = placed.withColumn("lower", F.col("band") > F.col("own")).drop("own")
     sizes = placed.groupBy("token", "band").agg(F.count(F.lit(1)).alias("held"), F.min("lower").alias("all_lower"), F.min("label").alias("l"), F.max("label").alias("m"))
@@ -203,18 +235,20 @@ def tile_pairs(rows: DataFrame, threshold: int) -> DataFrame:
     # a row of block s works with all blocks: pair (min, max) of s and each other block
     tiles = tiles.withColumn("mine", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     tiles = tiles.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
-    tiles = written(tiles.select("token", "band", "i", "j", "mine", "lower", "node", "label", "size", "bits"), "tiles")
+    tiles = written(tiles.select("token", "band", "i", "j", "mine", "lower", "node", "label", "n"), "tiles")
     tasks = max(1, math.ceil(tiles.count() / TASK_ROWS))
 
-    def bounded(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["token", "band", "i", "j"], kind="stable")
         cut = np.flatnonzero((np.diff(pdf[["token", "band", "i", "j"]].to_numpy(), axis=0) != 0).any(1)) + 1
-        bits = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(len(pdf), -1)
-        node, label, size = (pdf[c].to_numpy() for c in ("node", "label", "size"))
+        raw = pdf["bits"].to_numpy()
+        node, label, size = (pdf[c].to_numpy() for c in ("node", "label", "n"))
         lower, mine, i, j = (pdf[c].to_numpy() for c in ("lower", "mine", "i", "j"))
         edges = [0, *cut.tolist(), len(pdf)]
         out = []
         for a, b in zip(edges, edges[1:], strict=False):
+            width = min(map(len, raw[a:b]), default=0)
+            bits = np.stack([folded(np.frombuffer(v, np.uint8), width) for v in raw[a:b]]).view(np.uint64)
             for r in range(a, b):
                 # a row meets those after it in its block pair; in a pair of two blocks only the other block's
                 t = np.arange(r + 1, b)
@@ -227,23 +261,21 @@ def tile_pairs(rows: DataFrame, threshold: int) -> DataFrame:
                 small, large = np.minimum(size[t], size[r]), np.maximum(size[t], size[r])
                 t = t[100 * small >= threshold * large]
                 if len(t):
-                    apart = np.bitwise_count(bits[t] ^ bits[r]).sum(1).astype(np.int64)
-                    total = size[t].astype(np.int64) + size[r]
-                    # |A and B| <= (|A| + |B| - bits that differ) / 2
-                    t = t[100 * (total - apart) // 2 * (100 + threshold) >= 100 * threshold * total]
+                    apart = np.bitwise_count(bits[t - a] ^ bits[r - a]).sum(1).astype(np.int64)
+                    t = t[possible(size[t].astype(np.int64) + size[r], apart, threshold)]
                     out.append(np.stack([np.minimum(node[t], node[r]), np.maximum(node[t], node[r])], 1))
         pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
         return pd.DataFrame(pairs, columns=["a", "b"])
 
     bucket = F.pmod(F.xxhash64("token", "band", "i", "j"), F.lit(tasks))
-    return tiles.groupBy(bucket.alias("task")).applyInPandas(bounded, "a long, b long").distinct()
+    return tiles.join(bitmaps, "node").groupBy(bucket.alias("task")).applyInPandas(meet, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, profiled: DataFrame, k: int, threshold: int) -> DataFrame:
     """node, label of the nodes that a link of similarity joins to another node; equal labels are connected."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    levels = spark.sparkContext.broadcast(frequency_levels(profiled.filter("payload IS NOT NULL").select("payload")))
+    levels = spark.sparkContext.broadcast(frequency_levels(profiled))
     share = (100 - threshold) / 100
 
     def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -272,16 +304,22 @@ def links(docs: DataFrame, profiled: DataFrame, k: int, threshold: int) -> DataF
     rows = written(rows.join(shared.filter("pivot <> last").drop("last"), "token"), "shared")
     fits = 100 * F.least("n", "pivot_n") >= threshold * F.greatest("n", "pivot_n")
     pairs = rows.filter(fits & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    wanted = profiled.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = written(wanted.join(rows.select("node").distinct(), "node", "left_semi"), "wanted")
-    sets = sets_of(docs, wanted, wanted.count(), k)
-    first = written(verified(pairs, sets, threshold), "links")
+    nodes = profiled.filter("n > 0").join(rows.select("node").distinct(), "node", "left_semi")
+    nodes = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    nodes = written(nodes, "nodes")
+    first = verified(docs, written(bounded(pairs, nodes, threshold), "pairs"), nodes, k, threshold)
     labels = components(first, "first")
     # open pairs: of a shingle whose nodes are in several components
     rows = rows.select("token", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = rows.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l <> m").select("token")
-    rows = rows.join(mixed, "token").join(sets.select("node", "size", "bits"), "node")
-    second = written(verified(tile_pairs(rows, threshold), sets, threshold), "links")
+    # neighbouring shingles of a shared passage have the same nodes: one shingle of each set of nodes is enough
+    mixed = rows.groupBy("token").agg(
+        F.min("label").alias("l"), F.max("label").alias("m"), F.count(F.lit(1)).alias("held"), F.min("node").alias("u"),
+        F.max("node").alias("v"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).bitwiseAND(0x7FFFFFFF)).alias("s"),
+    )
+    tokens = mixed.filter("l <> m").groupBy("held", "u", "v", "x", "s").agg(F.min("token").alias("token")).select("token")
+    rows = rows.join(tokens, "token").join(nodes.select("node", "n"), "node")
+    pairs = tile_pairs(rows, nodes.select("node", "bits"), threshold)
+    second = verified(docs, written(pairs, "pairs"), nodes, k, threshold)
     return components(first.unionByName(second), "all")
 
 
@@ -294,7 +332,7 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD
     An empty table gives none."""
     profiled = profile(docs, k)
     labels = links(docs, profiled, k, threshold)
-    rows = profiled.filter("payload IS NULL").select("doc_id", "row_hash", "n", "node")
+    rows = profiled.filter("block IS NULL").select("doc_id", "row_hash", "n", "node")
     nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left")
     nodes = nodes.withColumn("label", F.coalesce("label", "node"))
     names = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
