@@ -300,10 +300,17 @@ def links(docs: DataFrame, profiled: DataFrame, k: int, threshold: int) -> DataF
 
     rows = docs.select("text").mapInArrow(postings, "token long, node long, n int")
     rows = written(rows.groupBy("token", "node").agg(F.first("n").alias("n")), "postings")
-    shared = rows.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.min_by("n", "node").alias("pivot_n"))
-    rows = written(rows.join(shared.filter("pivot <> last").drop("last"), "token"), "shared")
+    shared = rows.groupBy("token").agg(F.min("node").alias("u"), F.max("node").alias("v")).filter("u <> v").select("token")
+    rows = written(rows.join(shared, "token"), "shared")
+    # a shingle's pivot is its node with the largest share of rare shingles that others have too: in a group of
+    # edited copies that is the text they come from, which is nearer to each than they are to each other
+    taken = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
+    shares = rows.groupBy("node").agg((F.count(F.lit(1)) / F.first(taken)).alias("share"))
+    central = F.max_by(F.struct(F.col("node").alias("pivot"), F.col("n").alias("pivot_n")), F.struct("share", -F.col("node")))
+    pivots = rows.join(shares, "node").groupBy("token").agg(central.alias("p")).select("token", "p.*")
+    held = rows.join(pivots, "token")
     fits = 100 * F.least("n", "pivot_n") >= threshold * F.greatest("n", "pivot_n")
-    pairs = rows.filter(fits & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = held.filter(fits & (F.col("node") != F.col("pivot"))).select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
     nodes = profiled.filter("n > 0").join(rows.select("node").distinct(), "node", "left_semi")
     nodes = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     nodes = written(nodes, "nodes")
