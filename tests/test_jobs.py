@@ -135,6 +135,19 @@ def test_batch_run_and_reads(spark, tmp_path):
     assert reads.display_grid(spark).first().grid_w == 108 and reads.liveness(spark, root, "u").count() == 0
 
 
+def test_day_tables_and_compaction(spark, tmp_path):
+    day = lambda d, n: spark.createDataFrame([(n, d)], "n int, day string")
+    path = f"file://{tmp_path}/days"
+    archive.replace_days(day("2024-01-01", 1).union(day("2024-01-02", 2)), path)
+    archive.replace_days(day("2024-01-02", 3), path)
+    assert sorted(r.n for r in spark.read.parquet(path).collect()) == [1, 3]
+    e = good(decode(spark.createDataFrame([(line(t),) for t in range(40)], "value string"))).repartition(8)
+    e.write.parquet(f"file://{tmp_path}/many")
+    archive.compact(spark, f"file://{tmp_path}/many", f"file://{tmp_path}/few")
+    files = list((tmp_path / "few").rglob("*.parquet"))
+    assert len(files) == 1 and archive.read_archive(spark, f"file://{tmp_path}/few")[0].count() == 40
+
+
 def test_changed_days(spark):
     e = spark.createDataFrame([(1.0,), (2.0,), (90_000.0,)], "t double").select(times.from_epoch(F.col("t")).alias("event_time"))
     known = spark.createDataFrame([("1970-01-01", 2), ("1970-01-02", 5)], "day string, n long")

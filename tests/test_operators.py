@@ -190,7 +190,7 @@ def test_redaction_keeps_counts(spark):
     assert got[0] == got[1] != got[2] and got[3:] == [" ", "Key.space", None] and "a" not in got
 
 
-def test_training_and_report(spark):
+def test_training_and_report(spark, tmp_path):
     from inputlens.sources.automation import automation_events
 
     robots = features.window_features(automation_events(spark, 2, 20))
@@ -209,5 +209,12 @@ def test_training_and_report(spark):
     assert liveness.score_windows(people, None).count() == 0
     with pytest.raises(liveness.TooFewRows):
         liveness.train(labeled.limit(5))
+    liveness.save(model, f"file://{tmp_path}/model")
+    again = liveness.score_windows(people, liveness.load(f"file://{tmp_path}/model"))
+    assert again.exceptAll(liveness.score_windows(people, model)).count() == 0
+    top = liveness.suspicious(liveness.score_windows(robots, model), 3).collect()
+    assert len(top) == 3 and top[0].probability >= top[2].probability
+    ranked = [r.importance for r in liveness.ranked_importances(spark, model).collect()]
+    assert ranked == sorted(ranked, reverse=True) and len(ranked) == 7
     fitted, held = liveness.split(labeled)
     assert fitted.count() + held.count() == labeled.count()
