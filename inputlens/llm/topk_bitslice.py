@@ -20,8 +20,8 @@ from pyspark.sql.window import Window
 
 #: Rows of a block, queries of a block (about; both are dealt at random).
 ROWS, QUERIES = 16_384, 2048
-#: Quantised components at or beyond this size take no part (sums must fit 64 bits).
-LIMIT = 1 << 24
+#: Vectors with quantised components at or beyond this size take no part: sums of 64 products must fit 64 bits.
+LIMIT = 1 << 28
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
