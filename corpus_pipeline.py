@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inputlens.llm import lang_id, ngram_join, packing, quality_knn, substring_dedup
-from inputlens.llm.common import crc_bucket, written
+from inputlens.llm.common import crc_bucket, tuned, written
 
 #: Documents whose quality score is below this go.
 LEAST_QUALITY = 0.3
@@ -19,6 +19,7 @@ LEAST_QUALITY = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without letters and those whose language is a close call."""
+    tuned(spark)
     model = lang_id.fit(docs.filter(crc_bucket(F.col("doc_id"), 5) != 0))
     judged = docs.withColumn("__il_lang", lang_id.predict(F.col("text"), model))
     return judged.filter(~F.col("__il_lang.rejected")).select(docs.columns)
@@ -26,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts whose labelled neighbours are of low quality."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    labels = tuned(spark).read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     model = quality_knn.fit(docs.filter(crc_bucket(F.col("doc_id"), 5) != 0), labels)
     judged = docs.withColumn("__il_quality", quality_knn.predict(F.col("text"), model))
     return judged.filter(F.col("__il_quality") >= LEAST_QUALITY).select(docs.columns)
@@ -34,11 +35,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of similar ones."""
+    tuned(spark)
     return ngram_join.one_of_each(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove passages that occur more than once; a text left empty stays as a document without words."""
+    tuned(spark)
     done = substring_dedup.dedup(docs, keep_text=True)
     text = F.col("dedup.kept_text")
     new = {"text": text.alias("text"), "n_chars": F.when(F.col("dedup.n_removed") > 0, F.length(text)).otherwise(F.col("n_chars")).alias("n_chars")}
@@ -47,6 +50,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences of 1024 tokens."""
+    tuned(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), end_id=2)
 
 
@@ -63,7 +67,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = tuned(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

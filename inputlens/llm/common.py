@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 #: Word pattern of the contracts, for regular-expression users.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bytes of text hashed at once; a longer single document is hashed alone.
-CHUNK_BYTES = 1 << 21
+#: Bytes of text hashed at once (some 20 times as much memory); a longer single document is hashed alone.
+CHUNK_BYTES = 1 << 19
+#: Rows of an Arrow batch in place of Spark's default: texts are longer than most rows.
+BATCH_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def tuned(spark: SparkSession) -> SparkSession:
+    """Smaller Arrow batches, unless the session has a size of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+    return spark
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, so lost executors lose no work."""
     spark = df.sparkSession

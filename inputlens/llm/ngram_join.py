@@ -31,7 +31,7 @@ from inputlens.llm.common import hashed_words, mix, rolling, row_key, written
 SHINGLE, THRESHOLD = 5, 80
 #: Cells that count how frequent shingles are, and of a block of them; bits of a bitmap at least and at most; rows of
 #: a tile's block, and of a task's tiles (about).
-FREQUENCY_CELLS, FREQUENCY_BLOCK, LEAST_BITS, MOST_BITS, BLOCK_ROWS, TASK_ROWS = 1 << 24, 1 << 18, 64, 1 << 15, 1024, 40_000
+FREQUENCY_CELLS, FREQUENCY_BLOCK, LEAST_BITS, MOST_BITS, BLOCK_ROWS, TASK_ROWS = 1 << 23, 1 << 18, 64, 1 << 15, 1024, 40_000
 #: Bytes of text to a shingle, roughly (sizes the sketch; only its speed depends on it).
 BYTES_PER_SHINGLE = 6
 
@@ -96,14 +96,15 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(FREQUENCY_CELLS, dtype=np.uint32)
+        counts = np.zeros(FREQUENCY_CELLS, dtype=np.uint16)  # up to 65,535: beyond, all are alike
         for batch in batches:
             sizes, nodes, bits = [], [], []
             for s in shingle_sets(batch.column(1), k):
                 sizes.append(len(s))
                 nodes.append(node_of(s))
                 bits.append(bitmap(s).tobytes() if len(s) else b"")
-                counts[(s & np.uint64(FREQUENCY_CELLS - 1)).astype(np.int64)] += 1
+                at = (s & np.uint64(FREQUENCY_CELLS - 1)).astype(np.int64)
+                counts[at] += counts[at] < 65_535
             n = len(sizes)
             columns = [batch.column(0), batch.column(2), sizes, nodes, bits, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
@@ -111,7 +112,7 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
             part = counts[block * FREQUENCY_BLOCK : (block + 1) * FREQUENCY_BLOCK]
             at = np.flatnonzero(part > 1)
             if len(at):
-                payload = zlib.compress(np.stack([at.astype(np.uint32), part[at]]).tobytes(), 1)
+                payload = zlib.compress(np.stack([at.astype(np.uint32), part[at].astype(np.uint32)]).tobytes(), 1)
                 yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in kinds[:5]], pa.array([block], pa.int32()), pa.array([payload])], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", row_key()["hash"].alias("row_hash"))

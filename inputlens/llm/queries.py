@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inputlens.llm import ann_tree, bpe, lang_id, ngram_join, packing, quality_knn, substring_dedup, topk_bitslice, toxicity, training_order
-from inputlens.llm.common import crc_bucket, shared_dir
+from inputlens.llm.common import crc_bucket, shared_dir, tuned
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def labels_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

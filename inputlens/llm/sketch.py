@@ -65,7 +65,7 @@ def build(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarr
             for keys in keys_of(batch):
                 pending += _cells(keys, cells)
                 held += ROWS * len(keys)
-            if held > 4_000_000:
+            if held > 1_000_000:
                 fold()
         fold()
         both = np.concatenate([once, twice])
