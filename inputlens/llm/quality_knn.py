@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from inputlens.llm.common import hashed_words, labelled_sample, mix, span_hashes
 
 #: Labelled documents in the sample at most (about), and characters of each taken.
-SAMPLE_DOCS, SAMPLE_CHARS = 6000, 40_000
+SAMPLE_DOCS, SAMPLE_CHARS = 4000, 40_000
 #: Hashed terms: of shapes, of pairs of shapes, of words; singular vectors; neighbours; sharpness of their weights.
 SHAPES, PAIRS, LEXICAL, RANK, NEIGHBOURS, SHARPNESS = 512, 1024, 1024, 48, 15, 20.0
 TERMS = SHAPES + PAIRS + LEXICAL + 1
@@ -88,7 +88,7 @@ def weighted(n: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def leading_axes(x: np.ndarray, rank: int, rounds: int = 3) -> np.ndarray:
     """Leading right singular vectors by a randomised range finder with power iterations."""
     rank = min(rank, *x.shape)
-    q = np.linalg.qr(x @ np.random.default_rng(7).standard_normal((x.shape[1], rank + 12)))[0]
+    q = np.linalg.qr(x @ np.random.default_rng(7).standard_normal((x.shape[1], rank + 12), dtype=np.float32))[0]
     for _ in range(rounds):
         q = np.linalg.qr(x @ (x.T @ q))[0]
     return np.linalg.svd(q.T @ x, full_matrices=False)[2][:rank].T
@@ -105,9 +105,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(np.ones(TERMS), np.zeros((TERMS, 1)), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
     n = counts(pa.array([r.text for r in rows], pa.string()))
     idf = np.log((1 + len(n)) / (1 + (n > 0).sum(0))) + 0.1
-    x = weighted(n, idf)
-    axes = leading_axes(x, RANK)
-    z = x @ axes
+    for a in range(0, len(n), BLOCK):  # in place: the sample's matrix is the driver's largest array
+        n[a : a + BLOCK] = weighted(n[a : a + BLOCK], idf)
+    axes = leading_axes(n, RANK)
+    z = n @ axes
     z /= np.maximum(1e-9, np.linalg.norm(z, axis=1, keepdims=True))
     return Model(idf, axes, z.astype(np.float32), np.array([r.label for r in rows], float), sizes.get(1, 0) / sum(sizes.values()))
 
