@@ -331,6 +331,17 @@ def links(docs: DataFrame, profiled: DataFrame, k: int, threshold: int) -> DataF
     return components(first.unionByName(second), "all")
 
 
+def labelled_rows(docs: DataFrame, k: int, threshold: int) -> DataFrame:
+    """doc_id, row_hash, n, node and label of every row of ``docs``: rows with words are linked exactly when their
+    labels are equal, whatever their ids; rows without words have no label."""
+    profiled = profile(docs, k)
+    labels = links(docs, profiled, k, threshold)
+    rows = profiled.filter("block IS NULL").select("doc_id", "row_hash", "n", "node")
+    linked = rows.filter("n > 0").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    alone = rows.filter("n = 0").withColumn("label", F.lit(None).cast("long"))
+    return linked.unionByName(alone).select("doc_id", "row_hash", "n", "node", "label")
+
+
 def similar_groups(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, row_hash, n_shingles and component_id for every row of ``docs`` (doc_id, text).
 
@@ -338,25 +349,24 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD
     without words (or null) have an empty set and no links; rows that repeat have equal sets, which link; null ids
     never name a component unless all ids in it are null. Sets are identified by their size and a 64-bit digest.
     An empty table gives none."""
-    profiled = profile(docs, k)
-    labels = links(docs, profiled, k, threshold)
-    rows = profiled.filter("block IS NULL").select("doc_id", "row_hash", "n", "node")
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left")
-    nodes = nodes.withColumn("label", F.coalesce("label", "node"))
+    rows = labelled_rows(docs, k, threshold)
+    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("label").alias("label"))
     names = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
     nodes = nodes.join(names, "label").select("node", "component_id")
+    rows = rows.drop("label")
     linked = rows.filter("n > 0").join(nodes, "node")
     alone = rows.filter("n = 0").withColumn("component_id", F.col("doc_id"))
     return linked.unionByName(alone).select("doc_id", "row_hash", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """``docs`` (doc_id, text and any others) with one row of each group: that of the smallest id. Rows without
+    """``docs`` (doc_id, text and any others) with one row of each group: that of the smallest id, a null one last.
+    Groups are told apart by their links, not by an id, which may be null or occur with several texts. Rows without
     words stay; of rows that repeat (id and text) one stays."""
-    groups = similar_groups(docs, k, threshold)
-    key = F.struct(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("row_hash").alias("hash"))
-    named = groups.filter("n_shingles > 0 AND doc_id <=> component_id").groupBy("component_id").agg(F.min(key).alias("k")).select("k")
-    kept = named.unionByName(groups.filter("n_shingles = 0").select(key.alias("k")).distinct())
+    rows = labelled_rows(docs, k, threshold)
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("row_hash").alias("hash"))
+    named = rows.filter("n > 0").groupBy("label").agg(F.min(key).alias("k")).select("k")
+    kept = named.unionByName(rows.filter("n = 0").select(key.alias("k")).distinct())
     kept = kept.select(F.col("k.id").alias("__il_id"), F.col("k.hash").alias("__il_hash"))
     keyed = docs.withColumn("__il_row", row_key()).withColumns({"__il_id": F.col("__il_row.id"), "__il_hash": F.col("__il_row.hash")})
     return keyed.join(kept, ["__il_id", "__il_hash"], "left_semi").dropDuplicates(["__il_id", "__il_hash"]).select(docs.columns)

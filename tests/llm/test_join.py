@@ -76,3 +76,15 @@ def test_empty_and_wordless_tables(spark):
     assert ngram_join.similar_groups(spark.createDataFrame([], SCHEMA)).count() == 0
     got = ngram_join.similar_groups(spark.createDataFrame([(1, None, "", 0), (2, "", "", 0)], SCHEMA)).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 0, 1), (2, 0, 2)]
+
+
+def test_one_of_each_tells_groups_apart_without_ids(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(f"w{rng.randrange(9000)}" for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    near = f"{a} more"
+    rows = [(None, a), (None, near), (None, b), (None, c), (7, d), (7, e), (-1, f"{d} more"), (None, f"{e} more"), (None, None), (None, "")]
+    got = ngram_join.one_of_each(spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], SCHEMA).repartition(3)).collect()
+    texts = [r.text for r in got]
+    assert len(texts) == len(set(texts)) == 7 and set(texts) - {a, near} == {b, c, f"{d} more", e, None, ""}
+    assert {r.doc_id for r in got if r.text == e} == {7}  # a null id comes last
