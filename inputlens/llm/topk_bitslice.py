@@ -20,16 +20,29 @@ from pyspark.sql.window import Window
 
 #: Rows of a block, queries of a block (about; both are dealt at random).
 ROWS, QUERIES = 16_384, 2048
-#: Vectors with quantised components at or beyond this size take no part: sums of 64 products must fit 64 bits.
-LIMIT = 1 << 28
+#: Vectors with quantised components at or beyond this size meet in smaller blocks of their own, as their stacks are
+#: higher; so many times smaller.
+WIDE, WIDE_SHARE = 1 << 28, 16
 
 
-def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and integer components ``q`` = floor(scale * x); drops null ids and null vectors, and vectors with
-    null, non-finite or oversized components."""
-    x = F.transform("embedding", lambda e: F.floor(F.lit(float(scale)) * e.cast("double")))
-    fine = F.forall("embedding", lambda e: e.isNotNull() & (F.abs(e.cast("double")) < float(LIMIT // scale)))
-    return vectors.select(F.col("vec_id").cast("long"), "embedding").filter(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).select("vec_id", x.cast("array<int>").alias("q"))
+def finite(vectors: DataFrame) -> DataFrame:
+    """vec_id and embedding; drops null ids and null vectors, and vectors with null or non-finite components."""
+    fine = F.forall("embedding", lambda e: e.isNotNull() & (F.abs(e.cast("double")) < float("inf")))
+    return vectors.select(F.col("vec_id").cast("long"), "embedding").filter(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
+
+
+def quantised(column: pd.Series, dims: int, scale: int) -> np.ndarray:
+    """Integer components floor(scale * x), a row for each vector; Python's integers where 64 bits may not do."""
+    raw = np.zeros((len(column), dims))
+    for i, v in enumerate(column):
+        raw[i, : len(v)] = v
+    with np.errstate(over="ignore"):
+        x = np.floor(scale * raw)
+    if np.abs(x).max(initial=0) < 1 << 62:
+        return x.astype(np.int64)
+    out = np.empty(x.shape, dtype=object)
+    out.flat = [int(e) if math.isfinite(e) else int(r) * scale for e, r in zip(x.flat, raw.flat, strict=True)]
+    return out
 
 
 class Index:
@@ -39,15 +52,18 @@ class Index:
         n, self.dims = values.shape
         self.ids, self.values = ids, values
         self.low = values.min(0)
-        shifted = (values - self.low).astype(np.int64)
+        self.most = int(np.abs(values).max())
+        shifted = values - self.low
         self.bits = max(1, int(shifted.max()).bit_length()) if self.dims else 1
         self.rows = np.zeros(-(-n // 64) * 64, dtype=bool)
         self.rows[:n] = True
         self.rows = self._packed(self.rows[None])[0]
-        slices = np.zeros((self.dims, self.bits, len(self.rows) * 64), dtype=bool)
+        direct = np.zeros((self.dims, self.bits, len(self.rows)), dtype=np.uint64)
         for j in range(self.bits):
-            slices[:, j, :n] = ((shifted >> j) & 1).T.astype(bool)
-        direct = self._packed(slices.reshape(self.dims * self.bits, -1))
+            slices = np.zeros((self.dims, len(self.rows) * 64), dtype=bool)
+            slices[:, :n] = ((shifted >> j) & 1).T.astype(bool)
+            direct[:, j] = self._packed(slices)
+        direct = direct.reshape(self.dims * self.bits, -1)
         self.slices = np.concatenate([direct, ~direct & self.rows])
 
     @staticmethod
@@ -109,41 +125,55 @@ class Index:
         numbers = lambda m: np.flatnonzero(np.unpackbits(m.view(np.uint8), bitorder="little"))
         best = numbers(sure)
         best = np.concatenate([best, numbers(tied)[: k - len(best)]]) if len(best) < k else best
-        return best, self.values[best] @ query
+        return best, self._products(best, query)
+
+    def _products(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Inner products of some rows; by Python's integers where a sum may pass 63 bits."""
+        if self.dims * self.most * int(np.abs(query).max(initial=0)) < 1 << 63:
+            return self.values[rows].astype(np.int64) @ query.astype(np.int64)
+        return (self.values[rows].astype(object) * query.astype(object)).sum(1)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: for every query row the k rows of highest integer inner product, without
     rows of its own id; ties to smaller vec_id. ``vectors`` has vec_id and embedding; a shorter vector's missing
-    components count as 0. Rows that repeat take part as often as they are. Empty input gives no rows."""
-    rows = quantised(vectors, scale)
-    n, nq, dims = rows.agg(F.count(F.lit(1)), F.count_if(is_query), F.max(F.size("q"))).first()
-    blocks, query_blocks = max(1, math.ceil(n / ROWS)), max(1, math.ceil(nq / QUERIES))
+    components count as 0. All finite vectors take part; ranks are exact at any size, and a score is null where it
+    passes the 64 bits of its column. Rows that repeat take part as often as they are. Empty input gives no rows."""
+    size = F.coalesce(F.array_max(F.transform("embedding", lambda e: F.abs(e.cast("double")))), F.lit(0.0))
+    rows = finite(vectors).withColumn("wide", size >= float(WIDE // scale))
+    n, large, nq, dims, most = rows.agg(F.count(F.lit(1)), F.count_if("wide"), F.count_if(is_query), F.max(F.size("embedding")), F.max(size)).first()
+    usual, query_blocks = max(1, math.ceil((n - large) / ROWS)), max(1, math.ceil(nq / QUERIES))
+    blocks = usual + math.ceil(large / max(1, ROWS // WIDE_SHARE))
     dims = max(1, dims or 1)
+    bound = dims * ((int(most or 0) + 1) * scale + 1) ** 2  # of every score's size
+    places = bound.bit_length() // 8 + 1 if bound >= 1 << 63 else 0  # bytes that order the scores beyond 64 bits
     number = F.monotonically_increasing_id()
     spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    indexed = rows.withColumns({"block": F.pmod(F.xxhash64(number), F.lit(blocks)).cast("int"), "query_block": spread(query_blocks)})
-    asked = rows.filter(is_query).withColumn("query_row", number)
+    dealt = lambda m: F.pmod(F.xxhash64(number), F.lit(m)).cast("int")
+    block = F.when(F.col("wide"), usual + dealt(max(1, blocks - usual))).otherwise(dealt(usual))
+    indexed = rows.withColumns({"block": block, "query_block": spread(query_blocks)}).drop("wide")
+    asked = rows.drop("wide").filter(is_query).withColumn("query_row", number)
     asked = asked.withColumns({"query_block": F.pmod(F.xxhash64("query_row"), F.lit(query_blocks)).cast("int"), "block": spread(blocks)})
 
-    def matrix(column: pd.Series) -> np.ndarray:
-        out = np.zeros((len(column), dims), dtype=np.int64)
-        for i, v in enumerate(column):
-            out[i, : len(v)] = v
-        return out
-
     def search(block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(block) and len(queries):
             block = block.sort_values("vec_id", kind="stable")
-            index = Index(block["vec_id"].to_numpy(), matrix(block["q"]))
-            for row, own, q in zip(queries["query_row"], queries["vec_id"], matrix(queries["q"]), strict=True):
+            index = Index(block["vec_id"].to_numpy(), quantised(block["embedding"], dims, scale))
+            for row, own, q in zip(queries["query_row"], queries["vec_id"], quantised(queries["embedding"], dims, scale), strict=True):
                 best, scores = index.top(q, own, k)
-                found.append(pd.DataFrame({"query_row": row, "query_id": own, "vec_id": index.ids[best], "score": scores}))
-        return pd.concat(found) if found else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_row", "query_id", "vec_id", "score")})
+                part = pd.DataFrame({"query_row": row, "query_id": own, "vec_id": index.ids[best], "score": scores})
+                if places:
+                    exact = [int(x) for x in scores]
+                    part["score"] = pd.Series([x if -(1 << 63) <= x < 1 << 63 else None for x in exact], dtype=object)
+                    part["place"] = [(x + (1 << (8 * places - 1))).to_bytes(places, "big") for x in exact]
+                found.append(part)
+        empty = pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_row", "query_id", "vec_id", "score")} | ({"place": pd.Series(dtype=object)} if places else {}))
+        return pd.concat(found) if found else empty
 
     keys = ["block", "query_block"]
-    partial = indexed.groupBy(keys).cogroup(asked.groupBy(keys)).applyInPandas(search, "query_row long, query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
+    kinds = "query_row long, query_id long, vec_id long, score long" + (", place binary" if places else "")
+    partial = indexed.groupBy(keys).cogroup(asked.groupBy(keys)).applyInPandas(search, kinds)
+    order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("place" if places else "score"), "vec_id")
     ranked = partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -59,6 +59,24 @@ def test_top_k_with_few_rows(spark):
     assert topk_bitslice.top_k(vectors(spark, []), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("large", [2.0**20, 3.0e38])
+def test_top_k_keeps_large_components(spark, monkeypatch, large):
+    monkeypatch.setattr(topk_bitslice, "ROWS", 70)
+    data = sample(200) + [(1000, [large] * 16), (1050, [-large] + [0.5] * 15), (1001, [0.0] * 15 + [large]), (1002, [-large] * 16)]
+    vecs = vectors(spark, data)
+    whole = [(i, [math.floor(256 * e) for e in v]) for i, v in ((r.vec_id, r.embedding) for r in vecs.collect())]
+    want = brute(whole, 50, 5, lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)))
+    got = topk_bitslice.top_k(vecs, F.col("vec_id") % 50 == 0).collect()
+    assert {tuple(r) for r in got} == {(q, r, i, s if abs(s) < 2**63 else None) for q, r, i, s in want}
+
+
+def test_top_k_sums_of_many_dimensions(spark):
+    v = [(i, [(2.0**20 - 1 - i)] * 200) for i in range(9)]
+    got = topk_bitslice.top_k(vectors(spark, v), F.col("vec_id") == 0).collect()
+    scores = {i: sum(int(256 * a) * int(256 * b) for a, b in zip(v[0][1], x, strict=True)) for i, x in v}
+    assert {tuple(r) for r in got} == {(0, i, i, scores[i] if scores[i] < 2**63 else None) for i in range(1, 6)}
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_tree_search(spark, monkeypatch, small):
     if small:
