@@ -56,9 +56,9 @@ def row_key(text: str = "text", doc_id: str = "doc_id") -> Column:
     return F.struct(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("id"), F.xxhash64(F.col(doc_id).isNull(), doc_id, text).alias("hash"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, of_each: int, chars: int) -> tuple[list, dict[int, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, of_each: int, chars: int) -> tuple[DataFrame, dict[int, int]]:
     """A bounded sample for fitting: of each label (0, 1) about ``of_each`` documents, those whose hashed id falls
-    under a share; rows (doc_id, place, label, text) in order of place, and the number of labelled ids by label.
+    under a share; rows (doc_id, place, label, text), and the number of labelled ids by label.
 
     ``labels`` has doc_id and label; an id with several labels counts with the highest, null labels don't count.
     The chosen ids, at most some 2 * of_each, are broadcast; texts are cut at ``chars`` characters here only."""
@@ -68,8 +68,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, of_each: int, chars: int
     share = F.when(F.col("label") == 1, of_each / max(1, sizes.get(1, 0))).otherwise(of_each / max(1, sizes.get(0, 0)))
     chosen = labels.withColumn("place", place).filter(F.col("place") < share)
     rows = docs.select("doc_id", F.substring("text", 1, chars).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = rows.dropDuplicates(["doc_id"]).select("doc_id", "place", "label", "text").collect()
-    return sorted(rows, key=lambda r: (r.place, r.doc_id)), sizes
+    return rows.dropDuplicates(["doc_id"]).select(F.col("doc_id").cast("long"), "place", "label", "text"), sizes
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -9,6 +9,7 @@ and its nearest neighbours vote with weights that grow with the similarity.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from inputlens.llm.common import hashed_words, labelled_sample, mix, span_hashes
 
 #: Labelled documents in the sample at most (about), and characters of each taken.
-SAMPLE_DOCS, SAMPLE_CHARS = 4000, 40_000
+SAMPLE_DOCS, SAMPLE_CHARS = 6000, 40_000
 #: Hashed terms: of shapes, of pairs of shapes, of words; singular vectors; neighbours; sharpness of their weights.
 SHAPES, PAIRS, LEXICAL, RANK, NEIGHBOURS, SHARPNESS = 512, 1024, 1024, 48, 15, 20.0
 TERMS = SHAPES + PAIRS + LEXICAL + 1
@@ -71,6 +72,15 @@ def counts(column: pa.Array) -> np.ndarray:
     return out
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, place, label, text) with the text's term counts, compressed, in place of the text."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(a, BLOCK)
+            terms = [zlib.compress(row.tobytes(), 1) for row in counts(part.column(3))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(terms, pa.binary())], names=["doc_id", "place", "label", "terms"])
+
+
 def _shapes(signs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of the words' shapes, given where each word's signs start and end."""
     return span_hashes(signs, starts, ends, 2, False)
@@ -99,11 +109,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     parts if there are enough of each.
 
     A bounded sample: of either class about half of SAMPLE_DOCS documents, the first SAMPLE_CHARS characters of each.
-    Without rows every score is the prior 0.5."""
+    Their terms are counted in tasks; the driver gets the counts, not the texts. Without rows every score is the prior 0.5."""
     rows, sizes = labelled_sample(docs, labels, SAMPLE_DOCS // 2, SAMPLE_CHARS)
+    rows = sorted(rows.mapInArrow(counted, "doc_id long, place double, label int, terms binary").collect(), key=lambda r: (r.place, r.doc_id))
     if not rows:
         return Model(np.ones(TERMS), np.zeros((TERMS, 1)), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
-    n = counts(pa.array([r.text for r in rows], pa.string()))
+    n = np.empty((len(rows), TERMS), dtype=np.float32)
+    for i, r in enumerate(rows):
+        n[i] = np.frombuffer(zlib.decompress(bytes(r.terms)), np.float32)
     idf = np.log((1 + len(n)) / (1 + (n > 0).sum(0))) + 0.1
     for a in range(0, len(n), BLOCK):  # in place: the sample's matrix is the driver's largest array
         n[a : a + BLOCK] = weighted(n[a : a + BLOCK], idf)

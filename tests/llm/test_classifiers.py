@@ -78,3 +78,11 @@ def test_scores(spark, docs, module, label, limit):
     assert {r.p for r in docs.limit(5).select(module.predict(F.col("text"), nothing).alias("p")).collect()} == {0.5}
     one = module.fit(docs, labels.filter("label = 1"))
     assert all(0 <= r.p <= 1 for r in docs.limit(5).select(module.predict(F.col("text"), one).alias("p")).collect())
+
+
+def test_quality_learns_from_the_whole_sample(spark):
+    n = 2 * quality_knn.SAMPLE_DOCS
+    made = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("ther "), F.col("id").cast("string")).alias("text"), (F.col("id") % 2).cast("int").alias("label"))
+    model = quality_knn.fit(made, made.select("doc_id", "label"))
+    assert 5700 < len(model.labels) < 6300 and len(model.labels) == len(model.vectors)
+    assert 0.45 < model.labels.mean() < 0.55
