@@ -74,12 +74,12 @@ class Tables:
         """Features of all events and of automation in proportion: a session of each kind for 20 windows."""
         human = self.features()
         n = max(1, math.ceil(human.count() / 20))
-        automated = features.window_features(automation_events(self.spark, n, minutes_per_session=10), P1["window_s"])
+        automated = features.window_features(automation_events(self.spark, n), P1["window_s"])
         exclude = self.spark.createDataFrame([("user-0", DAY), ("demo", None)], "user string, day string")
         return liveness.labeled_dataset(human, automated, exclude, TZ)
 
     def scored(self) -> DataFrame:
-        model = liveness.train(self.labelled(), trees=20, depth=8)
+        model = liveness.train(self.labelled())
         return liveness.score_windows(self.features(), model)
 
 
@@ -124,7 +124,7 @@ def _calendar(t: Tables) -> DataFrame:
 
 
 def _day_flags(t: Tables) -> DataFrame:
-    """Flags over a fixed score: the last digit of the window's keystrokes, in tenths."""
+    """Flags over a fixed score that SQL can express; those over the model's scores are ``m10_day_flags``."""
     scored = t.minutes(3600).select("user", "window_start", ((F.col("keystrokes") * 7 + F.col("clicks") * 3) % 10 / 10).alias("probability"))
     return liveness.score_days(scored, TZ)
 
@@ -157,11 +157,11 @@ def _stream(t: Tables, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
 
 
 def _report(t: Tables) -> DataFrame:
-    return liveness.evaluate(t.labelled(), trees=20, depth=8).withColumn("importances", F.to_json("importances"))
+    return liveness.evaluate(t.labelled()).withColumn("importances", F.to_json("importances"))
 
 
 def _importance(t: Tables) -> DataFrame:
-    return liveness.ranked_importances(t.spark, liveness.train(t.labelled(), trees=20, depth=8))
+    return liveness.ranked_importances(t.spark, liveness.train(t.labelled()))
 
 
 def _live(t: Tables) -> DataFrame:
@@ -199,6 +199,7 @@ QUERIES = {
     "m5_split": _with(_split),
     "m8_report": _with(_report),
     "m9_scores": _with(lambda t: t.scored()),
+    "m10_day_flags": _with(lambda t: rounded(liveness.score_days(t.scored(), TZ))),
     "q_day_metrics": _with(lambda t: _one_day(t.days()).orderBy("window_start")),
     "q_heatmap_day": _with(lambda t: _one_day(heat.heatmap_by_day(t.events, TZ))),
     "q_recent_metrics": _with(_recent),
