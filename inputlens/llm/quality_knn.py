@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from inputlens.llm.common import hashed_words, labelled_sample, mix, span_hashes
 
-#: Labelled documents in the sample at most (about), and characters of each taken.
-SAMPLE_DOCS, SAMPLE_CHARS = 6000, 40_000
+#: Labelled documents in the sample at most (about).
+SAMPLE_DOCS = 6000
 #: Hashed terms: of shapes, of pairs of shapes, of words; singular vectors; neighbours; sharpness of their weights.
 SHAPES, PAIRS, LEXICAL, RANK, NEIGHBOURS, SHARPNESS = 512, 1024, 1024, 48, 15, 20.0
 TERMS = SHAPES + PAIRS + LEXICAL + 1
@@ -108,9 +108,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Model from the documents (doc_id, text) that ``labels`` (doc_id, label 0/1) names: both classes in equal
     parts if there are enough of each.
 
-    A bounded sample: of either class about half of SAMPLE_DOCS documents, the first SAMPLE_CHARS characters of each.
-    Their terms are counted in tasks; the driver gets the counts, not the texts. Without rows every score is the prior 0.5."""
-    rows, sizes = labelled_sample(docs, labels, SAMPLE_DOCS // 2, SAMPLE_CHARS)
+    A bounded sample: of either class about half of SAMPLE_DOCS documents, with their whole texts (null: no words). Their
+    terms are counted in tasks; the driver gets the counts, not the texts. The prior is the share of label 1 among all
+    labelled documents of ``docs``; without rows every score is 0.5."""
+    rows, sizes = labelled_sample(docs, labels, SAMPLE_DOCS // 2)
     rows = sorted(rows.mapInArrow(counted, "doc_id long, place double, label int, terms binary").collect(), key=lambda r: (r.place, r.doc_id))
     if not rows:
         return Model(np.ones(TERMS), np.zeros((TERMS, 1)), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
@@ -126,8 +127,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(idf, axes, z.astype(np.float32), np.array([r.label for r in rows], float), sizes.get(1, 0) / sum(sizes.values()))
 
 
+def cosines(z: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Cosines of unit rows with unit rows, rounded to 1e-6: a text's votes must not depend on the block it stands in."""
+    return np.round((z @ vectors.T).astype(np.float64), 6)
+
+
 def score(model: Model, column: pa.Array) -> np.ndarray:
-    """Weighted share of label 1 among the nearest labelled vectors; texts without words get the prior."""
+    """Weighted share of label 1 among the nearest labelled vectors; neighbours as near as the last one all vote, so ties
+    need no choice. Texts without words get the prior."""
     out = np.full(len(column), model.prior)
     if not len(model.labels):
         return out
@@ -136,19 +143,20 @@ def score(model: Model, column: pa.Array) -> np.ndarray:
         part = column.slice(a, BLOCK)
         n = counts(part)
         z = weighted(n, model.idf) @ model.axes
-        length = np.linalg.norm(z, axis=1, keepdims=True)
-        cosines = (z / np.maximum(1e-9, length)).astype(np.float32) @ model.vectors.T
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        sims = np.take_along_axis(cosines, near, 1)
-        weights = np.exp(SHARPNESS * (sims - sims.max(1, keepdims=True)))
-        votes = (weights * model.labels[near]).sum(1) / weights.sum(1)
-        has = n[:, :SHAPES].sum(1) > 0
-        out[a : a + BLOCK][has] = votes[has]
+        z = (z / np.maximum(1e-9, np.linalg.norm(z, axis=1, keepdims=True))).astype(np.float32)
+        has = np.flatnonzero(n[:, :SHAPES].sum(1) > 0)
+        c = cosines(z[has], model.vectors)
+        last = np.partition(c, len(model.labels) - k, axis=1)[:, len(model.labels) - k]
+        row, neighbour = np.nonzero(c >= last[:, None])
+        weights = np.exp(SHARPNESS * (c[row, neighbour] - 1))
+        for_one = np.bincount(row, weights=weights * model.labels[neighbour], minlength=len(has))
+        out[a + has] = np.round(for_one / np.maximum(1e-300, np.bincount(row, weights=weights, minlength=len(has))), 6)
     return np.clip(out, 0.0, 1.0)
 
 
 def predict(text: Column, model: Model) -> Column:
-    """Score from 0 to 1 of a text column (higher: label 1 likelier)."""
+    """Score from 0 to 1 of a text column (higher: label 1 likelier), of whole texts at any length. Null, empty and blank
+    texts get the prior; rows that repeat get equal scores."""
     from pyspark.sql import SparkSession
 
     shared = SparkSession.active().sparkContext.broadcast(model)

@@ -71,8 +71,8 @@ def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ids of byte_bpe_50k.json come from the same vocabulary in rank form; id 2 ends a document."""
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), end_id=2)
+    """All documents in sequences of 1024 tokens; id 2 ends a document."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
