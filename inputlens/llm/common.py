@@ -64,6 +64,33 @@ def discard(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: A key with more than 1/HOT of all rows is hot: fewer than HOT keys can be.
+HOT = 2000
+
+
+def with_keys(rows: DataFrame, counted: DataFrame, keys: list[str], times: str) -> DataFrame:
+    """The ``rows`` whose keys ``counted`` has (a left semi join, keys not null). ``counted`` holds in ``times`` how many
+    rows a key has; hot keys, of which there are fewer than HOT, are broadcast, so that no task gets all rows of one."""
+    total = rows.count()
+    hot = F.col(times) * HOT > total
+    few = F.broadcast(counted.filter(hot).select(keys))
+    rest = rows.join(few, keys, "left_anti").join(counted.filter(~hot).select(keys), keys, "left_semi")
+    return rows.join(few, keys, "left_semi").unionByName(rest)
+
+
+def matched(rows: DataFrame, values: DataFrame, keys: list[str], how: str = "inner", most: int | None = None) -> DataFrame:
+    """``rows`` joined with ``values`` (inner, left or left_semi; keys not null, of one name). Keys that hold more than
+    1/``most`` (HOT) of ``rows``, and so are fewer than ``most``, meet their values in a broadcast of just those, so that
+    no task gets all rows of one. ``rows`` is read several times: pass a written table."""
+    most, total = most or HOT, rows.count()
+    hot = rows.groupBy(keys).count().filter(F.col("count") * most > total).select(keys).collect()  # fewer than ``most`` rows
+    if not hot:
+        return rows.join(values, keys, how)
+    few = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(keys).schema))
+    rest = rows.join(few, keys, "left_anti").join(values, keys, how)
+    return rows.join(few, keys, "left_semi").join(F.broadcast(values.join(few, keys, "left_semi")), keys, how).unionByName(rest)
+
+
 def crc_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; null ids fall in no bucket (null)."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))

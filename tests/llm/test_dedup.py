@@ -5,9 +5,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from inputlens.llm import sketch, substring_dedup
+from inputlens.llm import common, sketch, substring_dedup
 from inputlens.llm.common import WORD
 
 SCHEMA = "doc_id long, text string, n_words int, dedup string"
@@ -46,8 +47,11 @@ def corpus(seed, window):
 @pytest.mark.parametrize("blind", [False, True])
 def test_equals_brute_force(spark, monkeypatch, window, blind):
     if blind:  # a sketch so crowded that it lets almost all windows pass
-        monkeypatch.setattr(sketch, "BLOCK", 256)
-        monkeypatch.setattr(sketch, "MOST_CELLS", 256)
+        monkeypatch.setattr(sketch, "CELLS", 256)
+        monkeypatch.setattr(sketch, "BLOCK_KEYS", 300)
+        monkeypatch.setattr(sketch, "LOT_KEYS", 100)
+        monkeypatch.setattr(substring_dedup, "GATHERED", 200)
+        monkeypatch.setattr(common, "HOT", 3)
     rows = corpus(window, window)
     docs = spark.createDataFrame([(i, t, 1, "clash") for i, t in rows], SCHEMA).repartition(5)
     made = substring_dedup.dedup(docs, window, keep_text=True)
@@ -58,6 +62,19 @@ def test_equals_brute_force(spark, monkeypatch, window, blind):
         assert r.dedup.kept_text == r.text if not r.dedup.n_removed else hashlib.sha256(r.dedup.kept_text.encode()).hexdigest() == r.dedup.kept_sha256
 
 
+def test_few_single_keys_pass_at_any_size():
+    """A block's share of false answers, as keys of 30 GB and of 100 TB of text would be dealt to it."""
+    for keys in (5 * 10**8, 16 * 10**11):
+        blocks = sketch.blocks_for(keys)
+        own = np.random.default_rng(1).integers(0, 1 << 63, int(keys / blocks), dtype=np.uint64)
+        count = np.zeros(2 * sketch.CELLS, dtype=np.int64)
+        for at in sketch.cells_of(own, sketch.CELLS):
+            count += np.bincount(at, minlength=len(count))
+        assert sketch.often(np.packbits(count > 1, bitorder="little"), own).mean() < 0.1
+        some = sketch.block_of(own, blocks)
+        assert some.min() >= 0 and some.max() < blocks
+
+
 def test_empty_table(spark):
     assert substring_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
