@@ -9,6 +9,10 @@ settled by exact intersection of the sorted sets.
 Crowded shingles, as large groups of near copies make, never become all pairs: first every node of a shingle is held
 against one pivot; the links that this finds are closed into components; then only pairs from different components
 are still open, and only shingles with several components make tiles, split into blocks.
+
+Which shingles two nodes share is found by a join on exact shingle hashes; nothing whose size follows the data is
+broadcast. Keys that hold a large share of a table (a common shingle, a pivot, a hub of links, a set that very many
+documents have) meet their partners in a broadcast of those few alone (``common.matched``).
 """
 
 from __future__ import annotations
@@ -24,16 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inputlens.llm import sketch
-from inputlens.llm.common import hashed_words, mix, rolling, row_key, written
+from inputlens.llm.common import discard, hashed_words, matched, mix, rolling, row_key, with_keys, written
 
 #: Words of a shingle and the similarity, in percent.
 SHINGLE, THRESHOLD = 5, 80
-#: Cells that count how frequent shingles are, and of a block of them; bits of a bitmap at least and at most; rows of
-#: a tile's block, and of a task's tiles (about).
+#: Cells that count how frequent shingles are, and of a block of them: shingles with more than a cell's even share of all
+#: occurrences are told apart, at any size of the input; bits of a bitmap at least and at most; rows of a tile's block, and
+#: of a task's tiles (about).
 FREQUENCY_CELLS, FREQUENCY_BLOCK, LEAST_BITS, MOST_BITS, BLOCK_ROWS, TASK_ROWS = 1 << 23, 1 << 18, 64, 1 << 15, 1024, 40_000
-#: Bytes of text to a shingle, roughly (sizes the sketch; only its speed depends on it).
-BYTES_PER_SHINGLE = 6
+#: A key whose sets are broadcast has more than one in so many of the pairs: sets are long.
+FEW_SETS = 20
 
 
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -96,7 +100,7 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(FREQUENCY_CELLS, dtype=np.uint16)  # up to 65,535: beyond, all are alike
+        counts = np.zeros(FREQUENCY_CELLS, dtype=np.uint32)
         for batch in batches:
             sizes, nodes, bits = [], [], []
             for s in shingle_sets(batch.column(1), k):
@@ -104,7 +108,7 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
                 nodes.append(node_of(s))
                 bits.append(bitmap(s).tobytes() if len(s) else b"")
                 at = (s & np.uint64(FREQUENCY_CELLS - 1)).astype(np.int64)
-                counts[at] += counts[at] < 65_535
+                counts[at] += 1  # elements are distinct; two in one cell count once
             n = len(sizes)
             columns = [batch.column(0), batch.column(2), sizes, nodes, bits, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
@@ -145,46 +149,40 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-labels")
     while True:
-        around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        around = matched(both, labels.withColumnRenamed("node", "b"), ["b"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         new = labels.join(around, "node").select("node", F.least("label", "near").alias("near"), F.col("label").alias("old"))
+        new = written(new, f"{name}-near")
         jump = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
-        new = written(new.join(jump, "near", "left").select("node", F.least("near", "far").alias("label"), "old"), f"{name}-labels")
-        labels, changed = new.select("node", "label"), new.filter("label <> old").limit(1).count()
+        after = matched(new, jump, ["near"], "left").select("node", F.least("near", "far").alias("label"), "old")
+        after = written(after, f"{name}-labels")
+        changed = after.filter("label <> old").limit(1).count()
+        discard(new, labels)
+        labels = after.select("node", "label")
         if not changed:
+            discard(both)
             return labels
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node and elements of the sets of ``wanted`` (node, doc_id: a document that has the set).
-
-    The documents are found on the way through the texts by a sketch of the wanted pairs, so that few others'
-    sets move; the rest is an exact join."""
-
-    def pair_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield _pair_key(batch.column(0).to_numpy(), batch.column(1).fill_null(-1).to_numpy())
-
-    bits = sketch.build(wanted.select("node", "doc_id"), pair_keys, wanted.count(), least=1)
+def sets_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """node and elements of the sets of ``nodes`` (node, doc_id, row_hash: a row that has the set), as a written table.
+    Only texts of those rows are hashed again."""
+    keyed = docs.select("text", row_key().alias("key")).select("text", "key.id", "key.hash")
+    wanted = nodes.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("row_hash").alias("hash"), "node")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = bits.value.often
         for batch in batches:
-            ids = batch.column(0).fill_null(-1).to_numpy()
-            for a in range(0, len(ids), 500):
-                sets = list(shingle_sets(batch.column(1).slice(a, 500), k))
-                nodes = np.array([node_of(s) for s in sets], dtype=np.int64)
-                some = np.flatnonzero(often(_pair_key(nodes, ids[a : a + 500])))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array([sets[i].tobytes() for i in some], pa.binary())], names=["node", "elements"])
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                sets = [s.tobytes() for s in shingle_sets(part.column(0), k)]
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(sets, pa.binary())], names=["node", "elements"])
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "node long, elements binary")
-    return written(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-
-
-def _pair_key(nodes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return mix(nodes.view(np.uint64) ^ mix(ids.astype(np.int64).view(np.uint64)))
+    rows = keyed.join(wanted, ["id", "hash"]).dropDuplicates(["node"]).select("text", "node")
+    return written(rows.mapInArrow(scan, "node long, elements binary"), "sets")
 
 
 def bounded(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
-    """Those of the pairs (a, b) whose bitmaps allow the similarity; ``nodes`` has node, n, bits."""
+    """Those of the pairs (a, b) whose bitmaps allow the similarity; ``nodes`` has node, n, bits. Many pairs may have
+    one a."""
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("bits").alias("x"))
     right = nodes.select(F.col("node").alias("b"), "n", F.col("bits").alias("y"))
 
@@ -198,14 +196,13 @@ def bounded(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
             total = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(possible(total, apart, threshold)))
 
-    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "m", "n", "x", "y")
+    rows = matched(pairs, left, ["a"], most=FEW_SETS).join(right, "b").select("a", "b", "m", "n", "x", "y")
     return rows.mapInArrow(bound, "a long, b long")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar, as a written table; the sets come from the texts."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = sets_of(docs, written(nodes.select("node", "doc_id").join(ends, "node", "left_semi"), "wanted"), k)
+def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Those of the pairs (a, b), a written table, whose ``sets`` are similar, as a written table. Many pairs may have
+    one a."""
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
 
@@ -214,7 +211,7 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, thresh
             keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), threshold) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
+    joined = matched(pairs, left, ["a"], most=FEW_SETS).join(right, "b").select("a", "b", "x", "y")
     return written(joined.mapInArrow(settle, "a long, b long"), "links")
 
 
@@ -231,7 +228,7 @@ def tile_pairs(rows: DataFrame, bitmaps: DataFrame, threshold: int) -> DataFrame
     placed = placed.withColumn("lower", F.col("band") > F.col("own")).drop("own")
     sizes = placed.groupBy("token", "band").agg(F.count(F.lit(1)).alias("held"), F.min("lower").alias("all_lower"), F.min("label").alias("l"), F.max("label").alias("m"))
     sizes = sizes.filter((F.col("l") != F.col("m")) & ~F.col("all_lower")).select("token", "band", F.ceil(F.col("held") / BLOCK_ROWS).cast("int").alias("blocks"))
-    tiles = placed.join(sizes, ["token", "band"])
+    tiles = matched(written(placed, "placed"), sizes, ["token", "band"])
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # a row of block s works with all blocks: pair (min, max) of s and each other block
     tiles = tiles.withColumn("mine", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
@@ -274,61 +271,56 @@ def tile_pairs(rows: DataFrame, bitmaps: DataFrame, threshold: int) -> DataFrame
 
 def links(docs: DataFrame, profiled: DataFrame, k: int, threshold: int) -> DataFrame:
     """node, label of the nodes that a link of similarity joins to another node; equal labels are connected."""
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    levels = spark.sparkContext.broadcast(frequency_levels(profiled))
-    share = (100 - threshold) / 100
-
-    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        parts = [prefix(s, levels.value, threshold) for s in shingle_sets(batch.column(0), k)]
-        yield np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
-
-    bits = sketch.build(docs.select("text"), keys, int(size / BYTES_PER_SHINGLE * share))
+    levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(profiled))
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, names = bits.value.often, ["token", "node", "n"]
         for batch in batches:
-            tokens, nodes, sizes = [], [], []
-            for s in shingle_sets(batch.column(0), k):
-                p = prefix(s, levels.value, threshold)
-                p = p[often(p)]
-                if len(p):
-                    tokens.append(p)
+            for a in range(0, batch.num_rows, 500):
+                tokens, nodes, sizes = [], [], []
+                for s in shingle_sets(batch.column(0).slice(a, 500), k):
+                    p = prefix(s, levels.value, threshold)
+                    tokens.append(p.view(np.int64))
                     nodes.append(np.full(len(p), node_of(s), dtype=np.int64))
                     sizes.append(np.full(len(p), len(s), dtype=np.int32))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in ([t.view(np.int64) for t in tokens], nodes, sizes)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tokens, nodes, sizes)], names=["token", "node", "n"])
 
-    rows = docs.select("text").mapInArrow(postings, "token long, node long, n int")
-    rows = written(rows.groupBy("token", "node").agg(F.first("n").alias("n")), "postings")
-    shared = rows.groupBy("token").agg(F.min("node").alias("u"), F.max("node").alias("v")).filter("u <> v").select("token")
-    rows = written(rows.join(shared, "token"), "shared")
+    every = written(docs.select("text").mapInArrow(postings, "token long, node long, n int"), "postings")
+    shared = every.groupBy("token").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.count(F.lit(1)).alias("times")).filter("u <> v")
+    shared = written(shared.select("token", "times"), "tokens")
+    rows = written(with_keys(every, shared, ["token"], "times").dropDuplicates(["token", "node"]), "shared")
+    discard(every, shared)
     # a shingle's pivot is its node with the largest share of rare shingles that others have too: in a group of
     # edited copies that is the text they come from, which is nearer to each than they are to each other
     taken = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
     shares = rows.groupBy("node").agg((F.count(F.lit(1)) / F.first(taken)).alias("share"))
     central = F.max_by(F.struct(F.col("node").alias("pivot"), F.col("n").alias("pivot_n")), F.struct("share", -F.col("node")))
-    pivots = rows.join(shares, "node").groupBy("token").agg(central.alias("p")).select("token", "p.*")
-    held = rows.join(pivots, "token")
+    pivots = written(rows.join(shares, "node").groupBy("token").agg(central.alias("p")).select("token", "p.*"), "pivots")
+    held = matched(rows, pivots, ["token"])
     fits = 100 * F.least("n", "pivot_n") >= threshold * F.greatest("n", "pivot_n")
-    pairs = held.filter(fits & (F.col("node") != F.col("pivot"))).select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+    pairs = held.filter(fits & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     nodes = profiled.filter("n > 0").join(rows.select("node").distinct(), "node", "left_semi")
-    nodes = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    row = F.min(F.struct("doc_id", "row_hash"))
+    nodes = nodes.groupBy("node").agg(row.alias("row"), F.first("n").alias("n"), F.first("bits").alias("bits")).select("node", "row.*", "n", "bits")
     nodes = written(nodes, "nodes")
-    first = verified(docs, written(bounded(pairs, nodes, threshold), "pairs"), nodes, k, threshold)
+    sets = sets_of(docs, nodes, k)
+    first = verified(written(bounded(written(pairs, "held"), nodes, threshold), "pairs"), sets, threshold)
     labels = components(first, "first")
     # open pairs: of a shingle whose nodes are in several components
-    rows = rows.select("token", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_rows = rows.select("token", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_rows = written(open_rows, "open")
     # neighbouring shingles of a shared passage have the same nodes: one shingle of each set of nodes is enough
-    mixed = rows.groupBy("token").agg(
+    mixed = open_rows.groupBy("token").agg(
         F.min("label").alias("l"), F.max("label").alias("m"), F.count(F.lit(1)).alias("held"), F.min("node").alias("u"),
         F.max("node").alias("v"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).bitwiseAND(0x7FFFFFFF)).alias("s"),
     )
-    tokens = mixed.filter("l <> m").groupBy("held", "u", "v", "x", "s").agg(F.min("token").alias("token")).select("token")
-    rows = rows.join(tokens, "token").join(nodes.select("node", "n"), "node")
-    pairs = tile_pairs(rows, nodes.select("node", "bits"), threshold)
-    second = verified(docs, written(pairs, "pairs"), nodes, k, threshold)
-    return components(first.unionByName(second), "all")
+    tokens = mixed.filter("l <> m").groupBy("held", "u", "v", "x", "s").agg(F.min("token").alias("token"), F.first("held").alias("times"))
+    tokens = written(tokens.select("token", "times"), "open-tokens")
+    some = with_keys(open_rows, tokens, ["token"], "times").join(nodes.select("node", "n"), "node")
+    pairs = tile_pairs(some, nodes.select("node", "bits"), threshold)
+    second = verified(written(pairs, "pairs"), sets, threshold)
+    labels = components(first.unionByName(second), "all")
+    discard(rows, pivots, nodes, sets, first, second, open_rows, tokens)
+    return labels
 
 
 def labelled_rows(docs: DataFrame, k: int, threshold: int) -> DataFrame:
@@ -336,10 +328,12 @@ def labelled_rows(docs: DataFrame, k: int, threshold: int) -> DataFrame:
     labels are equal, whatever their ids; rows without words have no label."""
     profiled = profile(docs, k)
     labels = links(docs, profiled, k, threshold)
-    rows = profiled.filter("block IS NULL").select("doc_id", "row_hash", "n", "node")
-    linked = rows.filter("n > 0").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = written(profiled.filter("block IS NULL").select("doc_id", "row_hash", "n", "node"), "rows")
+    discard(profiled)
+    linked = matched(rows.filter("n > 0"), labels, ["node"], "left").withColumn("label", F.coalesce("label", "node"))
     alone = rows.filter("n = 0").withColumn("label", F.lit(None).cast("long"))
-    return linked.unionByName(alone).select("doc_id", "row_hash", "n", "node", "label")
+    columns = ["doc_id", "row_hash", "n", "node", "label"]
+    return written(linked.select(columns).unionByName(alone.select(columns)), "labelled")
 
 
 def similar_groups(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -348,15 +342,13 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD
     n_shingles is the size of the row's set; component_id the smallest id reachable by links, itself included. Rows
     without words (or null) have an empty set and no links; rows that repeat have equal sets, which link; null ids
     never name a component unless all ids in it are null. Sets are identified by their size and a 64-bit digest.
-    An empty table gives none."""
+    An empty table gives none; texts count whole, at any length."""
     rows = labelled_rows(docs, k, threshold)
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("label").alias("label"))
-    names = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
-    nodes = nodes.join(names, "label").select("node", "component_id")
-    rows = rows.drop("label")
-    linked = rows.filter("n > 0").join(nodes, "node")
+    names = written(rows.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id")), "names")
+    linked = matched(rows.filter("n > 0"), names, ["label"])
     alone = rows.filter("n = 0").withColumn("component_id", F.col("doc_id"))
-    return linked.unionByName(alone).select("doc_id", "row_hash", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    columns = ["doc_id", "row_hash", F.col("n").cast("long").alias("n_shingles"), "component_id"]
+    return linked.select(columns).unionByName(alone.select(columns))
 
 
 def one_of_each(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
