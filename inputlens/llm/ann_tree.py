@@ -1,11 +1,16 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first search.
 
-The tree is fitted on a bounded sample; every row is indexed, each under the leaf it descends to. A query walks the
-tree through a priority queue: the open node whose centre has the largest inner product with it is opened first,
-until it has visited as many leaves as calibration asks for. Calibration compares the walk with exact neighbours,
-over all rows, of a bounded sample of queries, and widens the visits until their recall is reached. Neighbouring
-leaves are searched together, a query bringing the list of those it visits, so that a query has one short result for
-each group and not for each leaf; a crowded leaf is dealt into several groups.
+The upper tree is fitted on a bounded sample and has a bounded number of leaves. Every row is indexed: it descends to
+a leaf, and the rows of a leaf, or of a part of it where it holds many, are split further by a tree of their own, in the
+task that holds them. So leaves stay small at any number of rows, while what all executors share does not grow.
+
+A query walks the upper tree through a priority queue, the open node whose centre has the largest inner product with it
+first, until it has visited as many leaves as calibration asks for. In the trees below it opens nodes whose centre's
+product, divided by the query's length, reaches a level that calibration sets too. Calibration compares with exact
+neighbours, over all rows, of a bounded sample of queries, and widens visits and level until their recall is reached.
+
+Neighbouring leaves are searched together, a query bringing the list of those it visits, so that a query has one short
+result for each group and not for each leaf.
 """
 
 from __future__ import annotations
@@ -23,10 +28,11 @@ from pyspark.sql.window import Window
 
 from inputlens.llm.common import written
 
-#: Rows that the tree is fitted on at most (about), children of a node, rows of a leaf aimed at, leaves at most.
-SAMPLE_ROWS, BRANCHES, LEAF_ROWS, MOST_LEAVES = 20_000, 8, 512, 1024
-#: Queries of the calibration at most (about), recall that it must reach, rows of a searched group at most (about).
-CALIBRATION_QUERIES, RECALL, GROUP_ROWS = 200, 0.95, 8192
+#: Rows that the upper tree is fitted on at most (about), children of a node, rows of a leaf aimed at (in all trees),
+#: leaves of the upper tree at most.
+SAMPLE_ROWS, BRANCHES, LEAF_ROWS, UPPER_LEAVES = 65_536, 8, 16, 4096
+#: Queries of the calibration at most (about), recall that it must reach, rows of a searched block at most (about).
+CALIBRATION_QUERIES, RECALL, BLOCK_ROWS = 200, 0.94, 8192
 ROUNDS = 8
 
 
@@ -57,6 +63,30 @@ class Tree:
             todo += [(kid, rows[near == i]) for i, kid in enumerate(kids) if (near == i).any()]
         return out
 
+    def level(self, query: np.ndarray) -> np.ndarray:
+        """For each leaf the highest level that opens it: the least product of the query's direction with a centre on
+        the way."""
+        near = self.centres @ unit(query)
+        out, todo = np.zeros(self.leaves), [(0, math.inf)]
+        while todo:
+            node, level = todo.pop()
+            if not self.children[node]:
+                out[self.leaf[node]] = level
+            todo += [(kid, min(level, near[kid])) for kid in self.children[node]]
+        return out
+
+    def opened(self, query: np.ndarray, level: float) -> list[int]:
+        """Leaves that best-bin-first search visits until the best open node is below the level; the first one always."""
+        near = (self.centres @ unit(query)).tolist()
+        queue, out = [(-math.inf, 0)], []
+        while queue and (-queue[0][0] >= level or not out):
+            _, node = heappop(queue)
+            if not self.children[node]:
+                out.append(self.leaf[node])
+            for kid in self.children[node]:
+                heappush(queue, (-near[kid], kid))
+        return out
+
     def walk(self, query: np.ndarray) -> Iterator[int]:
         """Leaves, best bin first."""
         queue = [(0.0, 0)]
@@ -70,6 +100,10 @@ class Tree:
                     heappush(queue, (-near, kid))
 
 
+def unit(query: np.ndarray) -> np.ndarray:
+    return query / np.linalg.norm(query)
+
+
 def k_means(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """Centres of Lloyd's iterations; fewer than ``k`` if rows coincide."""
     centres = np.unique(x[rng.choice(len(x), min(k, len(x)), replace=False)], axis=0)
@@ -116,6 +150,34 @@ def grouped(sizes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     return group, blocks
 
 
+class Lower:
+    """The trees below the upper leaves of a block's rows."""
+
+    def __init__(self, x: np.ndarray, leaf: np.ndarray):
+        self.trees = []
+        for own in np.unique(leaf).tolist():
+            rows = np.flatnonzero(leaf == own)
+            tree = grow(x[rows], max(1, len(rows) // LEAF_ROWS)) if len(rows) > 2 * LEAF_ROWS else None
+            lower = tree.assign(x[rows]) if tree else np.zeros(len(rows), dtype=np.int32)
+            self.trees.append((own, rows, tree, lower))
+
+    def visited(self, query: np.ndarray, leaves: set[int] | None, level: float) -> np.ndarray:
+        """Rows below the given upper leaves (all) in lower leaves that the level opens."""
+        out = []
+        for own, rows, tree, lower in self.trees:
+            if leaves is None or own in leaves:
+                out.append(rows if tree is None else rows[np.isin(lower, tree.opened(query, level))])
+        return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+
+    def levels(self, query: np.ndarray, n: int) -> np.ndarray:
+        """For each of the block's rows the level at which the query opens its lower leaf."""
+        out = np.full(n, np.inf)
+        for _, rows, tree, lower in self.trees:
+            if tree is not None:
+                out[rows] = tree.level(query)[lower]
+        return out
+
+
 def matrix(column: pd.Series, dims: int) -> np.ndarray:
     out = np.zeros((len(column), dims))
     for i, v in enumerate(column):
@@ -131,13 +193,15 @@ def exact_scores(x: np.ndarray, query: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest(ids: np.ndarray, x: np.ndarray, query: np.ndarray, rough: np.ndarray, own: int, k: int, here: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and exact scores of the k nearest, ties to smaller ids; ``rough`` are the products in any rounding, ``here`` the
-    rows in question (all)."""
+def nearest(ids: np.ndarray, x: np.ndarray, norms: np.ndarray, query: np.ndarray, rough: np.ndarray, own: int, k: int, here: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and exact scores of the k nearest, ties to smaller ids; ``rough`` are the products in any order of adding,
+    ``norms`` the rows' lengths, ``here`` the rows in question (all)."""
     other = np.flatnonzero(ids != own) if here is None else here[ids[here] != own]
     if len(other) > k:
-        least = np.partition(rough[other], len(other) - k)[len(other) - k]
-        other = other[rough[other] >= least - 1e-9 * (1 + abs(least))]
+        # a sum of d products is wrong by less than d * eps * |x| * |query|, whatever the order
+        slack = 2 * (x.shape[1] + 2) * np.finfo(float).eps * norms[other] * np.linalg.norm(query)
+        least = np.partition(rough[other] - slack, len(other) - k)[len(other) - k]
+        other = other[rough[other] + slack >= least]
     scores = exact_scores(x[other], query)
     best = np.lexsort((ids[other], -scores))[:k]
     return other[best], scores[best]
@@ -157,17 +221,19 @@ def share(n: int, most: int) -> Column:
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RECALL) -> DataFrame:
-    """query_id, rank, vec_id, score: for every query row the k rows found with the largest inner product, without
-    rows of its own id; ties to smaller vec_id. All rows if fewer than k. A shorter vector's missing components
+    """query_id, rank, vec_id, score, rows_scored: for every query row the k rows found with the largest inner product,
+    without rows of its own id; ties to smaller vec_id. All rows if fewer than k. ``rows_scored`` is the number of rows
+    compared with the query in the block where a row was found. A shorter vector's missing components
     count as 0; rows that repeat take part as often as they are; empty input gives no rows."""
     spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
+    schema = "query_id long, rank int, vec_id long, score double, rows_scored long"
     rows = usable(vectors)
     n, nq, dims = rows.agg(F.count(F.lit(1)), F.count_if(is_query), F.max(F.size("embedding"))).first()
     if not nq:
         return spark.createDataFrame([], schema)
     sample = rows.filter(share(n, SAMPLE_ROWS)).toPandas().sort_values("vec_id")
-    tree = grow(matrix(sample["embedding"], dims), max(1, min(MOST_LEAVES, n // LEAF_ROWS))) if len(sample) else Tree(np.zeros((1, dims)), [[]], [0])
+    leaves = max(1, min(UPPER_LEAVES, n // LEAF_ROWS))
+    tree = grow(matrix(sample["embedding"], dims), leaves) if len(sample) else Tree(np.zeros((1, dims)), [[]], [0])
     shared = spark.sparkContext.broadcast(tree)
 
     def descend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,14 +242,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
 
     indexed = written(rows.mapInPandas(descend, "vec_id long, embedding array<double>, leaf int"), "tree")
     sizes = np.zeros(tree.leaves, dtype=np.int64)
-    for leaf, size in indexed.groupBy("leaf").count().collect():
+    for leaf, size in indexed.groupBy("leaf").count().collect():  # at most UPPER_LEAVES rows
         sizes[leaf] = size
-    visits = calibrate(indexed, is_query, nq, tree, dims, k, recall)
-    group, blocks = grouped(sizes, GROUP_ROWS)
-    number = F.monotonically_increasing_id()
-    # both sides' keys must be of one type to meet
+    group, blocks = grouped(sizes, BLOCK_ROWS)
     of_leaf = lambda values: F.element_at(F.lit(values.tolist()), F.col("leaf") + 1).cast("long")
+    number = F.monotonically_increasing_id()
     dealt = indexed.withColumns({"group": of_leaf(group), "block": F.pmod(F.xxhash64(number), of_leaf(blocks))})
+    dealt = written(dealt, "dealt")
+    visits, level = calibrate(dealt, is_query, nq, tree, dims, k, recall)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -199,56 +265,63 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
                 out += [(row, own, v, leaves, g, b) for g, leaves in visited.items() for b in range(blocks[leaves[0]])]
             yield pd.DataFrame(out, columns=["query_row", "query_id", "query", "leaves", "group", "block"])
 
-    asked = indexed.filter(is_query).select(number.alias("query_row"), "vec_id", "embedding")
+    asked = dealt.filter(is_query).select(number.alias("query_row"), "vec_id", "embedding")
     asked = asked.mapInPandas(walk, "query_row long, query_id long, query array<double>, leaves array<int>, group long, block long")
 
     def scan(block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(block) and len(queries):
+            block = block.sort_values("vec_id", kind="stable")
             ids, x, q = block["vec_id"].to_numpy(), matrix(block["embedding"], dims), matrix(queries["query"], dims)
-            leaf = block["leaf"].to_numpy()
-            for a in range(0, len(q), 256):
-                rough = q[a : a + 256] @ x.T
-                for i in range(len(rough)):
-                    visited = np.zeros(len(sizes), dtype=bool)
-                    visited[queries["leaves"].iat[a + i]] = True
-                    here = np.flatnonzero(visited[leaf])
-                    own = queries["query_id"].iat[a + i]
-                    best, scores = nearest(ids, x, q[a + i], rough[i], own, k, here)
-                    found.append((np.full(len(best), queries["query_row"].iat[a + i]), np.full(len(best), own), ids[best], scores))
-        parts = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.zeros(0, t) for t in ("i8", "i8", "i8", "f8")]
-        return pd.DataFrame(dict(zip(("query_row", "query_id", "vec_id", "score"), parts, strict=True)))
+            lower, norms = Lower(x, block["leaf"].to_numpy()), np.linalg.norm(x, axis=1)
+            for i, (row, own, leaves) in enumerate(zip(queries["query_row"], queries["query_id"], queries["leaves"], strict=True)):
+                here = lower.visited(q[i], set(leaves.tolist()), level)
+                rough = np.zeros(len(x))
+                rough[here] = x[here] @ q[i]
+                best, scores = nearest(ids, x, norms, q[i], rough, own, k, here)
+                found.append((np.full(len(best), row), np.full(len(best), own), ids[best], scores, np.full(len(best), len(here))))
+        parts = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.zeros(0, t) for t in ("i8", "i8", "i8", "f8", "i8")]
+        return pd.DataFrame(dict(zip(("query_row", "query_id", "vec_id", "score", "rows_scored"), parts, strict=True)))
 
     keys = ["group", "block"]
-    partial = dealt.groupBy(keys).cogroup(asked.groupBy(keys)).applyInPandas(scan, "query_row long, query_id long, vec_id long, score double")
+    partial = dealt.groupBy(keys).cogroup(asked.groupBy(keys)).applyInPandas(scan, "query_row long, query_id long, vec_id long, score double, rows_scored long")
     order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
-    return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score", "rows_scored")
 
 
-def calibrate(indexed: DataFrame, is_query: Column, nq: int, tree: Tree, dims: int, k: int, recall: float) -> int:
-    """Fewest leaf visits at which the sampled queries find their exact neighbours, among all rows, to ``recall``.
+def calibrate(dealt: DataFrame, is_query: Column, nq: int, tree: Tree, dims: int, k: int, recall: float) -> tuple[int, float]:
+    """Fewest visits of upper leaves, and then the highest level below them, at which the sampled queries find their
+    exact neighbours, among all rows, to ``recall``. Either may lose half of what recall leaves.
 
-    The neighbours' leaves are what counts: a neighbour is found if its leaf is visited."""
-    sample = indexed.filter(is_query & share(nq, CALIBRATION_QUERIES)).select("vec_id", "embedding").toPandas()
+    A neighbour is found if its upper leaf is visited and its lower leaf opened."""
+    sample = dealt.filter(is_query & share(nq, CALIBRATION_QUERIES)).select("vec_id", "embedding").toPandas()
     if not len(sample):
-        return tree.leaves
+        return tree.leaves, -math.inf
     queries, own = matrix(sample["embedding"], dims), sample["vec_id"].to_numpy()
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids, x, leaf = pdf["vec_id"].to_numpy(), matrix(pdf["embedding"], dims), pdf["leaf"].to_numpy()
-            rough = queries @ x.T
-            for i in range(len(queries)):
-                at, scores = nearest(ids, x, queries[i], rough[i], own[i], k)
-                yield pd.DataFrame({"i": i, "vec_id": ids[at], "score": scores, "leaf": leaf[at]})
+    def best(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("vec_id", kind="stable")
+        ids, x, leaf = pdf["vec_id"].to_numpy(), matrix(pdf["embedding"], dims), pdf["leaf"].to_numpy()
+        lower, norms, found = Lower(x, leaf), np.linalg.norm(x, axis=1), []
+        for i, q in enumerate(queries):
+            at, scores = nearest(ids, x, norms, q, x @ q, own[i], k)
+            found.append(pd.DataFrame({"i": i, "vec_id": ids[at], "score": scores, "leaf": leaf[at], "level": lower.levels(q, len(x))[at]}))
+        return pd.concat(found)
 
     order = Window.partitionBy("i").orderBy(F.desc("score"), "vec_id")
-    true = indexed.mapInPandas(best, "i int, vec_id long, score double, leaf int").withColumn("rank", F.row_number().over(order))
-    true = true.filter(F.col("rank") <= k).select("i", "leaf").toPandas()
+    true = dealt.groupBy("group", "block").applyInPandas(best, "i int, vec_id long, score double, leaf int, level double")
+    true = true.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("i", "leaf", "level").toPandas()
+    if not len(true):
+        return tree.leaves, -math.inf
     place = np.zeros((len(queries), tree.leaves), dtype=np.int64)
     for i, q in enumerate(queries):
         place[i, list(tree.walk(q))] = np.arange(tree.leaves)
-    if not len(true):
-        return tree.leaves
-    needed = np.sort(place[true["i"].to_numpy(), true["leaf"].to_numpy()]) + 1
-    return int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)])
+    needed = place[true["i"].to_numpy(), true["leaf"].to_numpy()] + 1
+    level = true["level"].to_numpy()
+    split = np.isfinite(level).any()  # without lower trees the visits alone decide
+    visits = int(np.sort(needed)[math.ceil(((1 + recall) / 2 if split else recall) * len(needed)) - 1])
+    if not split:
+        return visits, -math.inf
+    within = np.sort(level[needed <= visits])[::-1]
+    return visits, float(within[min(len(within), math.ceil(recall * len(needed))) - 1])
