@@ -1,11 +1,18 @@
 """Language, toxicity and quality on made-up labelled texts: held-out accuracy and odd rows."""
 
+import math
 import random
+import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from inputlens.llm import lang_id, quality_knn, toxicity
+from inputlens.llm.common import labelled_sample
 
 SYLLABLES = {"aa": ["th", "er", "in", "on", "an"], "bb": ["sch", "ung", "ei", "keit", "be"], "cc": ["ción", "que", "ado", "mi", "es"]}
 BAD = ["vilx", "vilxen", "gronk", "gronkish"]
@@ -43,10 +50,24 @@ def odd(spark):
     return spark.createDataFrame([(i, t, "clash", 3) for i, t in ODD], "doc_id long, text string, lang string, score int")
 
 
+def sizes_by_hand(model, text):
+    """Encoded sizes with nothing but zstandard: language -> mean bytes that the words add to a passage."""
+    words = " ".join(re.findall(r"[^\W\d_]+", text.lower())).encode()
+    out = {}
+    for lang, raw in model.dictionaries.items():
+        added = []
+        for r in raw:
+            content = zstandard.ZstdCompressionDict(r, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            size = lambda x, d=content: len(zstandard.ZstdCompressor(level=lang_id.LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress(x))
+            added += [size(p + words) - size(p) for p in model.passages[lang]]
+        out[lang] = sum(added) / len(added)
+    return out
+
+
 def test_language(spark, docs):
     model = lang_id.fit(docs.filter("doc_id % 3 <> 0").unionByName(odd(spark).select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit(0).alias("toxic"), "score")))
-    assert sorted(model) == sorted(SYLLABLES)
-    got = docs.filter("doc_id % 3 = 0").select("lang", lang_id.predict(F.col("text"), model).alias("p")).collect()
+    assert sorted(model.dictionaries) == sorted(SYLLABLES)
+    got = docs.filter("doc_id % 3 = 0").select("lang", "text", lang_id.predict(F.col("text"), model).alias("p")).collect()
     assert sum(r.lang == r.p.lang for r in got) >= 0.98 * len(got)
     assert all(0 <= r.p.score <= 1 for r in got) and sum(r.p.rejected for r in got) <= 2
     strange = odd(spark).select("doc_id", "text", lang_id.predict(F.col("text"), model).alias("p")).collect()
@@ -54,14 +75,107 @@ def test_language(spark, docs):
         if r.doc_id in (5000, 5001, 5002):
             assert r.p.lang == "und" and r.p.rejected and r.p.score == 0
         else:
-            assert r.p.lang in model
-    assert lang_id.fit(docs.limit(0)) == {}
-    assert {r.p.lang for r in docs.limit(3).select(lang_id.predict(F.col("text"), {}).alias("p")).collect()} == {"und"}
+            assert r.p.lang in model.dictionaries
+    for r in [*got[:60], *strange[3:]]:
+        sizes = sizes_by_hand(model, r.text)
+        assert r.p.lang == min(sorted(sizes), key=sizes.get)
+        best, second = sorted(sizes.values())[:2]
+        assert r.p.rejected == ((second - best) / max(best, 1.0) <= model.narrow)
+    assert lang_id.fit(docs.limit(0)).dictionaries == {}
+    assert {r.p.lang for r in docs.limit(3).select(lang_id.predict(F.col("text"), lang_id.Model({})).alias("p")).collect()} == {"und"}
 
 
 def test_narrow_margin_is_rejected():
     same = [b"abc def ghi " * 200]
-    assert lang_id.Classifier({"x": same, "y": same})("abc def ghi and more of it")[2]
+    assert lang_id.Classifier(lang_id.Model({"x": same, "y": same}, {"x": [b"ab "], "y": [b"ab "]}))("abc def ghi and more of it")[2]
+
+
+def test_rejection_is_calibrated_on_what_is_left(monkeypatch):
+    """Texts half of one language and half of another are close calls; the margin learnt rejects most of them."""
+    monkeypatch.setattr(lang_id, "DICT_BYTES", 3000)
+    monkeypatch.setattr(lang_id, "SOURCE_BYTES", 1000)
+    monkeypatch.setattr(lang_id, "COST", 0.05)
+    rng = random.Random(8)
+    clear = [(lang, " ".join(words(rng, lang, 60))) for _ in range(150) for lang in ("aa", "bb")]
+    mixed = [(rng.choice(("aa", "bb")), " ".join(words(rng, "aa", 30) + words(rng, "bb", 30))) for _ in range(60)]
+    rows = clear[:200] + mixed[:40] + clear[200:]
+    model = lang_id.learned(rows)
+    classify = lang_id.Classifier(model)
+    assert model.narrow > 0
+    kept = [not classify(t)[2] for _, t in clear]
+    assert sum(kept) >= 0.9 * len(kept) and any(classify(t)[2] for _, t in mixed[40:])
+
+
+def kneser_ney(rows):
+    """The models of both classes by their formulas, a probability at a time, for ``toxicity.train``."""
+    d, ds = toxicity.DISCOUNT, toxicity.SHARED_DISCOUNT
+    one = [Counter(), Counter()]
+    two = [Counter(), Counter()]
+    before = {}
+    for w, y in rows:
+        one[y].update(set(w))
+        two[y].update(set(zip(w, w[1:])))
+        for a, b in zip(w, w[1:]):
+            before.setdefault(b, set()).add(a)
+    vocabulary = {x for w, _ in rows for x in w}
+    kinds = sum(map(len, before.values()))
+
+    def shared(w):
+        return max(len(before.get(w, ())) - ds, 0) / kinds + max(ds * len(before), 1.0) / kinds / len(vocabulary)
+
+    def single(y, w):
+        return (max(one[y][w] - d, 0) + sum(min(n, d) for n in one[y].values()) * shared(w)) / sum(one[y].values())
+
+    def ratio(h, w):
+        if max(one[0][w], one[1][w]) <= d:
+            return 0.0
+        if max(two[0][h, w], two[1][h, w]) <= d:
+            return math.log(single(1, w) / single(0, w))
+        after = [sum(n for (a, _), n in two[y].items() if a == h) for y in (0, 1)]
+        back = sum(min(n, d) for y in (0, 1) for (a, _), n in two[y].items() if a == h) / sum(after)
+        p = [max(two[y][h, w] - d, 0) / max(1, after[y]) + back * single(y, w) for y in (0, 1)]
+        return math.log(p[1] / p[0])
+
+    return ratio
+
+
+def test_toxicity_equals_the_formulas():
+    rng = random.Random(2)
+    rows = [([rng.choice("abcdefgh") for _ in range(rng.randint(1, 12))] + ["you", "fool"] * (y and rng.random() < 0.7), y) for y in [0, 1] * 40]
+    ratios, ratio = toxicity.train(rows), kneser_ney(rows)
+    assert ratios.pair and ratios.single
+    for w, _ in [*rows, (["you", "fool", "never", "seen", "a"], 0)]:
+        want = [ratio(h, x) for h, x in zip(["", *w], w)]
+        assert ratios.of(w) == pytest.approx(want, abs=1e-9)
+        r = np.array(want)
+        best = max(r[i : i + toxicity.PASSAGE].mean() for i in range(max(1, len(r) - toxicity.PASSAGE + 1)))
+        assert toxicity.differences(w, ratios) == pytest.approx([1.0, r.mean(), best], abs=1e-9)
+
+
+def test_quality_equals_a_direct_vote(spark, docs):
+    """Cosines and votes a text at a time; equal texts have equal scores wherever they stand."""
+    model = quality_knn.fit(docs.filter("doc_id % 3 <> 1"), docs.select("doc_id", F.col("score").alias("label")))
+    texts = [r.text for r in docs.limit(200).collect()] + [None, "", "ther in"]
+    column = pa.array(texts * 4)
+    got = quality_knn.score(model, column)
+    assert all(np.array_equal(got[: len(texts)], got[i * len(texts) : (i + 1) * len(texts)]) for i in range(4))
+    for t, s in zip(texts, got):
+        z = (quality_knn.weighted(quality_knn.counts(pa.array([t], pa.string())), model.idf) @ model.axes)[0]
+        if not np.linalg.norm(z):
+            assert s == model.prior
+            continue
+        c = [float(np.round(np.dot(z / np.linalg.norm(z), v), 6)) for v in model.vectors]
+        last = sorted(c, reverse=True)[quality_knn.NEIGHBOURS - 1]
+        votes = [(np.exp(quality_knn.SHARPNESS * x), y) for x, y in zip(c, model.labels) if x >= last]
+        assert s == pytest.approx(sum(w * y for w, y in votes) / sum(w for w, _ in votes), abs=2e-3)
+
+
+def test_held_out_labels_are_not_counted(spark, docs):
+    labels = docs.select("doc_id", F.col("toxic").alias("label"))
+    some = docs.filter("doc_id % 3 = 0")
+    rows, sizes = labelled_sample(some, labels, 10_000)
+    want = Counter(r.label for r in labels.filter("doc_id % 3 = 0").collect())
+    assert sizes == dict(want) and rows.count() == some.count()
 
 
 @pytest.mark.parametrize("module,label,limit", [(toxicity, "toxic", 0.7), (quality_knn, "score", 0.3)])

@@ -11,8 +11,9 @@ from test_join import brute as brute_groups
 
 import corpus_pipeline
 from inputlens.llm import lang_id
-from inputlens.llm.common import WORD, crc_bucket, fast_encoding
+from inputlens.llm.common import WORD, crc_bucket
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 
 def made(spark, folder):
@@ -64,9 +65,32 @@ def test_stages(spark, tmp_path):
             tokens = Counter()
             for r in got:
                 tokens[r.doc_id] += r.length
-            e = fast_encoding(P.path("byte_bpe_50k.tiktoken"))
-            assert tokens == Counter({r.doc_id: len(e.encode_ordinary(r.text)) + 1 for r in rows})
+            e = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+            assert tokens == Counter({r.doc_id: len(e.encode(r.text, add_special_tokens=False).ids) + 1 for r in rows})
         docs, before = after, got
     assert corpus_pipeline.run(spark, sf).count() == len(before)
 
 
+def test_empty_documents(spark, tmp_path):
+    made(spark, tmp_path)
+    sf = f"file://{tmp_path}/none"
+    docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet").limit(0)
+    docs.write.parquet(f"{sf}/documents.parquet")
+    spark.read.parquet(f"file://{tmp_path}/labels.parquet").write.parquet(f"{sf}/labels.parquet")
+    assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_clashing_columns_and_long_texts(spark, tmp_path):
+    """Columns that are called as the operators' own stay what they are, in every stage."""
+    sf = made(spark, tmp_path)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    long = " ".join(words(random.Random(1), "aa", 30_000))
+    more = spark.createDataFrame([(7000, long, "aa", "src", len(long)), (7001, long, "aa", "src", len(long))], docs.schema)
+    names = ["dedup", "score", "rejected", "label", "node", "n", "id", "hash", "runs", "row_hash", "piece", "kept_text"]
+    docs = docs.unionByName(more).withColumns({c: F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")) for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, sf).collect(), docs.schema)
+        got = docs.collect()
+        assert got and all(r[c] == f"{c}-{r.doc_id}" for r in got for c in names), name
+        assert [7000, 7001][: 2 if name in ("language", "quality") else 1] == sorted(r.doc_id for r in got if r.doc_id in (7000, 7001))
+    assert corpus_pipeline.sequences(spark, docs, sf).count() >= docs.count()
