@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from inputlens.functions.events import is_active
 from inputlens.functions.times import bucket, bucket_start, day_key, gap_us, local, midnight, moment, monday
@@ -149,8 +148,3 @@ def z_scores(metrics: DataFrame, baseline: DataFrame) -> DataFrame:
 def day_sessions(sessions: DataFrame, day: str, tz: str) -> DataFrame:
     """Sessions that started on a local day, newest first."""
     return sessions.filter(day_key(F.col("session_start"), tz) == day).orderBy(F.desc("session_start"), "user", "session_id")
-
-
-def latest_by_user(rows: DataFrame, order: str) -> DataFrame:
-    newest = Window.partitionBy("user").orderBy(F.desc(order))
-    return rows.withColumn("__n", F.row_number().over(newest)).filter("__n = 1").drop("__n")

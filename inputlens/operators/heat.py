@@ -36,19 +36,31 @@ def heatmap_by_day(events: DataFrame, tz: str, size: int = 16) -> DataFrame:
     return rows.groupBy(day_key(F.col("event_time"), tz).alias("day"), "cell_x", "cell_y", "type", "user").count()
 
 
-def display_grid(width: int = DISPLAY[0], height: int = DISPLAY[1], size: int = 16) -> tuple[int, int]:
-    """Columns and rows that cover the screen."""
-    return -(-width // size), -(-height // size)
-
-
-def clipped(heatmap: DataFrame, grid: tuple[int, int], panel: list[str]) -> DataFrame:
-    """Cells on the screen with ``intensity`` = ln(count+1)/ln(highest count of the panel + 1); the ``panel`` columns
-    (day, user, type, ...) say which cells share a picture. Paint order is by count, lowest first."""
-    w, h = grid
-    inside = heatmap.filter(F.col("cell_x").between(0, w - 1) & F.col("cell_y").between(0, h - 1))
+def known_display(spark: SparkSession, displays: DataFrame | None = None) -> DataFrame:
+    """width and height of the first recorded display, or of the usual one: one row."""
+    usual = spark.range(1).select(F.lit(DISPLAY[0]).alias("__w"), F.lit(DISPLAY[1]).alias("__h"))
+    if displays is None:
+        return usual.select(F.col("__w").alias("width"), F.col("__h").alias("height"))
+    first = displays.agg(F.min(F.struct("width", "height")).alias("d")).select("d.width", "d.height")  # one row, of nulls if empty
+    return first.join(usual, F.lit(True)).select(F.coalesce("width", "__w").alias("width"), F.coalesce("height", "__h").alias("height"))
+
+
+def with_grid(display: DataFrame, size: int = 16) -> DataFrame:
+    """Columns and rows of cells that cover the screen."""
+    across = lambda c: F.ceil(F.col(c) / F.lit(size)).cast("int")
+    return display.select(F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), across("width").alias("grid_w"), across("height").alias("grid_h"))
+
+
+def clipped(heatmap: DataFrame, grid: DataFrame, panel: list[str]) -> DataFrame:
+    """Cells on the screen (``grid``: one row from ``with_grid``) with ``intensity`` = ln(count+1)/ln(highest count of the
+    panel + 1); the ``panel`` columns (day, user, type, ...) say which cells share a picture."""
+    bounds = F.broadcast(grid.select("grid_w", "grid_h"))  # one row
+    held = (F.col("cell_x") >= 0) & (F.col("cell_x") < F.col("grid_w")) & (F.col("cell_y") >= 0) & (F.col("cell_y") < F.col("grid_h"))
+    inside = heatmap.join(bounds, held).drop("grid_w", "grid_h")
     highest = F.max("count").over(Window.partitionBy(*panel))
     return inside.withColumn("intensity", F.log1p("count") / F.log1p(highest))
 
 
 def painted(cells: DataFrame) -> DataFrame:
+    """In the order they are painted, so that the highest counts lie on top."""
     return cells.orderBy("count", "cell_x", "cell_y")

@@ -19,7 +19,7 @@ LEAST_ROWS, HELD_OUT = 30, 2500
 
 
 class TooFewRows(ValueError):
-    """Not enough labelled windows to train on."""
+    """Not enough labelled windows to train on, or of one label only."""
 
 
 def labeled_dataset(human: DataFrame, automation: DataFrame, exclude: DataFrame | None, tz: str) -> DataFrame:
@@ -54,8 +54,9 @@ def weighted(labeled: DataFrame) -> DataFrame:
 
 
 def train(labeled: DataFrame, trees: int = 300, depth: int = 15, seed: int = 42) -> PipelineModel:
-    if labeled.limit(LEAST_ROWS).count() < LEAST_ROWS:
-        raise TooFewRows(f"training needs {LEAST_ROWS} labelled windows")
+    sizes = [r["count"] for r in class_balance(labeled).collect()]  # one row for each label
+    if len(sizes) < 2 or sum(sizes) < LEAST_ROWS:
+        raise TooFewRows(f"training needs {LEAST_ROWS} labelled windows, of people and of automation")
     forest = RandomForestClassifier(
         numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featureSubsetStrategy="2", maxBins=256, weightCol="weight", seed=seed
     )
@@ -70,6 +71,17 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def saved(path: str) -> PipelineModel | None:
+    """The model saved at ``path``, None if there is none."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+
+    try:
+        return load(path)
+    except (PySparkException, Py4JJavaError):
+        return None
+
+
 def score_windows(features: DataFrame, model: PipelineModel | None) -> DataFrame:
     """user, window_start, probability of automation; no rows without a model."""
     if model is None:

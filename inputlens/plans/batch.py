@@ -1,70 +1,143 @@
-"""The batch run: archive to result tables, each switched to its new version at once."""
+"""The batch run: archive to result tables, all switched to their new versions at once, and the scores of days."""
 
 from __future__ import annotations
 
-import datetime as dt
 import uuid
+from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inputlens.operators import counts, heat, sessions
+from inputlens.functions.times import day_key
+from inputlens.operators import counts, features, heat, liveness, sessions
 from inputlens.schema import TABLES, Params
-from inputlens.sources.archive import deduplicated, read_archive, write_table
+from inputlens.sources.archive import deduplicated, publish, read_archive, read_table, write_version
+from inputlens.sources.automation import automation_events
 
+#: How the run log writes times: to the microsecond.
+MOMENT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+NEEDED = ["type", "key", "x", "y", "user", "event_time"]
 
-def tables(events: DataFrame, windows: DataFrame, params: Params) -> dict[str, tuple[DataFrame, str | None]]:
+
+def archived_events(spark: SparkSession, archive: str, guard: bool = True, dedup_keys: list[str] | None = None) -> tuple[DataFrame, int]:
+    """The columns in use of every event with a time, once each, and the number of skipped files."""
+    events, skipped = read_archive(spark, archive, guard)
+    return deduplicated(events, dedup_keys, NEEDED).filter("event_time IS NOT NULL"), skipped
+
+
+def tables(events: DataFrame, windows: DataFrame, params: Params, computed_at: Column) -> dict[str, tuple[DataFrame, str | None]]:
     """Result tables of a run, with the column that partitions each."""
     return {
         "per_window": (windows.drop("first_us"), None),
         "sessions": (sessions.session_summary(windows), None),
-        "baseline": (sessions.user_baseline(windows), None),
+        "baseline": (sessions.user_baseline(windows, computed_at), None),
         "day_minute_metrics": (counts.day_minute_metrics(events, params.tz, params.window_s), "day"),
         "heatmap_by_day": (heat.heatmap_by_day(events, params.tz, params.cell), "day"),
         "heatmaps": (heat.range_heatmaps(events, params.ranges, params.cell), "range"),
     }
 
 
-def run_batch(spark: SparkSession, archive: str, root: str, params: Params | None = None, guard: bool = True, dedup_keys: list[str] | None = None) -> DataFrame:
+def changed_days(now: DataFrame, since: DataFrame) -> DataFrame:
+    """Days of ``now`` (day, n) that are not in ``since`` with the same number of events."""
+    return now.join(since, ["day", "n"], "left_anti").select("day")
+
+
+def by_day(spark: SparkSession, root: str, name: str, make: Callable[[DataFrame], DataFrame], events: DataFrame, changed: DataFrame, tz: str) -> DataFrame:
+    """A table by day, made anew of the events of ``changed`` days only; rows of other days are those published."""
+    some = events.withColumn("__day", day_key(F.col("event_time"), tz)).join(changed.withColumnRenamed("day", "__day"), "__day", "left_semi").drop("__day")
+    return make(some).select(TABLES[name].names).unionByName(read_table(spark, root, name).join(changed, "day", "left_anti"))
+
+
+def run_batch(
+    spark: SparkSession, archive: str, root: str, params: Params | None = None, guard: bool = True, dedup_keys: list[str] | None = None,
+    as_of: Column | None = None, incremental: bool = False,
+) -> DataFrame:
     """Recompute all result tables from the archive; returns the run's log row, which is also appended.
 
-    Only the columns in use are read. What several tables share, the windows with their sessions, is kept; events
-    are not. A failing run leaves the tables as they were and logs its error."""
+    Only the columns in use are read. Events are told apart once and kept on disk, as are the windows with their
+    sessions, which several tables share. All tables are written, then published by one row: a run that fails at any table
+    leaves all as they were, and logs its error. ``as_of`` is the time that the run is logged under (that of the newest
+    event, if none is given). With ``incremental`` the tables by day are recomputed only for days whose number of events is
+    another than at the last run, under the same parameters."""
     params = params or Params()
-    run_id, started = uuid.uuid4().hex, dt.datetime.now(dt.UTC)
-    status, error, skipped, windows = "ok", None, 0, None
+    run_id, status, error, skipped, kept = uuid.uuid4().hex, "ok", None, 0, []
+    at = F.lit(None).cast("timestamp") if as_of is None else as_of
     try:
-        events, skipped = read_archive(spark, archive, guard)
-        events = deduplicated(events, dedup_keys).select("type", "key", "x", "y", "user", "event_time").filter("event_time IS NOT NULL")
-        windows = sessions.per_window(events, params.gap_s, params.window_s).persist(StorageLevel.MEMORY_AND_DISK)
-        for name, (df, partition) in tables(events, windows, params).items():
-            write_table(df, root, name, partition)
+        events, skipped = archived_events(spark, archive, guard, dedup_keys)
+        kept.append(events := events.persist(StorageLevel.DISK_ONLY))
+        at = events.agg(F.max("event_time")).scalar() if as_of is None else as_of
+        kept.append(windows := sessions.per_window(events, params.gap_s, params.window_s).persist(StorageLevel.MEMORY_AND_DISK))
+        made = tables(events, windows, params, at)
+        days = events.groupBy(day_key(F.col("event_time"), params.tz).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+        made["day_counts"] = (days, None)
+        if incremental:
+            changed = changed_days(days, read_table(spark, root, "day_counts"))
+            minutes = lambda e: counts.day_minute_metrics(e, params.tz, params.window_s)
+            cells = lambda e: heat.heatmap_by_day(e, params.tz, params.cell)
+            made |= {n: (by_day(spark, root, n, f, events, changed, params.tz), "day") for n, f in (("day_minute_metrics", minutes), ("heatmap_by_day", cells))}
+        versions = {name: write_version(df, root, name, partition) for name, (df, partition) in made.items()}
+        publish(spark, root, versions)
     except Exception as e:
-        status, error = "failed", str(e)[:2000]
+        status, error, at = "failed", str(e)[:2000], F.lit(None).cast("timestamp") if as_of is None else as_of
         raise
     finally:
-        if windows is not None:
-            windows.unpersist()
-        row = [(run_id, started, dt.datetime.now(dt.UTC), status, error, skipped)]
-        log = spark.createDataFrame(row, TABLES["run_log"])
-        log.coalesce(1).write.mode("append").json(f"{root}/run_log")
+        log = _logged(spark, root, run_id, at, status, error, skipped)
+        for df in kept:
+            df.unpersist()
     return log
 
 
+def _logged(spark: SparkSession, root: str, run_id: str, at: Column, status: str, error: str | None, skipped: int) -> DataFrame:
+    """Append a row to the run log; rows are numbered, so that their order needs no clock."""
+    number = run_log(spark, root).agg(F.coalesce(F.max("run"), F.lit(0)) + 1).first()[0]
+    row = spark.range(1).select(
+        F.lit(number).cast("long").alias("run"), F.lit(run_id).alias("run_id"), at.alias("as_of"), F.lit(status).alias("status"),
+        F.lit(error).cast("string").alias("error"), F.lit(skipped).cast("long").alias("skipped_files"),
+    )
+    done = spark.createDataFrame(row.collect(), TABLES["run_log"])  # one row
+    done.coalesce(1).write.mode("append").option("timestampFormat", MOMENT).json(f"{root}/run_log")
+    return done
+
+
+def run_liveness(
+    spark: SparkSession, archive: str, root: str, params: Params | None = None, exclude: DataFrame | None = None, trees: int = 300, depth: int = 15,
+    sessions_per_kind: int = 4, retrain: bool = True, guard: bool = True,
+) -> DataFrame:
+    """Score every window of the archive, flag days, and publish ``liveness`` and, if a model is fitted, ``model_report``,
+    together; meant to follow each batch. Returns the flags.
+
+    The model is fitted on people's windows (without ``exclude``) and on automated ones, and saved below ``root``; with
+    ``retrain=False`` the saved one is used if there is one. With too few windows to fit on, and none saved, there are
+    no flags and no report."""
+    params = params or Params()
+    events, _ = archived_events(spark, archive, guard)
+    human = features.window_features(events, params.window_s, params.min_events).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model, versions = None if retrain else liveness.saved(f"{root}/model"), {}
+        if model is None:
+            automated = features.window_features(automation_events(spark, sessions_per_kind), params.window_s, params.min_events)
+            labelled = liveness.labeled_dataset(human, automated, exclude, params.tz)
+            try:
+                report = liveness.evaluate(labelled, trees, depth)
+                model = liveness.train(labelled, trees, depth)
+            except liveness.TooFewRows:
+                model = liveness.saved(f"{root}/model")
+            else:
+                liveness.save(model, f"{root}/model")
+                versions["model_report"] = write_version(report, root, "model_report")
+        flags = liveness.score_days(liveness.score_windows(human, model), params.tz, params.threshold, params.min_windows)
+        versions["liveness"] = write_version(flags, root, "liveness")
+        publish(spark, root, versions)
+    finally:
+        human.unpersist()
+    return read_table(spark, root, "liveness")
+
+
 def run_log(spark: SparkSession, root: str) -> DataFrame:
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.schema(TABLES["run_log"]).json(f"{root}/run_log").orderBy(F.desc("started"))
+        return spark.read.schema(TABLES["run_log"]).option("timestampFormat", MOMENT).json(f"{root}/run_log").orderBy(F.desc("run"))
     except AnalysisException:
         return spark.createDataFrame([], TABLES["run_log"])
-
-
-def changed_days(events: DataFrame, since: DataFrame, tz: str) -> DataFrame:
-    """Days of ``events`` that are not in ``since`` (day, n) with the same number of rows: what an incremental run
-    has to recompute."""
-    from inputlens.functions.times import day_key
-
-    now = events.groupBy(day_key(F.col("event_time"), tz).alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    return now.join(since, ["day", "n"], "left_anti")

@@ -244,3 +244,87 @@ fr AS (SELECT "user" FROM m, latest GROUP BY "user" HAVING date_diff('microsecon
 WHERE n = 1 AND abs(date_diff('microsecond', run_start, session_start)) < 90000000""",
     ),
 }
+
+HUMAN = """ FROM ft WHERE NOT ("user" = 'user-0' AND strftime(window_start, '%Y-%m-%d') = '2024-01-15') AND "user" <> 'demo'"""
+FEATURE_LIST = ", ".join(f"round({c}, 6) AS {c}" for c in SEVEN)
+HIT = "count(*) FILTER (y = {0} AND p = {1})"
+TP, FP, FN, TN = HIT.format(1, 1), HIT.format(0, 1), HIT.format(1, 0), HIT.format(0, 0)
+SS_COLUMNS = 'session_id, "user", session_key, session_start, session_end, window_count, ' + ", ".join(f"{c}_total" for c in FOUR)
+QUARTERS = """, q AS (SELECT unnest(range(96)) AS i),
+tl AS (
+  SELECT 'user-1' AS "user", TIMESTAMP '2024-01-15' + i * INTERVAL 15 MINUTE AS window_start, """ + ", ".join(
+    f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in (*FOUR, "mouse_moves")
+) + """, count(dm."user") = 0 AS synthetic
+  FROM q LEFT JOIN dm ON dm.day = '2024-01-15' AND dm."user" = 'user-1'
+    AND dm.window_start >= TIMESTAMP '2024-01-15' + i * INTERVAL 15 MINUTE AND dm.window_start < TIMESTAMP '2024-01-15' + (i + 1) * INTERVAL 15 MINUTE
+  GROUP BY i)"""
+NO_LIVENESS = P0 + RATINGS + """, cal AS (
+  SELECT us."user", d, CAST(t AS DATE) AS today FROM (SELECT DISTINCT "user" FROM rt) us, latest,
+    LATERAL (SELECT CAST(unnest(generate_series(date_trunc('week', t) - INTERVAL 49 DAY, date_trunc('week', t) + INTERVAL 6 DAY, INTERVAL 1 DAY)) AS DATE) AS d))"""
+
+ORACLE_SQL |= {
+    "a15_class_balance": _sql(FEATURES, "SELECT CAST(key_diversity > 0.5 AS DOUBLE) AS label, count(*) AS count FROM ft GROUP BY 1"),
+    "a16_metrics": _sql(
+        FEATURES + ", pr AS (SELECT CAST(key_diversity > 0.5 AS INT) AS y, CAST(mouse_fraction < 0.5 AS INT) AS p FROM ft)",
+        f"""SELECT round(({TP} + {TN}) / count(*), 6) AS accuracy, round(coalesce({TP} / nullif({TP} + {FP}, 0), 0), 6) AS precision,
+  round(coalesce({TP} / nullif({TP} + {FN}, 0), 0), 6) AS recall, round(coalesce(2 * {TP} / nullif(2 * {TP} + {FP} + {FN}, 0), 0), 6) AS f1 FROM pr""",
+    ),
+    "c6_one_user": _sql(M, "SELECT * FROM m WHERE \"user\" = 'user-1'"),
+    "f8_parse_iso": _sql(
+        "",
+        """SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL WHEN 1 THEN date_trunc('second', event_time) - INTERVAL 2 HOUR
+  ELSE date_trunc('second', event_time) END AS event_time FROM c""",
+    ),
+    "f11_live_minutes": _sql(P0, 'SELECT session_id, "user", greatest(1, CAST(floor(date_diff(\'microsecond\', session_start, t) / 60000000) AS BIGINT)) AS minutes FROM ss, latest'),
+    "f14_staleness": _sql(
+        M,
+        """SELECT "user", newest, CAST(round(date_diff('microsecond', newest, t) / 60000000) AS BIGINT) AS minutes,
+  round(date_diff('microsecond', newest, t) / 60000000) > 30 AS pending FROM (SELECT "user", max(window_end) AS newest FROM m GROUP BY "user"), latest""",
+    ),
+    "j4_display": _sql(
+        HEAT_DAY,
+        """SELECT *, round(ln(1 + count) / ln(1 + max(count) OVER (PARTITION BY day, "user", type)), 6) AS intensity
+FROM hd WHERE cell_x BETWEEN 0 AND 62 AND cell_y BETWEEN 0 AND 43""",
+    ),
+    "t8_paint_order": _sql(HEAT_DAY, "SELECT * FROM hd WHERE day = '2024-01-15' AND \"user\" = 'user-1' ORDER BY count, cell_x, cell_y LIMIT 100"),
+    "u1_human_counts": _sql(FEATURES, 'SELECT CAST(0 AS DOUBLE) AS label, "user", count(*) AS count' + HUMAN + ' GROUP BY "user"'),
+    "u1_human_rows": _sql(FEATURES, f'SELECT "user", window_start, n_events, {FEATURE_LIST}, CAST(0 AS DOUBLE) AS label' + HUMAN),
+    "read_metrics": _sql(M, "SELECT m.* FROM m, latest WHERE window_start >= t - INTERVAL 1440 MINUTE"),
+    "read_sessions": _sql(P0, f'SELECT {SS_COLUMNS} FROM ss ORDER BY session_start DESC, "user", session_id LIMIT 2000'),
+    "read_baseline": _sql(P0, _baseline(6).replace(" FROM pw", ", any_value(t) AS computed_at FROM pw, latest")),
+    "read_heatmap_1d": _sql(
+        "",
+        """SELECT '1d' AS range, CAST(trunc(x / 16.0) AS INT) AS cell_x, CAST(trunc(y / 16.0) AS INT) AS cell_y, type, "user", count(*) AS count
+FROM c, latest WHERE type IN ('move', 'click') AND event_time >= t - INTERVAL 24 HOUR GROUP BY ALL""",
+    ),
+    "read_heatmap_unknown": _sql("", "SELECT '' AS range, 0 AS cell_x, 0 AS cell_y, type, \"user\", event_id AS count FROM c WHERE FALSE"),
+    "read_day_metrics": _sql(DAY_MINUTE, "SELECT * FROM dm WHERE day = '2024-01-15' AND \"user\" = 'user-1'"),
+    "read_heatmap_day": _sql(HEAT_DAY, "SELECT * FROM hd WHERE day = '2024-01-15' AND \"user\" = 'user-1'"),
+    "read_per_window": _sql(P0, PW),
+    "read_display_grid": "SELECT CAST(1728 AS INT) AS width, CAST(1117 AS INT) AS height, CAST(108 AS INT) AS grid_w, CAST(70 AS INT) AS grid_h",
+    "read_health": _sql(
+        M,
+        """SELECT max(window_end) AS newest, round(date_diff('microsecond', max(window_end), any_value(t)) / 1000000 + 90, 6) AS age_s,
+  date_diff('microsecond', max(window_end), any_value(t)) + 90000000 < 120000000 AS fresh, any_value(t) AS batch_last_run, CAST(90 AS DOUBLE) AS batch_age_s,
+  'ok' AS batch_status, CAST(NULL AS VARCHAR) AS batch_error FROM m, latest""",
+    ),
+    "read_batch_status": _sql("", "SELECT CAST(1 AS BIGINT) AS run, t AS as_of, 'ok' AS status, CAST(NULL AS VARCHAR) AS error FROM latest"),
+    "read_ml_metrics_none": "SELECT FALSE AS available, CAST(NULL AS DOUBLE) AS accuracy, CAST(NULL AS BIGINT) AS n_train",
+    "read_liveness_none": _sql("", "SELECT \"user\", '' AS day, TRUE AS nonhuman, CAST(0 AS DOUBLE) AS score FROM c WHERE FALSE"),
+    "read_calendar": _sql(
+        NO_LIVENESS,
+        """SELECT cal."user", strftime(d, '%Y-%m-%d') AS day, coalesce(tier, 'not_active') AS tier, coalesce(total_minutes, 0) AS total_minutes,
+  FALSE AS nonhuman, d > today AS is_future FROM cal LEFT JOIN rt ON rt."user" = cal."user" AND rt.day = strftime(d, '%Y-%m-%d')""",
+    ),
+    "read_day_timeline": _sql(DAY_MINUTE + QUARTERS, "SELECT * FROM tl"),
+    "read_day_gauge": _sql(
+        DAY_MINUTE + QUARTERS,
+        f"""SELECT "user", count(*) FILTER ({ACTIVE}) AS active_buckets, round(count(*) FILTER ({ACTIVE}) / count(*) * 100, 6) AS active_pct,
+  count(*) FILTER ({ACTIVE}) * 15 AS active_minutes, (count(*) - count(*) FILTER ({ACTIVE})) * 15 AS idle_minutes FROM tl GROUP BY "user" """,
+    ),
+    "read_day_sessions": _sql(P0, f"SELECT {SS_COLUMNS} FROM ss WHERE strftime(session_start, '%Y-%m-%d') = '2024-01-15' AND \"user\" = 'user-1'"),
+    "read_day_heatmap": _sql(
+        HEAT_DAY + ", od AS (SELECT * FROM hd WHERE day = '2024-01-15' AND \"user\" = 'user-1' AND cell_x BETWEEN 0 AND 107 AND cell_y BETWEEN 0 AND 69)",
+        "SELECT *, round(ln(1 + count) / ln(1 + max(count) OVER (PARTITION BY type)), 6) AS intensity FROM od",
+    ),
+}

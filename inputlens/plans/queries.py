@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inputlens.functions.events import redacted_key
-from inputlens.functions.times import duration_minutes
+from inputlens.functions.times import duration_minutes, parse_iso, staleness
 from inputlens.operators import counts, dashboard, features, heat, liveness, sessions
-from inputlens.schema import Params
+from inputlens.plans import reads
+from inputlens.plans.batch import run_batch, run_liveness
+from inputlens.schema import ARCHIVED, Params
 from inputlens.sources.archive import scratch
 from inputlens.sources.automation import automation_events
 from inputlens.sources.canonical import input_events
@@ -93,7 +95,13 @@ def _range_heatmaps(t: Tables) -> DataFrame:
 
 def _clip(t: Tables) -> DataFrame:
     panel = ["day", "user", "type"]
-    return rounded(heat.clipped(heat.heatmap_by_day(t.events, TZ), heat.display_grid(), panel))
+    return rounded(heat.clipped(heat.heatmap_by_day(t.events, TZ), heat.with_grid(heat.known_display(t.spark)), panel))
+
+
+def _small_display(t: Tables) -> DataFrame:
+    """Heatmaps on a recorded display, smaller than the usual one."""
+    grid = reads.display_grid(t.spark, t.spark.createDataFrame([(1001, 700)], "width int, height int"))
+    return rounded(heat.clipped(heat.heatmap_by_day(t.events, TZ), grid, ["day", "user", "type"]))
 
 
 def _recent(t: Tables) -> DataFrame:
@@ -168,6 +176,108 @@ def _live(t: Tables) -> DataFrame:
     return sessions.live_session(t.sessions(P1), t.minutes(3600), t.as_of, TZ, gap_s=3600, fresh_s=7200)
 
 
+def _live_minutes(t: Tables) -> DataFrame:
+    """Lengths of the sessions as if every one were still live."""
+    minutes = duration_minutes(F.col("session_start"), F.col("session_end"), F.lit(True), t.as_of)
+    return t.sessions(P0).select("session_id", "user", minutes.alias("minutes"))
+
+
+def _iso(t: Tables) -> DataFrame:
+    """Times written with Z, with an offset and without either, and texts that are none, read back."""
+    wall = F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("event_time").cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss")
+    form = F.col("event_id") % 4
+    text = F.when(form == 0, F.concat(wall, F.lit("Z"))).when(form == 1, F.concat(wall, F.lit("+02:00"))).when(form == 2, wall).otherwise(F.lit("soon"))
+    return t.events.select("event_id", parse_iso(text).alias("event_time"))
+
+
+def _staleness(t: Tables) -> DataFrame:
+    ages = t.minutes().groupBy("user").agg(F.max("window_end").alias("newest")).select("user", "newest", *[c.alias(n) for c, n in zip(staleness(F.col("newest"), t.as_of), ("minutes", "pending"), strict=True)])
+    return ages
+
+
+def _balance(t: Tables) -> DataFrame:
+    """Class balance, where keystrokes in the window decide the label."""
+    rows = t.features().withColumn("label", (F.col("key_diversity") > 0.5).cast("double"))
+    return liveness.class_balance(rows)
+
+
+def _metrics(t: Tables) -> DataFrame:
+    """Accuracy, precision, recall and F1 of a fixed prediction."""
+    rows = t.features().select((F.col("key_diversity") > 0.5).cast("int").alias("label"), (F.col("mouse_fraction") < 0.5).cast("int").alias("prediction"))
+    return rounded(liveness.metrics(rows))
+
+
+def _human_rows(t: Tables) -> DataFrame:
+    """The human rows of the labelled union: what the exclusions leave."""
+    return rounded(t.labelled().filter("label = 0"))
+
+
+def _human_counts(t: Tables) -> DataFrame:
+    return t.labelled().filter("label = 0").groupBy("label", "user").count()
+
+
+_ROOTS: dict[tuple[str, str], str] = {}
+
+
+def _root(t: Tables, sf_dir: str) -> str:
+    """A root of result tables that the batch run has made of the events' archive, and the speed layer's metrics: once for
+    each session and folder."""
+    key = (t.spark.sparkContext.applicationId, sf_dir)
+    if key not in _ROOTS:
+        root = scratch(t.spark, "root")
+        archived = [F.col(f.name) if f.name in t.events.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in ARCHIVED]
+        archived[ARCHIVED.names.index("event_time")] = F.col("event_time").cast("timestamp")
+        placed = dict(zip(ARCHIVED.names, archived, strict=True)) | {"source_partition": F.lit(0).alias("source_partition"), "source_offset": F.col("event_id").alias("source_offset")}
+        rows = t.events.select(*placed.values(), F.to_date("event_time").alias("event_date"))
+        twice = rows.unionByName(rows.filter("source_offset % 10 = 0"))  # as after a failed batch of the sink
+        twice.write.partitionBy("event_date").parquet(f"{root}/events")
+        t.minutes().write.parquet(f"{root}/metrics")
+        run_batch(t.spark, f"{root}/events", root, as_of=t.as_of)
+        _ROOTS[key] = root
+    return _ROOTS[key]
+
+
+def _read(f: Callable[[Tables, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = Tables(spark, sf_dir)
+        return utc(f(t, _root(t, sf_dir)))
+
+    return query
+
+
+def _liveness_job(t: Tables, root: str) -> DataFrame:
+    """The job that follows a batch, on windows of an hour: flags as published."""
+    own = scratch(t.spark, "liveness")
+    run_liveness(t.spark, f"{root}/events", own, Params(gap_s=3600, window_s=3600), sessions_per_kind=max(1, math.ceil(t.features().count() / 20)))
+    return rounded(reads.liveness(t.spark, own))
+
+
+def _detail(part: str) -> Callable[[Tables, str], DataFrame]:
+    return lambda t, root: rounded(reads.day_detail(t.spark, root, DAY, USER, TZ)[part])
+
+
+READS = {
+    "read_metrics": lambda t, root: reads.metrics(t.spark, root, t.as_of, 24 * 60),
+    "read_sessions": lambda t, root: reads.newest_sessions(t.spark, root),
+    "read_baseline": lambda t, root: rounded(reads.baseline(t.spark, root)),
+    "read_heatmap_1d": lambda t, root: reads.heatmap(t.spark, root, "1d"),
+    "read_heatmap_unknown": lambda t, root: reads.heatmap(t.spark, root, "2h"),
+    "read_day_metrics": lambda t, root: reads.day_metrics(t.spark, root, DAY, USER),
+    "read_heatmap_day": lambda t, root: reads.heatmap_day(t.spark, root, DAY, USER),
+    "read_per_window": lambda t, root: reads.read_table(t.spark, root, "per_window"),
+    "read_display_grid": lambda t, root: reads.display_grid(t.spark),
+    "read_health": lambda t, root: rounded(reads.health(t.spark, root, t.as_of + F.expr("INTERVAL 90 SECONDS"))),
+    "read_batch_status": lambda t, root: reads.batch_status(t.spark, root),
+    "read_ml_metrics_none": lambda t, root: reads.ml_metrics(t.spark, root).select("available", "accuracy", "n_train"),
+    "read_liveness_none": lambda t, root: reads.liveness(t.spark, root, USER),
+    "read_calendar": lambda t, root: reads.calendar(t.spark, root, t.as_of, TZ),
+    "read_day_timeline": _detail("timeline"),
+    "read_day_gauge": _detail("gauge"),
+    "read_day_sessions": _detail("sessions"),
+    "read_day_heatmap": _detail("heatmap"),
+    "k4_liveness_job": _liveness_job,
+}
+
 QUERIES = {
     "a2_minute_metrics": _with(lambda t: t.minutes()),
     "a3_per_window": _with(lambda t: t.windows(P0).drop("first_us")),
@@ -180,6 +290,8 @@ QUERIES = {
     "a8_heatmap_day": _with(lambda t: heat.heatmap_by_day(t.events, TZ)),
     "a10_features_p1": _with(lambda t: rounded(t.features())),
     "a14_day_flags": _with(lambda t: rounded(_day_flags(t))),
+    "a15_class_balance": _with(_balance),
+    "a16_metrics": _with(_metrics),
     "a17_rebucket": _with(_buckets),
     "a18_gauge": _with(lambda t: rounded(dashboard.activity_gauge(_buckets(t), 120))),
     "a19_today": _with(lambda t: _today(t).drop("longest")),
@@ -190,10 +302,15 @@ QUERIES = {
     "a24_freshness": _with(lambda t: rounded(dashboard.freshness(t.minutes(), t.as_of))),
     "a25_users": _with(lambda t: dashboard.users(t.minutes())),
     "a27_daily_totals": _with(lambda t: counts.daily_totals(t.days())),
+    "c6_one_user": _with(lambda t: dashboard.of_user(t.minutes(), USER)),
     "c10_redact": _with(_redacted),
     "c11_clip_intensity": _with(_clip),
     "c14_thin_moves": _with(lambda t: sessions.thin_moves(t.events, 3600).select("event_id", "user", "event_time", "type")),
+    "f8_parse_iso": _with(_iso),
+    "f11_live_minutes": _with(_live_minutes),
+    "f14_staleness": _with(_staleness),
     "j2_calendar": _with(_calendar),
+    "j4_display": _with(_small_display),
     "j5_zscore": _with(lambda t: rounded(dashboard.z_scores(t.minutes(3600), t.baseline(P1)))),
     "k7_json_export": _with(lambda t: t.features().select("user", "window_start", as_json(t.features()).alias("record"))),
     "m5_split": _with(_split),
@@ -206,16 +323,20 @@ QUERIES = {
     "r2_stream_metrics": _with(lambda t: _stream(t, speed.live_metrics)),
     "r10_stream_sessions": _with(lambda t: _stream(t, speed.live_sessions)),
     "s2_decode": _with(_decoded),
+    "s8_automation_events": _with(lambda t: automation_events(t.spark, max(1, math.ceil(t.features().count() / 20)))),
     "t1_newest_sessions": _with(lambda t: sessions.newest_sessions(t.sessions(P0))),
     "t4_suspicious": _with(lambda t: liveness.suspicious(t.scored())),
     "t5_importance": _with(_importance),
     "t6_day_sessions": _with(_day_sessions),
     "t7_default_user": _with(lambda t: dashboard.default_user(t.minutes())),
     "t9_latest_mix": _with(lambda t: rounded(dashboard.latest_mix(t.minutes()))),
+    "t8_paint_order": _with(lambda t: heat.painted(_one_day(heat.heatmap_by_day(t.events, TZ))).limit(100)),
+    "u1_human_counts": _with(_human_counts),
+    "u1_human_rows": _with(_human_rows),
     "u1_labelled": _with(lambda t: rounded(t.labelled())),
     "w6_sitting": _with(lambda t: rounded(sessions.current_sitting(t.minutes(3600), t.as_of, 3600))),
     "w7_live": _with(_live),
-}
+} | {name: _read(f) for name, f in READS.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

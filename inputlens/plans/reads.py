@@ -6,20 +6,25 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inputlens.operators import dashboard, heat, sessions
+from inputlens.functions.times import gap_us, moment
+from inputlens.operators import dashboard, heat, liveness as scoring, sessions
 from inputlens.plans.batch import run_log
 from inputlens.schema import TABLES
 from inputlens.sources.archive import read_table
 
 
-def metrics(spark: SparkSession, root: str, as_of: Column, minutes: int = 60) -> DataFrame:
+def live_metrics(spark: SparkSession, root: str) -> DataFrame:
+    """All metrics that the speed layer has written; none before it has."""
     from pyspark.errors import AnalysisException
 
     try:
-        live = spark.read.schema(TABLES["metrics"]).parquet(f"{root}/metrics")
+        return spark.read.schema(TABLES["metrics"]).parquet(f"{root}/metrics")
     except AnalysisException:
-        live = spark.createDataFrame([], TABLES["metrics"])
-    return dashboard.recent(live, as_of, minutes)
+        return spark.createDataFrame([], TABLES["metrics"])
+
+
+def metrics(spark: SparkSession, root: str, as_of: Column, minutes: int = 60) -> DataFrame:
+    return dashboard.recent(live_metrics(spark, root), as_of, minutes)
 
 
 def newest_sessions(spark: SparkSession, root: str, limit: int = 2000) -> DataFrame:
@@ -44,20 +49,22 @@ def heatmap_day(spark: SparkSession, root: str, day: str, user: str) -> DataFram
     return read_table(spark, root, "heatmap_by_day").filter((F.col("day") == day) & (F.col("user") == user))
 
 
-def display_grid(spark: SparkSession, width: int | None = None, height: int | None = None, cell: int = 16) -> DataFrame:
-    w, h = width or heat.DISPLAY[0], height or heat.DISPLAY[1]
-    return spark.createDataFrame([(w, h, *heat.display_grid(w, h, cell))], "width int, height int, grid_w int, grid_h int")
+def display_grid(spark: SparkSession, displays: DataFrame | None = None, cell: int = 16) -> DataFrame:
+    """width, height, grid_w, grid_h of the recorded display (the first row of ``displays``), or of the usual one."""
+    return heat.with_grid(heat.known_display(spark, displays), cell)
 
 
 def health(spark: SparkSession, root: str, as_of: Column) -> DataFrame:
-    """Freshness of the live metrics and the last run's outcome, one row."""
-    fresh = dashboard.freshness(metrics(spark, root, as_of, minutes=24 * 60), as_of)
-    last = run_log(spark, root).limit(1).select(F.col("status").alias("batch_status"), F.col("finished").alias("batch_finished"))
+    """One row: end of the newest of all live windows, its age in seconds and whether it is fresh; time, age, status and
+    error of the last batch run, null before the first."""
+    fresh = dashboard.freshness(live_metrics(spark, root), as_of)
+    age = (gap_us(moment(as_of), F.col("as_of")) / 1_000_000).alias("batch_age_s")
+    last = run_log(spark, root).limit(1).select(F.col("as_of").alias("batch_last_run"), age, F.col("status").alias("batch_status"), F.col("error").alias("batch_error"))
     return fresh.join(last, F.lit(True), "left")
 
 
 def batch_status(spark: SparkSession, root: str) -> DataFrame:
-    return run_log(spark, root).select("started", "finished", "status", "error").limit(1)
+    return run_log(spark, root).select("run", "as_of", "status", "error").limit(1)
 
 
 def ml_metrics(spark: SparkSession, root: str) -> DataFrame:
@@ -83,7 +90,7 @@ def day_detail(spark: SparkSession, root: str, day: str, user: str, tz: str) ->
 
     last = end_of_day(F.lit(day), tz) - F.expr("INTERVAL 1 MICROSECOND")
     timeline = dashboard.rebucket(day_metrics(spark, root, day, user), 96, 15, last)
-    cells = heat.clipped(heatmap_day(spark, root, day, user), heat.display_grid(), ["type"])
+    cells = heat.clipped(heatmap_day(spark, root, day, user), heat.with_grid(heat.known_display(spark)), ["type"])
     own = dashboard.of_user(read_table(spark, root, "sessions"), user)
     return {
         "timeline": timeline,
@@ -94,10 +101,4 @@ def day_detail(spark: SparkSession, root: str, day: str, user: str, tz: str) ->
 
 
 def model(root: str) -> PipelineModel | None:
-    from py4j.protocol import Py4JJavaError
-    from pyspark.errors import PySparkException
-
-    try:
-        return PipelineModel.load(f"{root}/model")
-    except (PySparkException, Py4JJavaError):
-        return None
+    return scoring.saved(f"{root}/model")

@@ -20,8 +20,13 @@ EVENT = T.StructType([
     T.StructField("ts", T.DoubleType()),
 ])
 
-#: The archive adds the event time (and, on disk, a partition column event_date).
-ARCHIVED = T.StructType([*EVENT.fields, T.StructField("event_time", T.TimestampType())])
+#: Where a row came from: partition and offset of the source.
+SOURCE = ("source_partition", "source_offset")
+
+#: The archive adds the event time and, where the source has positions, those (and, on disk, a partition column event_date).
+ARCHIVED = T.StructType([
+    *EVENT.fields, T.StructField("event_time", T.TimestampType()), T.StructField(SOURCE[0], T.IntegerType()), T.StructField(SOURCE[1], T.LongType()),
+])
 
 COUNTS = ("keystrokes", "words", "corrections", "clicks")
 
@@ -49,13 +54,14 @@ TABLES = {
     "day_minute_metrics": _table(f"{_WINDOW}, {_FOUR}, mouse_moves BIGINT, day STRING"),
     "heatmap_by_day": _table("cell_x INT, cell_y INT, type STRING, user STRING, count BIGINT, day STRING"),
     "heatmaps": _table("cell_x INT, cell_y INT, type STRING, user STRING, count BIGINT, range STRING"),
+    "day_counts": _table("day STRING, n BIGINT"),
     "liveness": _table("user STRING, day STRING, nonhuman BOOLEAN, score DOUBLE"),
     "model_report": _table(
         "accuracy DOUBLE, precision DOUBLE, recall DOUBLE, f1 DOUBLE, roc_auc DOUBLE, n_train BIGINT, n_test BIGINT, n_human BIGINT, "
         "n_automation BIGINT",
         T.StructField("importances", T.ArrayType(_table("feature STRING, importance DOUBLE"))),
     ),
-    "run_log": _table("run_id STRING, started TIMESTAMP, finished TIMESTAMP, status STRING, error STRING, skipped_files BIGINT"),
+    "run_log": _table("run BIGINT, run_id STRING, as_of TIMESTAMP, status STRING, error STRING, skipped_files BIGINT"),
 }
 
 

@@ -1,7 +1,13 @@
-"""The event archive and result tables on disk."""
+"""The event archive and result tables on disk.
+
+Result tables are versions in folders of their own, and a row of ``_runs`` names the version of every table: a run
+writes all its versions first and then that one row, so that readers see all its tables or none. Rows are numbered; no
+clock takes part.
+"""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,15 +17,18 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inputlens.schema import ARCHIVED, TABLES
+from inputlens.schema import ARCHIVED, SOURCE, TABLES
 
 POSITIONS = ("x", "y", "dx", "dy")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name below the one that driver and executors share; below a local one if none is set."""
+    """A new folder name below the one that driver and executors share. Unset, a session in one process gets a folder of
+    its own; a cluster must name one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/inputlens-{name}-{uuid.uuid4().hex}"
@@ -28,74 +37,99 @@ def scratch(spark: SparkSession, name: str) -> str:
 def conforming_files(spark: SparkSession, path: str) -> DataFrame:
     """path and ok of every part file below ``path``: ok if it can be read and its positions are integers.
 
-    Footers are read by tasks. Files come as bytes, so stores that only Spark reaches work; rows group by file."""
+    Tasks read the footers, and only them, through Arrow's file systems; the contents stay where they are."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
         import pyarrow as pa
         import pyarrow.parquet as pq
+        from pyarrow import fs
 
         for pdf in batches:
             rows = []
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+            for name in pdf["path"]:
+                store, at = fs.FileSystem.from_uri(name)
                 try:
-                    schema = pq.read_schema(io.BytesIO(content))
+                    with store.open_input_file(at) as file:
+                        schema = pq.read_schema(file)
                     ok = all(c in schema.names and pa.types.is_integer(schema.field(c).type) for c in POSITIONS)
                 except (pa.ArrowInvalid, OSError):
                     ok = False
                 rows.append((name, ok))
             yield pd.DataFrame(rows, columns=["path", "ok"])
 
-    return files.select("path", "content").mapInPandas(judge, "path string, ok boolean")
+    return files.select("path").mapInPandas(judge, "path string, ok boolean")
 
 
 def read_archive(spark: SparkSession, path: str, guard: bool = False) -> tuple[DataFrame, int]:
     """Archived events and the number of skipped files.
 
     The directory is listed as plain Parquet, past any sink commit log, so that a reset checkpoint hides nothing;
-    ``deduplicated`` takes care of parts that a failed batch left. With ``guard`` only conforming files are read."""
+    ``deduplicated`` takes care of parts that a failed batch left. With ``guard`` only conforming files are read: the driver
+    gets a row for each folder, with names of files only where a folder holds others."""
     skipped, paths = 0, [path]
     if guard:
-        judged = conforming_files(spark, path).collect()  # one short row for each file
-        paths, skipped = [r.path for r in judged if r.ok], sum(not r.ok for r in judged)
+        judged = conforming_files(spark, path).withColumn("folder", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+        bad = F.count_if(~F.col("ok"))
+        folders = judged.groupBy("folder").agg(bad.alias("bad"), F.when(bad > 0, F.collect_list(F.when(F.col("ok"), F.col("path")))).alias("fine")).collect()
+        skipped = sum(r.bad for r in folders)
+        paths = [p for r in folders for p in ([f"{r.folder}/*.parquet"] if not r.bad else r.fine)]
         if not paths:
             return spark.createDataFrame([], ARCHIVED), skipped
     reader = spark.read.schema(ARCHIVED).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
     return reader.parquet(*paths), skipped
 
 
-def deduplicated(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One row for each event: by source position (``keys``) if the archive has it, else by content."""
-    return events.dropDuplicates(keys or [c for c in ARCHIVED.names if c in events.columns])
+def deduplicated(events: DataFrame, keys: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """One row for each event, with ``columns`` (all): by source position where a row has one, so that two equal events
+    stay two, else by content; or by ``keys``. What is neither wanted nor needed to tell rows apart is not shuffled."""
+    columns = columns or events.columns
+    if keys:
+        return events.select(*{*columns, *keys}).dropDuplicates(keys).select(columns)
+    content = [c for c in ARCHIVED.names if c in events.columns and c not in SOURCE]
+    if not set(SOURCE) <= set(events.columns):
+        return events.dropDuplicates(content).select(columns)
+    unplaced = F.when(F.col(SOURCE[1]).isNull(), F.struct(content))
+    named = events.select(*{*columns, *SOURCE}, unplaced.alias("__content"))
+    return named.dropDuplicates([*SOURCE, "__content"]).select(columns)
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Newest version of a result table; an empty one of the right schema before the first run."""
-    empty = spark.createDataFrame([], TABLES[name])
+def _runs(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema("run long, versions map<string,string>").json(f"{root}/_runs")
+
+
+def current(spark: SparkSession, root: str) -> tuple[int, dict[str, str]]:
+    """Number of the newest published run and the version of every table; (0, {}) before the first."""
     try:
-        pointer = spark.read.schema("version string, written timestamp").json(f"{root}/{name}/_current")
-        newest = pointer.orderBy(F.desc("written"), F.desc("version")).first()
-        return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}/{newest.version}") if newest else empty
+        newest = _runs(spark, root).orderBy(F.desc("run")).first()
     except AnalysisException:
-        return empty
+        newest = None
+    return (newest.run, newest.versions) if newest else (0, {})
+
+
+def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Published version of a result table; an empty one of the right schema before the first."""
+    version = current(spark, root)[1].get(name)
+    if not version:
+        return spark.createDataFrame([], TABLES[name])
+    return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}/{version}")
 
 
-def write_table(df: DataFrame, root: str, name: str, partition: str | None = None) -> str:
-    """Write a new version of a table, then point at it: a reader sees the old version or the new one."""
+def write_version(df: DataFrame, root: str, name: str, partition: str | None = None) -> str:
+    """Write a version of a table that nobody reads before it is published."""
     version = f"v-{uuid.uuid4().hex}"
     rows = df.select(TABLES[name].names)
     writer = rows.write.partitionBy(partition) if partition else rows.write
     writer.parquet(f"{root}/{name}/{version}")
-    now = df.sparkSession.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("written"))
-    now.coalesce(1).write.mode("append").json(f"{root}/{name}/_current")
     return version
 
 
-def replace_days(df: DataFrame, path: str) -> None:
-    """Replace only the days that ``df`` has in a table partitioned by day."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+def publish(spark: SparkSession, root: str, versions: dict[str, str]) -> int:
+    """Point at new versions of some tables, all at once; other tables stay as they are. Returns the run's number."""
+    run, before = current(spark, root)
+    row = spark.createDataFrame([(run + 1, before | versions)], "run long, versions map<string,string>")
+    row.coalesce(1).write.mode("append").json(f"{root}/_runs")
+    return run + 1
 
 
 def compact(spark: SparkSession, path: str, to: str, rows_per_file: int = 5_000_000) -> None:

@@ -6,12 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Seconds between events by kind, ranges of jitter, share of other events, share and size of pauses.
+#: Seconds between events by kind; ranges of jitter; share of events of another kind; share and size of
+#: pauses; first position; factors of a pattern; moves of the patterns, walked in turn; keys.
 CADENCE = {"jiggler": (1.0, 8.0), "typer": (0.10, 0.40), "keep_awake": (6.0, 12.0), "clicker": (0.3, 1.5)}
 JITTER, CONTAMINATION, PAUSES, PAUSE_SIZE = (0.20, 0.50), 0.08, 0.10, (3.0, 12.0)
-ANCHOR, DISTANCES, PATTERNS = (800, 500), (1, 2, 3), ("normal", "linear", "circle")
+ANCHOR, DISTANCES = (800, 500), (1, 2, 3)
+PATTERNS = {
+    "normal": ((4, 4), (-4, -4)),
+    "linear": ((4, 0), (-4, 0)),
+    "circle": ((3, 2), (2, 3), (-2, 3), (-3, 2), (-3, -2), (-2, -3), (2, -3), (3, -2)),
+}
 TYPER_KEYS = ("a", "s", "d", "f", "j", "k", "l", "e")
 AWAKE_KEYS = ("f15", "f13", "f14", "scroll_lock")
+TYPES = {"jiggler": "move", "typer": "key_down", "keep_awake": "key_down", "clicker": "click"}
 
 
 def _draw(seed: int, salt: int, *parts: str) -> Column:
@@ -27,55 +34,46 @@ def _pick(u: Column, values: tuple) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), F.floor(u * len(values)).cast("int") + 1)
 
 
+def _of(keys: Column, values: dict) -> Column:
+    return F.element_at(F.create_map(*[x if isinstance(x, Column) else F.lit(x) for p in values.items() for x in p]), keys)
+
+
 def automation_events(
     spark: SparkSession, sessions_per_kind: int = 4, minutes_per_session: int = 30, user: str = "automation",
     start_ts: float = 1_700_000_000.0, seed: int = 42, slot_s: int = 14_400,
 ) -> DataFrame:
-    """Events of ``sessions_per_kind`` sessions of every kind, each in a time slot of its own, with kind and session.
+    """Events of ``sessions_per_kind`` sessions of every kind, each from the start of a time slot of its own, with kind,
+    session and ``acted`` (the kind that an event is of).
 
-    Gaps are base * (1 ± jitter), base drawn once for each session within its kind's cadence; a tenth adds a pause
-    of 3 to 12 bases; 8 percent of events are of another kind."""
+    A session has as many events as its base gap fits into its minutes. Gaps are base * (1 ± jitter), base drawn once for
+    each session within its kind's cadence; a tenth adds a pause of 3 to 12 bases. 8 percent of events are of one of the
+    other kinds. Moves walk a fixed pattern in place; clicks are presses where the pointer is."""
     kinds = tuple(CADENCE)
-    span = minutes_per_session * 60
     s = spark.range(sessions_per_kind * len(kinds)).withColumnRenamed("id", "session")
-    at = (F.col("session") / sessions_per_kind).cast("int")
-    low = F.element_at(F.array(*[F.lit(CADENCE[k][0]) for k in kinds]), at + 1)
-    high = F.element_at(F.array(*[F.lit(CADENCE[k][1]) for k in kinds]), at + 1)
-    s = s.withColumns({
-        "kind": F.element_at(F.array(*[F.lit(k) for k in kinds]), at + 1),
-        "base": _between(_draw(seed, 1, "session"), low, high),
-        "jitter": _between(_draw(seed, 2, "session"), *JITTER),
-        "pattern": _pick(_draw(seed, 3, "session"), PATTERNS),
-        "distance": _pick(_draw(seed, 4, "session"), DISTANCES),
-        "press": _pick(_draw(seed, 5, "session"), AWAKE_KEYS),
+    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("session") / sessions_per_kind).cast("int") + 1)
+    s = s.withColumn("kind", kind).withColumns({
+        "base": _between(_draw(seed, 1, "session"), _of(F.col("kind"), {k: v[0] for k, v in CADENCE.items()}), _of(F.col("kind"), {k: v[1] for k, v in CADENCE.items()})),
+        "jitter": _between(_draw(seed, 2, "session"), *JITTER), "pattern": _pick(_draw(seed, 3, "session"), tuple(PATTERNS)),
+        "distance": _pick(_draw(seed, 4, "session"), DISTANCES), "awake": _pick(_draw(seed, 5, "session"), AWAKE_KEYS),
     })
-    most = F.ceil(F.lit(span) / (F.col("base") * (1 - F.col("jitter")))).cast("long")
-    e = s.withColumn("i", F.explode(F.sequence(F.lit(0), most)))
+    e = s.withColumn("i", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.lit(minutes_per_session * 60) / F.col("base"))))))
     draw = lambda salt: _draw(seed, salt, "session", "i")
     pause = F.when(draw(7) < PAUSES, F.col("base") * _between(draw(8), *PAUSE_SIZE)).otherwise(0.0)
-    e = e.withColumn("gap", F.col("base") * (1 + F.col("jitter") * (2 * draw(6) - 1)) + pause)
+    others = F.array_remove(F.array(*[F.lit(k) for k in kinds]), F.col("kind"))
+    other = F.element_at(others, F.floor(draw(9) * (len(kinds) - 1)).cast("int") + 1)
+    e = e.withColumns({"gap": F.col("base") * (1 + F.col("jitter") * (2 * draw(6) - 1)) + pause, "acted": F.when(draw(10) < CONTAMINATION, other).otherwise(F.col("kind"))})
     by = Window.partitionBy("session").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    e = e.withColumn("after", F.sum("gap").over(by)).filter(F.col("after") <= span)
-    own = F.element_at(F.create_map(*[F.lit(x) for p in (("jiggler", "move"), ("typer", "key_down"), ("keep_awake", "key_down"), ("clicker", "click")) for x in p]), F.col("kind"))
-    other = _pick(draw(9), ("move", "key_down", "click"))
-    e = e.withColumn("type", F.when(draw(10) < CONTAMINATION, other).otherwise(own))
-    turn = F.col("i") * (3.141592653589793 / 4)
-    step = lambda salt, along, around: (
-        F.when(F.col("pattern") == "normal", F.round((2 * draw(salt) - 1) * F.col("distance")))
-        .when(F.col("pattern") == "linear", along).otherwise(F.round(F.col("distance") * around))
-    )
-    moved = F.col("type") == "move"
-    back_and_forth = F.when(F.col("i") % 2 == 0, F.col("distance")).otherwise(-F.col("distance"))
-    e = e.withColumns({
-        "mx": F.when(moved, step(11, back_and_forth, F.cos(turn))).otherwise(0).cast("long"),
-        "my": F.when(moved, step(12, F.lit(0), F.sin(turn))).otherwise(0).cast("long"),
-    })
-    typed = F.when(F.col("kind") == "keep_awake", F.concat(F.lit("Key."), F.col("press"))).otherwise(_pick(draw(13), TYPER_KEYS))
-    placed = F.col("type").isin("move", "click")
-    ts = F.lit(start_ts) + F.col("session") * slot_s + F.col("after")
-    return e.select(
-        "type", F.when(F.col("type") == "key_down", typed).alias("key"),
-        F.when(placed, ANCHOR[0] + F.sum("mx").over(by)).alias("x"), F.when(placed, ANCHOR[1] + F.sum("my").over(by)).alias("y"),
-        F.when(F.col("type") == "click", "Button.left").alias("button"), F.when(F.col("type") == "click", F.col("i") % 2 == 0).alias("pressed"),
-        F.lit(user).alias("user"), ts.alias("ts"), ts.cast("timestamp").alias("event_time"), "kind", "session",
+    moved = F.col("acted") == "jiggler"
+    e = e.withColumns({"after": F.sum("gap").over(by), "turn": F.count_if(moved).over(by)})
+    steps = _of(F.col("pattern"), {k: F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in v]) for k, v in PATTERNS.items()})
+    step = F.element_at(steps, ((F.col("turn") - 1) % F.size(steps)).cast("int") + 1)
+    e = e.withColumn("step", F.when(moved, step))
+    at = lambda axis, start: F.lit(start) + F.sum(F.coalesce(F.col(f"step.{axis}"), F.lit(0)) * F.col("distance")).over(by)
+    placed, clicked = F.col("acted").isin("jiggler", "clicker"), F.col("acted") == "clicker"
+    ts = F.round(F.lit(start_ts) + F.col("session") * slot_s + F.col("after"), 3)
+    return e.withColumns({"px": at("x", ANCHOR[0]), "py": at("y", ANCHOR[1])}).select(
+        _of(F.col("acted"), TYPES).alias("type"),
+        F.when(F.col("acted") == "typer", _pick(draw(13), TYPER_KEYS)).when(F.col("acted") == "keep_awake", F.col("awake")).alias("key"),
+        F.when(placed, F.col("px")).alias("x"), F.when(placed, F.col("py")).alias("y"), F.when(clicked, F.lit("Button.left")).alias("button"),
+        F.when(clicked, F.lit(True)).alias("pressed"), F.lit(user).alias("user"), ts.alias("ts"), ts.cast("timestamp").alias("event_time"), "kind", "session", "acted",
     )

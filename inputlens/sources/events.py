@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inputlens.functions.times import from_epoch
-from inputlens.schema import EVENT
+from inputlens.schema import EVENT, SOURCE
 
 
 def kafka_stream(spark: SparkSession, servers: str, topic: str = "events.raw") -> DataFrame:
@@ -19,10 +19,11 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str = "events.raw") -
 def decode(lines: DataFrame, value: str = "value") -> DataFrame:
     """Event columns, event_time and ``bad`` of JSON lines (text or bytes) under the fixed schema.
 
-    A field of the wrong type becomes null alone. A line is bad if it is no JSON object with a type, a user and a
+    A source's own partition and offset, as Kafka's, are kept. A field of the wrong type becomes null alone. A line is bad if it is no JSON object with a type, a user and a
     usable time; nothing is lost, see ``good`` and ``quarantined``."""
     text = F.col(value).cast("string")
-    parsed = lines.select(text.alias("raw"), F.from_json(text, EVENT).alias("e")).select("raw", "e.*")
+    places = [F.col(c).cast(t).alias(n) for c, n, t in zip(("partition", "offset"), SOURCE, ("int", "long"), strict=True)] if {"partition", "offset"} <= set(lines.columns) else []
+    parsed = lines.select(text.alias("raw"), *places, F.from_json(text, EVENT).alias("e")).select("raw", "e.*", *[n for n in SOURCE if places])
     timed = with_event_time(parsed)
     return timed.withColumn("bad", F.col("type").isNull() | F.col("user").isNull() | F.col("event_time").isNull())
 

@@ -7,12 +7,11 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from inputlens.functions import times
 from inputlens.operators import sessions
 from inputlens.plans import batch, reads
 from inputlens.schema import EVENT, Params
 from inputlens.sources import archive
-from inputlens.sources.automation import CADENCE, automation_events
+from inputlens.sources.automation import ANCHOR, AWAKE_KEYS, CADENCE, DISTANCES, PATTERNS, TYPER_KEYS, automation_events
 from inputlens.sources.events import as_json, decode, good, normalised, published, quarantined
 from inputlens.streaming import speed
 
@@ -126,21 +125,87 @@ def test_batch_run_and_reads(spark, tmp_path):
     # a second run takes over at once; the first version stays for its readers
     e.filter("ts < 100").write.mode("overwrite").parquet(source)
     batch.run_batch(spark, source, root)
+    assert batch.run_log(spark, root).count() == 2
     assert reads.newest_sessions(spark, root).count() == 1 and reads.batch_status(spark, root).count() == 1
     health = reads.health(spark, root, as_of).first()
-    assert health.batch_status == "ok" and not health.fresh
+    assert health.batch_status == "ok" and not health.fresh and health.batch_age_s == pytest.approx(4000 - 80) and health.batch_error is None
     with pytest.raises(AnalysisException):
         batch.run_batch(spark, f"file://{tmp_path}/nowhere", root, guard=False)
     assert batch.run_log(spark, root).filter("status = 'failed'").count() == 1
     assert reads.display_grid(spark).first().grid_w == 108 and reads.liveness(spark, root, "u").count() == 0
 
 
-def test_day_tables_and_compaction(spark, tmp_path):
-    day = lambda d, n: spark.createDataFrame([(n, d)], "n int, day string")
-    path = f"file://{tmp_path}/days"
-    archive.replace_days(day("2024-01-01", 1).union(day("2024-01-02", 2)), path)
-    archive.replace_days(day("2024-01-02", 3), path)
-    assert sorted(r.n for r in spark.read.parquet(path).collect()) == [1, 3]
+def test_a_failing_table_changes_nothing(spark, tmp_path, monkeypatch):
+    """The fourth table of the second run fails: all tables stay those of the first."""
+    source, root = f"file://{tmp_path}/archive", f"file://{tmp_path}/tables"
+    e = good(decode(spark.createDataFrame([(line(t),) for t in (1, 70, 80, 3000)], "value string")))
+    e.write.parquet(source)
+    batch.run_batch(spark, source, root)
+    names = ["per_window", "sessions", "baseline", "day_minute_metrics", "heatmap_by_day", "heatmaps", "day_counts"]
+    rows = lambda: {n: sorted(map(str, archive.read_table(spark, root, n).collect())) for n in names}
+    before, real = rows(), batch.write_version
+
+    def broken(df, root, name, partition=None):
+        if name == "day_minute_metrics":
+            raise RuntimeError("disk full")
+        return real(df, root, name, partition)
+
+    e.filter("ts > 100").write.mode("overwrite").parquet(source)
+    monkeypatch.setattr(batch, "write_version", broken)
+    with pytest.raises(RuntimeError, match="disk full"):
+        batch.run_batch(spark, source, root)
+    assert rows() == before and reads.batch_status(spark, root).first().error == "disk full"
+    monkeypatch.setattr(batch, "write_version", real)
+    batch.run_batch(spark, source, root)
+    assert all(r != before[n] for n, r in rows().items())
+
+
+def test_incremental_days_equal_a_whole_run(spark, tmp_path):
+    source, root, whole = (f"file://{tmp_path}/{x}" for x in ("archive", "tables", "whole"))
+    made = lambda ts: good(decode(spark.createDataFrame([(line(t, "move" if t % 3 else "click"),) for t in ts], "value string")))
+    made([*range(0, 200, 7), *range(90_000, 90_200, 9)]).write.parquet(source)
+    batch.run_batch(spark, source, root)
+    made([*range(90_300, 90_400, 5), *range(180_000, 180_050, 3)]).write.mode("append").parquet(source)
+    batch.run_batch(spark, source, root, incremental=True)
+    batch.run_batch(spark, source, whole)
+    for n in ("day_minute_metrics", "heatmap_by_day", "day_counts"):
+        got, want = (sorted(map(str, archive.read_table(spark, r, n).collect())) for r in (root, whole))
+        assert got == want and got
+    counted = lambda rows: spark.createDataFrame(rows, "day string, n long")
+    changed = batch.changed_days(counted([("a", 2), ("b", 1), ("c", 1)]), counted([("a", 2), ("b", 5)]))
+    assert sorted(r.day for r in changed.collect()) == ["b", "c"]
+
+
+def test_liveness_job(spark, tmp_path):
+    """Enough people's windows give flags, a report and a model; too few give none, and the calendar reads the flags."""
+    source, root, few = (f"file://{tmp_path}/{x}" for x in ("archive", "tables", "few"))
+    ts = [m * 60 + s + (s * s * 7 % 5) for m in range(60) for s in (0, 3, 11, 19, 40, 52)]
+    kinds = ["move", "click", "key_down", "move", "key_down", "click"]
+    lines = [(line(t, kinds[(i * i) % 6]),) for i, t in enumerate(ts)]
+    good(decode(spark.createDataFrame(lines, "value string"))).write.parquet(source)
+    assert batch.run_liveness(spark, source, few, trees=3, depth=3, sessions_per_kind=0).count() == 0
+    assert archive.read_table(spark, few, "model_report").count() == 0 and reads.model(few) is None
+    batch.run_liveness(spark, source, root, trees=5, depth=4, sessions_per_kind=1)
+    flags = reads.liveness(spark, root).collect()
+    assert [(r.user, r.day) for r in flags] == [("u", "1970-01-01")] and 0 <= flags[0].score <= 1
+    report = reads.ml_metrics(spark, root).first()
+    assert report.available and report.n_human == 60 and report.n_automation > 30 and report.accuracy > 0.8
+    assert reads.model(root) is not None
+    again = batch.run_liveness(spark, source, root, retrain=False)
+    assert [tuple(r) for r in again.collect()] == [tuple(r) for r in flags]
+
+
+def test_equal_events_at_two_offsets_stay_two(spark, tmp_path):
+    lines = spark.createDataFrame([(line(1), 0, 5), (line(1), 0, 6), (line(1), 0, 6), (line(2), 1, 5)], "value string, partition int, offset long")
+    e = good(decode(lines))
+    assert archive.deduplicated(e, columns=["type", "ts"]).columns == ["type", "ts"] and archive.deduplicated(e).count() == 3
+    assert archive.deduplicated(e.withColumn("source_offset", F.lit(None).cast("long"))).count() == 2  # by content
+    e.write.parquet(f"file://{tmp_path}/a")
+    events, _ = batch.archived_events(spark, f"file://{tmp_path}/a")
+    assert events.count() == 3 and "ts" not in events.columns
+
+
+def test_compaction(spark, tmp_path):
     e = good(decode(spark.createDataFrame([(line(t),) for t in range(40)], "value string"))).repartition(8)
     e.write.parquet(f"file://{tmp_path}/many")
     archive.compact(spark, f"file://{tmp_path}/many", f"file://{tmp_path}/few")
@@ -148,12 +213,6 @@ def test_day_tables_and_compaction(spark, tmp_path):
     assert len(files) == 1 and archive.read_archive(spark, f"file://{tmp_path}/few")[0].count() == 40
 
 
-def test_changed_days(spark):
-    e = spark.createDataFrame([(1.0,), (2.0,), (90_000.0,)], "t double").select(times.from_epoch(F.col("t")).alias("event_time"))
-    known = spark.createDataFrame([("1970-01-01", 2), ("1970-01-02", 5)], "day string, n long")
-    assert [r.day for r in batch.changed_days(e, known, "UTC").collect()] == ["1970-01-02"]
-
-
 def test_automation_is_repeatable(spark):
     a = automation_events(spark, 1, 5)
     assert sorted(map(str, a.collect())) == sorted(map(str, automation_events(spark, 1, 5).collect()))
@@ -161,3 +220,27 @@ def test_automation_is_repeatable(spark):
     assert set(by) == set(CADENCE) and by["typer"] > by["clicker"] > by["keep_awake"]
     assert a.filter("type = 'key_down' AND key IS NULL").count() == 0
     assert a.agg(F.max("ts") - F.min("ts")).first()[0] < 4 * 14_400
+
+
+def test_automation_shares_and_patterns(spark):
+    rows = automation_events(spark, 8, 60).orderBy("session", "ts").collect()
+    off = sum(r.kind != r.acted for r in rows) / len(rows)
+    assert 0.075 < off < 0.085 and {(r.kind, r.acted) for r in rows} == {(a, b) for a in CADENCE for b in CADENCE}
+    assert all(r.pressed is True and r.button == "Button.left" for r in rows if r.type == "click")
+    assert {r.key for r in rows if r.acted == "typer"} == set(TYPER_KEYS)
+    seen = set()
+    for s in {r.session for r in rows}:
+        at, walked, keys = ANCHOR, [], set()
+        for r in (r for r in rows if r.session == s):
+            if r.acted == "jiggler":
+                walked.append((r.x - at[0], r.y - at[1]))
+                at = (r.x, r.y)
+            elif r.acted == "clicker":
+                assert (r.x, r.y) == at
+            elif r.acted == "keep_awake":
+                keys.add(r.key)
+        assert len(keys) <= 1 and keys <= set(AWAKE_KEYS)
+        fits = [(n, d) for n, p in PATTERNS.items() for d in DISTANCES if walked and walked == [(x * d, y * d) for x, y in (p * len(walked))[: len(walked)]]]
+        assert fits or not walked
+        seen |= {n for n, _ in fits}
+    assert seen == set(PATTERNS)

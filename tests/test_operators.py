@@ -81,7 +81,7 @@ def test_range_heatmaps_include_the_edge(spark):
 
 def test_clip_and_intensity(spark):
     h = spark.createDataFrame([(0, 0, "move", 3), (107, 69, "move", 1), (108, 0, "move", 9), (-1, 0, "move", 9)], "cell_x int, cell_y int, type string, count long")
-    got = {r.cell_x: r.intensity for r in heat.clipped(h, heat.display_grid(), ["type"]).collect()}
+    got = {r.cell_x: r.intensity for r in heat.clipped(h, heat.with_grid(heat.known_display(spark)), ["type"]).collect()}
     assert got == {0: 1.0, 107: pytest.approx(0.5)}
 
 
