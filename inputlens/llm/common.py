@@ -6,6 +6,7 @@ import functools
 import json
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -46,14 +47,21 @@ def tuned(spark: SparkSession) -> SparkSession:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, so lost executors lose no work.
 
-    Nothing needs the job's shuffle files afterwards: a collection of the driver's garbage lets Spark remove them."""
+    Nothing needs the job's shuffle files afterwards: a collection of the driver's garbage, every few seconds, lets Spark
+    remove them."""
+    global _collected
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/inputlens-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark._jvm.System.gc()
+    if time.monotonic() - _collected > 5:
+        spark._jvm.System.gc()
+        _collected = time.monotonic()
     return spark.read.schema(df.schema).parquet(path)
 
 
+_collected = 0.0
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of written tables that nothing reads any more."""
     for df in tables:
@@ -64,26 +72,32 @@ def discard(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-#: A key with more than 1/HOT of all rows is hot: fewer than HOT keys can be.
-HOT = 2000
+#: A key with more than 1/HOT of all rows, and more than HOT_ROWS, is hot: fewer than HOT keys can be.
+HOT, HOT_ROWS = 2000, 1000
 
 
 def with_keys(rows: DataFrame, counted: DataFrame, keys: list[str], times: str) -> DataFrame:
     """The ``rows`` whose keys ``counted`` has (a left semi join, keys not null). ``counted`` holds in ``times`` how many
     rows a key has; hot keys, of which there are fewer than HOT, are broadcast, so that no task gets all rows of one."""
     total = rows.count()
-    hot = F.col(times) * HOT > total
+    hot = (F.col(times) * HOT > total) & (F.col(times) > HOT_ROWS)
     few = F.broadcast(counted.filter(hot).select(keys))
     rest = rows.join(few, keys, "left_anti").join(counted.filter(~hot).select(keys), keys, "left_semi")
     return rows.join(few, keys, "left_semi").unionByName(rest)
 
 
-def matched(rows: DataFrame, values: DataFrame, keys: list[str], how: str = "inner", most: int | None = None) -> DataFrame:
-    """``rows`` joined with ``values`` (inner, left or left_semi; keys not null, of one name). Keys that hold more than
-    1/``most`` (HOT) of ``rows``, and so are fewer than ``most``, meet their values in a broadcast of just those, so that
-    no task gets all rows of one. ``rows`` is read several times: pass a written table."""
-    most, total = most or HOT, rows.count()
-    hot = rows.groupBy(keys).count().filter(F.col("count") * most > total).select(keys).collect()  # fewer than ``most`` rows
+def hot_keys(rows: DataFrame, keys: list[str], most: int | None = None) -> list:
+    """Keys (not null) that hold more than 1/``most`` (HOT) of ``rows``, and more than HOT_ROWS: fewer than ``most``."""
+    most = most or HOT
+    counted = rows.groupBy(keys).count().filter(F.col("count") > HOT_ROWS).filter(F.col("count") * most > rows.agg(F.count(F.lit(1))).scalar())
+    return counted.select(keys).collect()
+
+
+def matched(rows: DataFrame, values: DataFrame, keys: list[str], how: str = "inner", most: int | None = None, hot: list | None = None) -> DataFrame:
+    """``rows`` joined with ``values`` (inner, left or left_semi; keys not null, of one name). Hot keys of ``rows`` (found
+    here, or given) meet their values in a broadcast of just those, so that no task gets all rows of one. ``rows`` is read
+    several times: pass a written table."""
+    hot = hot_keys(rows, keys, most) if hot is None else hot
     if not hot:
         return rows.join(values, keys, how)
     few = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(keys).schema))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inputlens.llm.common import discard, hashed_words, matched, mix, rolling, row_key, with_keys, written
+from inputlens.llm.common import discard, hashed_words, hot_keys, matched, mix, rolling, row_key, with_keys, written
 
 #: Words of a shingle and the similarity, in percent.
 SHINGLE, THRESHOLD = 5, 80
@@ -148,8 +148,9 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     labels and edges are written tables, and only labels move."""
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-labels")
+    hubs = hot_keys(both, ["b"])
     while True:
-        around = matched(both, labels.withColumnRenamed("node", "b"), ["b"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        around = matched(both, labels.withColumnRenamed("node", "b"), ["b"], hot=hubs).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         new = labels.join(around, "node").select("node", F.least("label", "near").alias("near"), F.col("label").alias("old"))
         new = written(new, f"{name}-near")
         jump = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))

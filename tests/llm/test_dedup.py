@@ -51,7 +51,8 @@ def test_equals_brute_force(spark, monkeypatch, window, blind):
         monkeypatch.setattr(sketch, "BLOCK_KEYS", 300)
         monkeypatch.setattr(sketch, "LOT_KEYS", 100)
         monkeypatch.setattr(substring_dedup, "GATHERED", 200)
-        monkeypatch.setattr(common, "HOT", 3)
+        monkeypatch.setattr(common, "HOT", 300)
+        monkeypatch.setattr(common, "HOT_ROWS", 1)
     rows = corpus(window, window)
     docs = spark.createDataFrame([(i, t, 1, "clash") for i, t in rows], SCHEMA).repartition(5)
     made = substring_dedup.dedup(docs, window, keep_text=True)

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from inputlens.llm import ngram_join
+from inputlens.llm import common, ngram_join
 from inputlens.llm.common import WORD
 
 SCHEMA = "doc_id long, text string, node string, n int"
@@ -66,6 +66,8 @@ def corpus(seed):
 @pytest.mark.parametrize("seed,block", [(1, 1024), (2, 4)])
 def test_equals_brute_force(spark, monkeypatch, seed, block):
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
+    if block == 4:  # and many keys are hot
+        monkeypatch.setattr(common, "HOT_ROWS", 3)
     rows = corpus(seed)
     docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], SCHEMA).repartition(3)
     got = ngram_join.similar_groups(docs).collect()
