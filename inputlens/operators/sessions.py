@@ -7,6 +7,8 @@ event) and only windows are sorted by user: a busy user brings at most 1,440 row
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,17 +91,49 @@ def live_session(sessions: DataFrame, metrics: DataFrame, as_of: Column, tz: str
 def thin_moves(events: DataFrame, min_gap_s: float = 0.02) -> DataFrame:
     """Drop a user's move that comes less than ``min_gap_s`` after the last move kept; other events stay.
 
-    Exact and parallel: after a gap of ``min_gap_s`` or more the next move is kept whatever came before, so moves
-    are cut into islands there, and each island is thinned in one pass over its sorted times. Moves without a time
-    stay; of moves at one time the first by position is kept."""
+    Exact and parallel: time is cut into slots, far longer than the gap. Which moves of a slot are kept depends on the
+    slots before only through the first one kept, which is among the times of the slot's first gap or the next one after.
+    So each slot is summed up by the last time kept for every such beginning, the sums are chained by user, and
+    each slot is thinned from its beginning. A task holds the distinct times of one slot of one user, or one user's sums.
+    Moves without a time stay; of moves at one time the first by position is kept."""
     gap = round(min_gap_s * 1_000_000)
+    slot_us = max(3_600_000_000, 100 * gap)
     moves = events.filter((F.col("type") == "move") & F.col("event_time").isNotNull()).withColumn("__us", F.unix_micros("event_time"))
-    position = [F.col("__us"), F.col("x"), F.col("y")]
-    moves = islands(moves, F.col("__us"), F.col("__us"), gap - 1, position, "__island")
-    times = moves.groupBy("user", "__island").agg(F.array_sort(F.collect_set("__us")).alias("__times"))
-    step = lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= gap), F.array_append(kept, t)).otherwise(kept)
-    keep = times.select(F.col("user").alias("__user"), F.explode(F.aggregate("__times", F.array().cast("array<bigint>"), step)).alias("__at"))
-    first = Window.partitionBy("user", "__us").orderBy("x", "y")
-    moves = moves.withColumn("__first", F.row_number().over(first)).filter("__first = 1").drop("__first", "__island")
-    kept = moves.join(keep, F.col("user").eqNullSafe(F.col("__user")) & (F.col("__us") == F.col("__at")), "left_semi").drop("__us")
+    who = F.coalesce(F.concat(F.lit("u"), "user"), F.lit("n")).alias("__who")  # a null user is a user too
+    times = moves.select(who, F.floor(F.col("__us") / F.lit(slot_us)).cast("long").alias("__slot"), "__us").distinct()
+
+    def sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        us = np.sort(pdf["__us"].to_numpy())
+        begins = us[: int(np.searchsorted(us, key[1] * slot_us + gap)) + 1]
+        after, last = np.searchsorted(us, us + gap), np.arange(len(us))
+        for i in range(len(us) - 1, -1, -1):
+            if after[i] < len(us):
+                last[i] = last[after[i]]
+        return pd.DataFrame({"__who": key[0], "__slot": key[1], "__begin": begins, "__last": us[last[: len(begins)]]})
+
+    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        kept, out = None, []
+        for slot, rows in pdf.sort_values(["__slot", "__begin"]).groupby("__slot"):
+            begins = rows["__begin"].to_numpy()
+            at = 0 if kept is None else int(np.searchsorted(begins, kept + gap))
+            if at < len(begins):
+                out.append((key[0], slot, begins[at]))
+                kept = rows["__last"].iat[at]
+        return pd.DataFrame(out, columns=["__who", "__slot", "__begin"])
+
+    def thin(rows: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
+        us, kept = np.sort(rows["__us"].to_numpy()), []
+        at = int(np.searchsorted(us, begin["__begin"].iat[0])) if len(begin) else len(us)
+        while at < len(us):
+            kept.append(us[at])
+            at = int(np.searchsorted(us, us[at] + gap))
+        return pd.DataFrame({"__who": rows["__who"].iat[0] if len(rows) else None, "__us": kept}).astype({"__us": "int64"})
+
+    keys = ["__who", "__slot"]
+    begins = times.groupBy(keys).applyInPandas(sums, "__who string, __slot long, __begin long, __last long")
+    begins = begins.groupBy("__who").applyInPandas(chain, "__who string, __slot long, __begin long")
+    keep = times.groupBy(keys).cogroup(begins.groupBy(keys)).applyInPandas(thin, "__who string, __us long")
+    first = Window.partitionBy("__who", "__us").orderBy("x", "y")
+    ordered = moves.withColumn("__who", who).withColumn("__first", F.row_number().over(first)).filter("__first = 1").drop("__first")
+    kept = ordered.join(keep, ["__who", "__us"], "left_semi").drop("__us", "__who")
     return events.filter((F.col("type") != "move") | F.col("type").isNull() | F.col("event_time").isNull()).unionByName(kept)

@@ -1,6 +1,7 @@
 """Event operators on literal rows: one test for each rule of the semantics contract."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,6 +135,20 @@ def test_sitting_breaks_at_the_gap(spark):
     assert sessions.current_sitting(m, F.timestamp_seconds(F.lit(961))).count() == 0
 
 
+def test_thin_moves_across_slots(spark):
+    """A gap of 100 s has slots of 10,000 s; moves never pause, so that every slot depends on the one before."""
+    rng = random.Random(6)
+    ts = sorted({round(rng.uniform(0, 60_000), 3) for _ in range(6000)})
+    e = events(spark, [("move", t, 1, 1) for t in ts])
+    want, last = [], None
+    for t in ts:
+        if last is None or round((t - last) * 1e6) >= 100_000_000:
+            want.append(t)
+            last = t
+    got = sorted(r.t for r in sessions.thin_moves(e, 100).select((F.unix_micros("event_time") / 1e6).alias("t")).collect())
+    assert got == pytest.approx(want, abs=1e-6)
+
+
 def test_thin_moves_equals_the_greedy_loop(spark):
     e = spark.range(2000).select(
         F.when(F.col("id") % 10 == 0, "click").otherwise("move").alias("type"), F.concat(F.lit("u"), F.col("id") % 2).alias("user"),
