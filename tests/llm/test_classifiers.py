@@ -106,9 +106,9 @@ def test_rejection_is_calibrated_on_what_is_left(monkeypatch):
     assert sum(kept) >= 0.9 * len(kept) and any(classify(t)[2] for _, t in mixed[40:])
 
 
-def kneser_ney(rows):
-    """The models of both classes by their formulas, a probability at a time, for ``toxicity.train``."""
-    d, ds = toxicity.DISCOUNT, toxicity.SHARED_DISCOUNT
+def kneser_ney(rows, d):
+    """The models of both classes by their formulas, a probability at a time."""
+    ds = toxicity.SHARED_DISCOUNT
     one = [Counter(), Counter()]
     two = [Counter(), Counter()]
     before = {}
@@ -139,11 +139,16 @@ def kneser_ney(rows):
     return ratio
 
 
-def test_toxicity_equals_the_formulas():
+@pytest.mark.parametrize("discount", [1.0, 4.0])
+def test_toxicity_equals_the_formulas(discount):
     rng = random.Random(2)
     rows = [([rng.choice("abcdefgh") for _ in range(rng.randint(1, 12))] + ["you", "fool"] * (y and rng.random() < 0.7), y) for y in [0, 1] * 40]
-    ratios, ratio = toxicity.train(rows), kneser_ney(rows)
+    sample = toxicity.Sample(rows)
+    tables = toxicity.Counts(sample, np.arange(len(rows))).tables(discount)
+    ratios, ratio = toxicity.named(sample, tables), kneser_ney(rows, discount)
     assert ratios.pair and ratios.single
+    direct = [toxicity.differences(w, ratios) for w, _ in rows]
+    assert np.allclose(toxicity.compared(sample, np.arange(len(rows)), tables), direct, atol=1e-9)
     for w, _ in [*rows, (["you", "fool", "never", "seen", "a"], 0)]:
         want = [ratio(h, x) for h, x in zip(["", *w], w)]
         assert ratios.of(w) == pytest.approx(want, abs=1e-9)
