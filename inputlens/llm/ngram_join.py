@@ -270,6 +270,11 @@ def tile_pairs(rows: DataFrame, bitmaps: DataFrame, threshold: int) -> DataFrame
     return tiles.join(bitmaps, "node").groupBy(bucket.alias("task")).applyInPandas(meet, "a long, b long").distinct()
 
 
+def _repeated(rows: DataFrame) -> DataFrame:
+    """token and times of the tokens that have more than one of the rows."""
+    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+
+
 def links(docs: DataFrame, profiled: DataFrame, k: int, threshold: int) -> DataFrame:
     """node, label of the nodes that a link of similarity joins to another node; equal labels are connected."""
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(profiled))
@@ -286,10 +291,14 @@ def links(docs: DataFrame, profiled: DataFrame, k: int, threshold: int) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tokens, nodes, sizes)], names=["token", "node", "n"])
 
     every = written(docs.select("text").mapInArrow(postings, "token long, node long, n int"), "postings")
-    shared = every.groupBy("token").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.count(F.lit(1)).alias("times")).filter("u <> v")
-    shared = written(shared.select("token", "times"), "tokens")
-    rows = written(with_keys(every, shared, ["token"], "times").dropDuplicates(["token", "node"]), "shared")
-    discard(every, shared)
+    # first shingles that stand twice at all, then, with equal sets as one, those that two sets share: counts alone are
+    # half as wide in the shuffle as what would tell both at once
+    twice = written(_repeated(every), "twice")
+    some = written(with_keys(every, twice, ["token"], "times").dropDuplicates(["token", "node"]), "some")
+    discard(every, twice)
+    shared = written(_repeated(some), "tokens")
+    rows = written(with_keys(some, shared, ["token"], "times"), "shared")
+    discard(some, shared)
     # a shingle's pivot is its node with the largest share of rare shingles that others have too: in a group of
     # edited copies that is the text they come from, which is nearer to each than they are to each other
     taken = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
