@@ -327,4 +327,9 @@ FROM c, latest WHERE type IN ('move', 'click') AND event_time >= t - INTERVAL 24
         HEAT_DAY + ", od AS (SELECT * FROM hd WHERE day = '2024-01-15' AND \"user\" = 'user-1' AND cell_x BETWEEN 0 AND 107 AND cell_y BETWEEN 0 AND 69)",
         "SELECT *, round(ln(1 + count) / ln(1 + max(count) OVER (PARTITION BY type)), 6) AS intensity FROM od",
     ),
+    "k2_archive_sink": ORACLE_SQL["s2_decode"],
+    "k4_flagged_days": _sql(FEATURES, "SELECT DISTINCT \"user\", strftime(window_start, '%Y-%m-%d') AS day, TRUE AS scored FROM ft"),
+    "k6_model_report": _sql(FEATURES, "SELECT TRUE AS available, count(*) AS n_human, count(*) AS n_split FROM ft"),
+    "k7_json_counts": _sql(FEATURES, 'SELECT "user", window_start, CAST(to_json({\'user\': "user", \'n_events\': n_events}) AS VARCHAR) AS record FROM ft'),
+    "m5_split_share": _sql(FEATURES, "SELECT CAST(0 AS DOUBLE) AS label, count(*) AS n, TRUE AS a_quarter" + HUMAN),
 }

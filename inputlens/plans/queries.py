@@ -18,8 +18,8 @@ from inputlens.functions.times import duration_minutes, parse_iso, staleness
 from inputlens.operators import counts, dashboard, features, heat, liveness, sessions
 from inputlens.plans import reads
 from inputlens.plans.batch import run_batch, run_liveness
-from inputlens.schema import ARCHIVED, Params
-from inputlens.sources.archive import scratch
+from inputlens.schema import ARCHIVED, SOURCE, Params
+from inputlens.sources.archive import read_archive, scratch
 from inputlens.sources.automation import automation_events
 from inputlens.sources.canonical import input_events
 from inputlens.sources.events import as_json, decode, good, normalised
@@ -245,11 +245,48 @@ def _read(f: Callable[[Tables, str], DataFrame]) -> Callable[[SparkSession, str]
     return query
 
 
-def _liveness_job(t: Tables, root: str) -> DataFrame:
-    """The job that follows a batch, on windows of an hour: flags as published."""
-    own = scratch(t.spark, "liveness")
-    run_liveness(t.spark, f"{root}/events", own, Params(gap_s=3600, window_s=3600), sessions_per_kind=max(1, math.ceil(t.features().count() / 20)))
-    return rounded(reads.liveness(t.spark, own))
+def _scored_root(t: Tables, root: str) -> str:
+    """A root of its own where the job that follows a batch has run, on windows of an hour: once for each archive."""
+    key = (t.spark.sparkContext.applicationId, root)
+    if key not in _ROOTS:
+        own = scratch(t.spark, "liveness")
+        run_liveness(t.spark, f"{root}/events", own, Params(gap_s=3600, window_s=3600), sessions_per_kind=max(1, math.ceil(t.features().count() / 20)))
+        _ROOTS[key] = own
+    return _ROOTS[key]
+
+
+def _flags(t: Tables, root: str) -> DataFrame:
+    return reads.liveness(t.spark, _scored_root(t, root))
+
+
+def _flagged_days(t: Tables, root: str) -> DataFrame:
+    """Which days have a flag, and whether its score is a probability: what SQL can say of a model's flags."""
+    return _flags(t, root).select("user", "day", F.col("score").between(0, 1).alias("scored"))
+
+
+def _model_report(t: Tables, root: str) -> DataFrame:
+    return reads.ml_metrics(t.spark, _scored_root(t, root)).select("available", "n_human", (F.col("n_train") + F.col("n_test") - F.col("n_automation")).alias("n_split"))
+
+
+def _archive_sink(t: Tables) -> DataFrame:
+    """Metrics and archive as the speed layer writes them, both from one stream; what the archive then holds."""
+    root = scratch(t.spark, "speed")
+    t.lines().write.text(f"{root}/lines")
+    for query in speed.start_speed_layer(t.spark.readStream.schema("value string").text(f"{root}/lines"), root, None, None):
+        query.awaitTermination()
+    events, _ = read_archive(t.spark, f"{root}/events", guard=True)
+    return events.select([c for c in ARCHIVED.names if c not in (*SOURCE, "ts")])
+
+
+def _split_share(t: Tables) -> DataFrame:
+    """Human rows of both parts, and whether about a quarter is held out."""
+    rows = _split(t).filter("label = 0").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("part") == "test").cast("double")).alias("held"))
+    return rows.select("label", "n", F.col("held").between(0.2, 0.3).alias("a_quarter"))
+
+
+def _json_counts(t: Tables) -> DataFrame:
+    rows = t.features().select("user", "n_events", "window_start")
+    return rows.select("user", "window_start", as_json(rows.select("user", "n_events")).alias("record"))
 
 
 def _detail(part: str) -> Callable[[Tables, str], DataFrame]:
@@ -275,7 +312,9 @@ READS = {
     "read_day_gauge": _detail("gauge"),
     "read_day_sessions": _detail("sessions"),
     "read_day_heatmap": _detail("heatmap"),
-    "k4_liveness_job": _liveness_job,
+    "k4_liveness_job": lambda t, root: rounded(_flags(t, root)),
+    "k4_flagged_days": _flagged_days,
+    "k6_model_report": _model_report,
 }
 
 QUERIES = {
@@ -312,8 +351,11 @@ QUERIES = {
     "j2_calendar": _with(_calendar),
     "j4_display": _with(_small_display),
     "j5_zscore": _with(lambda t: rounded(dashboard.z_scores(t.minutes(3600), t.baseline(P1)))),
+    "k2_archive_sink": _with(_archive_sink),
+    "k7_json_counts": _with(_json_counts),
     "k7_json_export": _with(lambda t: t.features().select("user", "window_start", as_json(t.features()).alias("record"))),
     "m5_split": _with(_split),
+    "m5_split_share": _with(_split_share),
     "m8_report": _with(_report),
     "m9_scores": _with(lambda t: t.scored()),
     "m10_day_flags": _with(lambda t: rounded(liveness.score_days(t.scored(), TZ))),
