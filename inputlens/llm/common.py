@@ -47,13 +47,13 @@ def tuned(spark: SparkSession) -> SparkSession:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, so lost executors lose no work.
 
-    Nothing needs the job's shuffle files afterwards: a collection of the driver's garbage, every few seconds, lets Spark
+    Nothing needs the job's shuffle files afterwards: a collection of the driver's garbage, once a second at most, lets Spark
     remove them."""
     global _collected
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/inputlens-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if time.monotonic() - _collected > 5:
+    if time.monotonic() - _collected > 1:
         spark._jvm.System.gc()
         _collected = time.monotonic()
     return spark.read.schema(df.schema).parquet(path)
