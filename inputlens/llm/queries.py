@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inputlens.llm import ann_tree, bpe, lang_id, ngram_join, packing, quality_knn, substring_dedup, topk_bitslice, toxicity, training_order
+from inputlens.llm import ann_tree, bpe, lang_id, ngram_join, packing, quality_knn, resampling, substring_dedup, topk_bitslice, toxicity, training_order, vector_codes, word_bpe
 from inputlens.llm.common import crc_bucket, shared_dir, tuned
 
 
@@ -88,6 +88,22 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents")).drop("row_hash")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors: 4 parts of 256 entries, trained for 4 rounds."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every text; rows that repeat stay as often as they are."""
+    coded = table(spark, sf_dir, "documents").select("doc_id", word_bpe.digest(F.col("text"), public_tokenizers.path("word_bpe_49k.json")).alias("d"))
+    return coded.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draw one in twenty of all documents toward the benchmark's texts."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language": op2_language,
@@ -99,7 +115,83 @@ QUERIES = {
     "op8_nearest": op8_nearest,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_ngram_join": op10_ngram_join,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_word_bpe": op12_word_bpe,
+    "op13_resampling": op13_resampling,
 }
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Every round spelled out: c holds a round's codebooks (part, entry, e), a its assignments."""
+    nearest = """
+a{n} AS MATERIALIZED (
+  SELECT v.rid, v.part, v.p, arg_min(c.entry, {d} * 1024 + c.entry) AS entry, min({d}) AS d
+  FROM p v JOIN c{n} c ON c.part = v.part GROUP BY ALL)"""
+    apart = "CAST(list_sum(list_transform(list_zip(v.p, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    means = """
+x{n} AS (SELECT part, entry, i, CAST(floor(sum(p[i]) / count(*)) AS BIGINT) AS m, sum(p[i]) AS s, count(*) AS k
+  FROM a{n}, LATERAL (SELECT unnest(range(1, len(p) + 1)) AS i) GROUP BY ALL),
+y{n} AS (SELECT part, entry, list(CASE WHEN s % k < 0 THEN s // k - 1 ELSE s // k END ORDER BY i) AS e FROM x{n} GROUP BY ALL),
+c{m} AS MATERIALIZED (SELECT c.part, c.entry, CAST(coalesce(y.e, c.e) AS BIGINT[]) AS e FROM c{n} c LEFT JOIN y{n} y USING (part, entry))"""
+    steps = [nearest.format(n=0, d=apart)]
+    for n in range(rounds):
+        steps += [means.format(n=n, m=n + 1), nearest.format(n=n + 1, d=apart)]
+    return f"""
+WITH k AS (
+  SELECT row_number() OVER () AS rid, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (
+  SELECT rid, vec_id, part, q[part * len(q) // {parts} + 1 : (part + 1) * len(q) // {parts}] AS p
+  FROM k, LATERAL (SELECT unnest(range({parts})) AS part)),
+f AS (SELECT rid, row_number() OVER (ORDER BY vec_id, q) - 1 AS entry FROM k WHERE vec_id IS NOT NULL),
+c0 AS MATERIALIZED (SELECT part, entry, p AS e FROM p JOIN f USING (rid) WHERE entry < {entries}),{",".join(steps)},
+o AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY rid),
+h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS h FROM c{rounds})
+SELECT k.vec_id, o.code, o.error, CAST(sum(o.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, h.h AS codebooks_sha256
+FROM k JOIN o USING (rid), h
+"""
+
+
+#: CRC-32 of a feature, bit by bit, lowest bit of each byte first.
+_RESAMPLING_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (
+  SELECT coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM benchmark),
+fd AS (
+  SELECT rid, array_to_string(w[i : i + n - 1], ' ') AS f
+  FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (VALUES (1), (2), (3)) AS r(n))),
+fb AS (
+  SELECT array_to_string(w[i : i + n - 1], ' ') AS f
+  FROM (SELECT w, n, unnest(range(1, len(w) - n + 2)) AS i FROM b, (VALUES (1), (2), (3)) AS r(n))),
+u AS (SELECT DISTINCT f FROM (SELECT f FROM fd UNION ALL SELECT f FROM fb)),
+x AS (SELECT f, hex(encode(f)) AS h FROM u),
+y AS (
+  SELECT f, list_transform(range(4 * length(h)),
+    lambda i: ((instr('123456789ABCDEF', h[CAST(2 * (i // 8) + CASE WHEN i % 8 < 4 THEN 2 ELSE 1 END AS INT)])) >> CAST(i % 4 AS INT)) & 1) AS bits FROM x),
+z AS MATERIALIZED (
+  SELECT f, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(bits, lambda v: CAST(v AS BIGINT))),
+    lambda c, v: xor(c >> 1, 3988292384 * (xor(c, v) & 1))), 4294967295) % 10000 AS k FROM y),
+s AS (SELECT k, count(*) AS s FROM fd JOIN z USING (f) GROUP BY k),
+t AS (SELECT k, count(*) AS t FROM fb JOIN z USING (f) GROUP BY k),
+n AS (SELECT (SELECT count(*) FROM fd) AS ns, (SELECT count(*) FROM fb) AS nt),
+g AS (
+  SELECT s.k, CAST(floor(1000 * ln((coalesce(t.t, 0) + 1.0::DOUBLE) * (n.ns + 10000) / ((s.s + 1.0::DOUBLE) * (n.nt + 10000)))) AS BIGINT) AS gain
+  FROM n, s LEFT JOIN t ON t.k = s.k),
+w AS (SELECT rid, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM fd JOIN z USING (f) JOIN g USING (k) GROUP BY rid),
+a AS (
+  SELECT d.doc_id, len(d.w) AS words, coalesce(w.n_features, 0) AS n_features, coalesce(w.weight, 0) AS weight,
+    coalesce(w.weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('42:' || d.doc_id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN w USING (rid)),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY words >= 20 AND score IS NOT NULL ORDER BY score DESC, doc_id) AS place,
+    count(*) FILTER (words >= 20 AND score IS NOT NULL) OVER () AS able FROM a)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+  CASE WHEN words >= 20 AND score IS NOT NULL AND place <= 5 * able // 100 THEN CAST(place AS BIGINT) END AS rank FROM r
+"""
 ORACLE_SQL: dict[str, str] = {
     "op10_ngram_join": r"""
 WITH RECURSIVE d AS (
@@ -146,4 +238,6 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """,
+    "op11_vector_codes": _codes_sql(),
+    "op13_resampling": _RESAMPLING_SQL,
 }
