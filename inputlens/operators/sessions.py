@@ -95,8 +95,10 @@ def thin_moves(events: DataFrame, min_gap_s: float = 0.02) -> DataFrame:
     slots before only through the first one kept, which is among the times of the slot's first gap or the next one after.
     So each slot is summed up by the last time kept for every such beginning, the sums are chained by user, and
     each slot is thinned from its beginning. A task holds the distinct times of one slot of one user, or one user's sums.
-    Moves without a time stay; of moves at one time the first by position is kept."""
+    Moves without a time stay; of moves at one time the first by position is kept. A gap of 0 (to the microsecond) keeps all."""
     gap = round(min_gap_s * 1_000_000)
+    if gap <= 0:
+        return events
     slot_us = max(3_600_000_000, 100 * gap)
     moves = events.filter((F.col("type") == "move") & F.col("event_time").isNotNull()).withColumn("__us", F.unix_micros("event_time"))
     who = F.coalesce(F.concat(F.lit("u"), "user"), F.lit("n")).alias("__who")  # a null user is a user too

@@ -34,6 +34,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/inputlens-{name}-{uuid.uuid4().hex}"
 
 
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file if there is none of that name, and say whether it was written. It becomes visible whole, by a rename that
+    does not replace; of several writers one succeeds where the store's rename is atomic (HDFS, local), or its conditional puts are."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    store = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if store.exists(target):
+        return False
+    draft = hadoop.Path(target.getParent(), f"_{uuid.uuid4().hex}")  # readers pass over such names
+    out = store.create(draft, False)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    done = not store.exists(target) and store.rename(draft, target)
+    if not done:
+        store.delete(draft, False)
+    return done
+
+
 def conforming_files(spark: SparkSession, path: str) -> DataFrame:
     """path and ok of every part file below ``path``: ok if it can be read and its positions are integers.
 

@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from inputlens.functions.events import event_count_exprs
 from inputlens.operators.counts import minute_metrics
+from inputlens.schema import EVENT
 from inputlens.sources.events import decode, good
 
 #: How long after its end a minute still takes late events.
@@ -42,25 +44,89 @@ def live_sessions(events: DataFrame, gap_s: int = 300, lateness: str = LATENESS)
     return counted.select(F.unix_micros("w.start").alias("session_key"), "user", "session_start", "session_end", "window_count", "keystrokes", "words", "corrections", "clicks")
 
 
-def thin_moves_stream(events: DataFrame, min_gap_s: float = 0.02) -> DataFrame:
-    """Kept moves of a stream: state is each user's last kept time. Moves of one micro-batch are taken in order of
-    time; a move older than the last kept one is late and dropped."""
+#: Rows of a stream that wait for the watermark: times as microseconds, other columns as in ``EVENT``.
+_WAITING = T.StructType([T.StructField("us", T.LongType()), *EVENT.fields])
+
+
+class MoveThinner(StatefulProcessor):
+    """Thins one user's moves in the order of their times, whatever the order in which they come.
+
+    A move waits until the watermark has passed it; then no earlier one can come, and it is kept or dropped for good. State is the last
+    kept time and the moves that wait. A user that sends nothing for ``forget_s`` of event time is forgotten, which changes
+    nothing: no later move can be that close."""
+
+    def __init__(self, gap_us: int, forget_s: int):
+        self.gap_us, self.forget_ms = gap_us, max(forget_s * 1000, gap_us // 1000 + 1)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", _WAITING)
+        self.last = handle.getValueState("last", "us long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [r for pdf in rows for r in pdf[_WAITING.names].astype(object).where(pdf[_WAITING.names].notna(), None).itertuples(index=False, name=None)]
+        if new:
+            self.waiting.appendList(new)
+            # due when the watermark has passed the newest of them, whole milliseconds up
+            self.handle.registerTimer(max(r[0] for r in new) // 1000 + 1)
+        yield self.due(timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        out = self.due(now)
+        if not self.waiting.exists() and self.last.exists():
+            forget = self.last.get()[0] // 1000 + self.forget_ms
+            if now >= forget:
+                self.last.clear()
+            else:
+                self.handle.registerTimer(forget)
+        yield out
+
+    def due(self, watermark_ms: int) -> pd.DataFrame:
+        """What the watermark has passed, thinned."""
+        held = sorted(self.waiting.get() if self.waiting.exists() else [], key=lambda r: (r[0], _first(r[3]), _first(r[4])))
+        ready = [r for r in held if r[0] < watermark_ms * 1000]
+        if len(ready) < len(held):
+            self.waiting.put([tuple(r) for r in held[len(ready) :]])
+        elif held:
+            self.waiting.clear()
+        last = self.last.get()[0] if ready and self.last.exists() else None
+        kept = []
+        for r in ready:
+            if last is None or r[0] - last >= self.gap_us:
+                kept.append(r)
+                last = r[0]
+        if kept:
+            self.last.update((last,))
+        return pd.DataFrame([tuple(r) for r in kept], columns=_WAITING.names).astype({"us": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def _first(x: int | None) -> tuple:
+    """Order of a coordinate, null first."""
+    return (x is not None, x or 0)
+
+
+def thin_moves_stream(events: DataFrame, min_gap_s: float = 0.02, lateness: str = LATENESS, forget_s: int = 3600) -> DataFrame:
+    """Kept moves of a stream, as ``sessions.thin_moves`` keeps them of a table, if no move comes later than ``lateness``; what does is
+    dropped and counted in the query's progress. A move comes out once the watermark has passed it. A gap of 0 keeps all moves.
+
+    Needs the RocksDB state store (``rocksdb_state``)."""
     gap = round(min_gap_s * 1_000_000)
     moves = events.filter((F.col("type") == "move") & F.col("event_time").isNotNull())
+    if gap <= 0:
+        return moves.select(*EVENT.names, "event_time")
+    timed = moves.withWatermark("event_time", lateness).select("event_time", F.unix_micros("event_time").alias("us"), *EVENT.names)
+    thinned = timed.groupBy("user").transformWithStateInPandas(MoveThinner(gap, forget_s), _WAITING, "append", "eventTime")
+    return thinned.select(*EVENT.names, F.timestamp_micros("us").alias("event_time"))
+
 
-    def thin(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(batches).sort_values(["event_time", "x", "y"])
-        keep = []
-        for us in rows["event_time"].astype("datetime64[us, UTC]" if rows["event_time"].dt.tz else "datetime64[us]").astype("int64"):
-            kept = last is None or us - last >= gap
-            keep.append(kept)
-            last = us if kept else last
-        if last is not None:
-            state.update((last,))
-        yield rows[keep]
-
-    return moves.groupBy("user").applyInPandasWithState(thin, moves.schema, "last long", "append", GroupStateTimeout.NoTimeout)
+def rocksdb_state(spark: SparkSession) -> SparkSession:
+    """The session, with the state store that timers and lists of state need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return spark
 
 
 def start_sink(df: DataFrame, path: str, checkpoint: str, every: str | None = None, partition: str | None = None, name: str | None = None) -> StreamingQuery:
