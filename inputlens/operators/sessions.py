@@ -21,10 +21,10 @@ from inputlens.schema import COUNTS
 KEPT = ["window_start", "window_end", "user", *COUNTS]
 
 
-def islands(rows: DataFrame, first: Column, last: Column, gap_us: int, order: list[Column], name: str) -> DataFrame:
-    """Number each user's runs of rows from 1; a run ends where ``first`` is more than ``gap_us`` after the previous
-    row's ``last`` (both in microseconds)."""
-    by_user = Window.partitionBy("user").orderBy(*order)
+def islands(rows: DataFrame, first: Column, last: Column, gap_us: int, order: list[Column], name: str, by: list[str] | None = None) -> DataFrame:
+    """Number each user's runs of rows (or those of ``by``) from 1; a run ends where ``first`` is more than ``gap_us`` after the
+    previous row's ``last`` (both in microseconds)."""
+    by_user = Window.partitionBy(*(by or ["user"])).orderBy(*order)
     before = F.lag(last).over(by_user)
     starts = F.when(before.isNull() | (first - before > gap_us), 1).otherwise(0)
     running = by_user.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -286,7 +286,7 @@ ORACLE_SQL |= {
         """SELECT *, round(ln(1 + count) / ln(1 + max(count) OVER (PARTITION BY day, "user", type)), 6) AS intensity
 FROM hd WHERE cell_x BETWEEN 0 AND 62 AND cell_y BETWEEN 0 AND 43""",
     ),
-    "t8_paint_order": _sql(HEAT_DAY, "SELECT * FROM hd WHERE day = '2024-01-15' AND \"user\" = 'user-1' ORDER BY count, cell_x, cell_y LIMIT 100"),
+    "t8_paint_order": _sql(HEAT_DAY, "SELECT * FROM hd WHERE day = '2024-01-15' AND \"user\" = 'user-1' ORDER BY count, cell_x, cell_y"),
     "u1_human_counts": _sql(FEATURES, 'SELECT CAST(0 AS DOUBLE) AS label, "user", count(*) AS count' + HUMAN + ' GROUP BY "user"'),
     "u1_human_rows": _sql(FEATURES, f'SELECT "user", window_start, n_events, {FEATURE_LIST}, CAST(0 AS DOUBLE) AS label' + HUMAN),
     "read_metrics": _sql(M, "SELECT m.* FROM m, latest WHERE window_start >= t - INTERVAL 1440 MINUTE"),
@@ -333,3 +333,41 @@ FROM c, latest WHERE type IN ('move', 'click') AND event_time >= t - INTERVAL 24
     "k7_json_counts": _sql(FEATURES, 'SELECT "user", window_start, CAST(to_json({\'user\': "user", \'n_events\': n_events}) AS VARCHAR) AS record FROM ft'),
     "m5_split_share": _sql(FEATURES, "SELECT CAST(0 AS DOUBLE) AS label, count(*) AS n, TRUE AS a_quarter" + HUMAN),
 }
+
+#: Rounds of arrival, the newest event of all earlier rounds, and whether an event's minute had closed when it came.
+ARRIVED = """, ar AS (
+  SELECT *, least(2, CAST(floor((epoch_us(event_time) - lo) * 3 / (hi - lo + 1)) AS INT) + CASE WHEN event_id % 20 = 7 THEN 1 ELSE 0 END) AS round
+  FROM c, (SELECT min(epoch_us(event_time)) AS lo, max(epoch_us(event_time)) AS hi FROM c)),
+rn AS (SELECT round, max(event_time) AS newest, count(*) AS n, count(*) FILTER (event_id % 50 = 11) AS bad FROM ar GROUP BY round),
+cl AS (SELECT a.round, max(b.newest) AS before FROM rn a LEFT JOIN rn b ON b.round < a.round GROUP BY a.round),
+al AS (
+  SELECT ar.*, coalesce(date_trunc('minute', event_time) + INTERVAL 1 MINUTE <= before - INTERVAL 5 SECOND, FALSE) AS late
+  FROM ar JOIN cl USING (round))"""
+_MINUTES = f"SELECT {MINUTE} AS window_start, {MINUTE} + INTERVAL 1 MINUTE AS window_end, \"user\", {COUNTS} FROM al"
+
+ORACLE_SQL |= {
+    "r3_ingest_archive": _sql(
+        "",
+        """SELECT type, key, x, y, CASE WHEN type = 'click' THEN 'Button.left' END AS button, CASE WHEN type = 'click' THEN event_id % 2 = 0 END AS pressed,
+  CASE WHEN type = 'scroll' THEN CAST(k % 5 - 2 AS BIGINT) END AS dx, CASE WHEN type = 'scroll' THEN CAST(k % 3 - 1 AS BIGINT) END AS dy, "user", event_time,
+  event_id AS source_offset FROM c""",
+    ),
+    "r3_ingest_quarantine": _sql("", "SELECT 'no event ' || event_id AS raw, 1 AS source_partition, event_id AS source_offset FROM c WHERE event_id % 50 = 11"),
+    "r4_live_metrics": _sql(ARRIVED, f"{_MINUTES}, latest WHERE NOT late AND {MINUTE} + INTERVAL 1 MINUTE <= t - INTERVAL 5 SECOND GROUP BY ALL"),
+    "r4_missed": _sql(ARRIVED, f"{_MINUTES} WHERE late GROUP BY ALL"),
+    "r4_repaired": ORACLE_SQL["a2_minute_metrics"],
+    "r5_ledger": _sql(
+        ARRIVED + """, lt AS (
+  SELECT round, count(*) AS late FROM (SELECT DISTINCT round, date_trunc('minute', event_time), "user" FROM al WHERE late) GROUP BY round)""",
+        """SELECT CAST(round AS BIGINT) AS batch, n AS rows, bad, coalesce(late, 0) AS late, max(newest) OVER (ORDER BY round) AS newest
+FROM rn LEFT JOIN lt USING (round)""",
+    ),
+    "a3_incremental": ORACLE_SQL["a3_per_window"],
+    "a4_incremental": ORACLE_SQL["a4_sessions"],
+    "a5_merged": ORACLE_SQL["a5_baseline"],
+    "a6_from_hours": ORACLE_SQL["a6_range_heatmaps"],
+    "a7_incremental": ORACLE_SQL["a7_day_minute"],
+    "a8_incremental": ORACLE_SQL["a8_heatmap_day"],
+    "c14_stream": ORACLE_SQL["c14_thin_moves"].split("SELECT event_id, \"user\", event_time, type FROM c WHERE type <> 'move'")[0]
+    + """SELECT c."user", c.event_time, x, y FROM c JOIN kp ON kp."user" = c."user" AND kp.t = c.event_time WHERE type = 'move'""",
+}

@@ -12,18 +12,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from inputlens.functions.events import redacted_key
 from inputlens.functions.times import duration_minutes, parse_iso, staleness
 from inputlens.operators import counts, dashboard, features, heat, liveness, sessions
-from inputlens.plans import reads
+from inputlens.plans import arrivals, reads
 from inputlens.plans.batch import run_batch, run_liveness
 from inputlens.schema import ARCHIVED, SOURCE, Params
 from inputlens.sources.archive import read_archive, scratch
 from inputlens.sources.automation import automation_events
 from inputlens.sources.canonical import input_events
 from inputlens.sources.events import as_json, decode, good, normalised
-from inputlens.streaming import speed
+from inputlens.streaming import ingest, speed
 
 P0, P1 = {"gap_s": 300, "window_s": 60}, {"gap_s": 3600, "window_s": 3600}
 DAY, USER, TZ = "2024-01-15", "user-1", "UTC"
@@ -289,6 +290,53 @@ def _json_counts(t: Tables) -> DataFrame:
     return rows.select("user", "window_start", as_json(rows.select("user", "n_events")).alias("record"))
 
 
+def _once(name: str, make: Callable[[Tables], str]) -> Callable[[Tables, str], str]:
+    """A root that is made once for each session and folder."""
+
+    def root(t: Tables, sf_dir: str) -> str:
+        key = (t.spark.sparkContext.applicationId, f"{name} {sf_dir}")
+        if key not in _ROOTS:
+            _ROOTS[key] = make(t)
+        return _ROOTS[key]
+
+    return root
+
+
+_ingest_root = _once("ingest", lambda t: arrivals.ingested(t.spark, t.events))
+_grown_root = _once("grown", lambda t: arrivals.grown(t.spark, t.events, Params(), t.as_of))
+
+
+def _arrived(f: Callable[[Tables, str], DataFrame], root: Callable[[Tables, str], str]) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = Tables(spark, sf_dir)
+        return utc(f(t, root(t, sf_dir)))
+
+    return query
+
+
+def _ledger(rows: DataFrame) -> DataFrame:
+    """The ledger in order of batches, numbered without those that held nothing."""
+    order = Window.orderBy("batch")  # a row for each batch
+    return rows.select((F.row_number().over(order) - 1).cast("long").alias("batch"), "rows", "bad", "late", "newest")
+
+
+#: What the once-only ingest makes of events that arrive in rounds, and incremental batch runs of an archive that grows by them.
+ARRIVALS = {
+    "r3_ingest_archive": (_ingest_root, lambda t, root: ingest.archived(t.spark, root).select([c for c in ARCHIVED.names if c not in (SOURCE[0], "ts")])),
+    "r3_ingest_quarantine": (_ingest_root, lambda t, root: ingest.refused(t.spark, root)),
+    "r4_live_metrics": (_ingest_root, lambda t, root: ingest.metrics(t.spark, root)),
+    "r4_missed": (_ingest_root, lambda t, root: ingest.missed(t.spark, root)),
+    "r4_repaired": (_ingest_root, lambda t, root: ingest.repaired(t.spark, root)),
+    "r5_ledger": (_ingest_root, lambda t, root: _ledger(ingest.ledger(t.spark, root))),
+    "a3_incremental": (_grown_root, lambda t, root: reads.read_table(t.spark, root, "per_window")),
+    "a4_incremental": (_grown_root, lambda t, root: reads.read_table(t.spark, root, "sessions")),
+    "a5_merged": (_grown_root, lambda t, root: rounded(reads.baseline(t.spark, root).drop("computed_at"))),
+    "a6_from_hours": (_grown_root, lambda t, root: reads.read_table(t.spark, root, "heatmaps")),
+    "a7_incremental": (_grown_root, lambda t, root: reads.read_table(t.spark, root, "day_minute_metrics")),
+    "a8_incremental": (_grown_root, lambda t, root: reads.read_table(t.spark, root, "heatmap_by_day")),
+}
+
+
 def _detail(part: str) -> Callable[[Tables, str], DataFrame]:
     return lambda t, root: rounded(reads.day_detail(t.spark, root, DAY, USER, TZ)[part])
 
@@ -345,6 +393,7 @@ QUERIES = {
     "c10_redact": _with(_redacted),
     "c11_clip_intensity": _with(_clip),
     "c14_thin_moves": _with(lambda t: sessions.thin_moves(t.events, 3600).select("event_id", "user", "event_time", "type")),
+    "c14_stream": _with(lambda t: arrivals.thinned(t.spark, t.events, 3600).select("user", "event_time", "x", "y")),
     "f8_parse_iso": _with(_iso),
     "f11_live_minutes": _with(_live_minutes),
     "f14_staleness": _with(_staleness),
@@ -372,13 +421,13 @@ QUERIES = {
     "t6_day_sessions": _with(_day_sessions),
     "t7_default_user": _with(lambda t: dashboard.default_user(t.minutes())),
     "t9_latest_mix": _with(lambda t: rounded(dashboard.latest_mix(t.minutes()))),
-    "t8_paint_order": _with(lambda t: heat.painted(_one_day(heat.heatmap_by_day(t.events, TZ))).limit(100)),
+    "t8_paint_order": _with(lambda t: heat.painted(_one_day(heat.heatmap_by_day(t.events, TZ)))),
     "u1_human_counts": _with(_human_counts),
     "u1_human_rows": _with(_human_rows),
     "u1_labelled": _with(lambda t: rounded(t.labelled())),
     "w6_sitting": _with(lambda t: rounded(sessions.current_sitting(t.minutes(3600), t.as_of, 3600))),
     "w7_live": _with(_live),
-} | {name: _read(f) for name, f in READS.items()}
+} | {name: _read(f) for name, f in READS.items()} | {name: _arrived(f, root) for name, (root, f) in ARRIVALS.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

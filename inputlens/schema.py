@@ -31,7 +31,7 @@ ARCHIVED = T.StructType([
 COUNTS = ("keystrokes", "words", "corrections", "clicks")
 
 
-_KINDS = {"BIGINT": T.LongType(), "INT": T.IntegerType(), "STRING": T.StringType(), "DOUBLE": T.DoubleType(), "BOOLEAN": T.BooleanType(), "TIMESTAMP": T.TimestampType()}
+_KINDS = {"BIGINT": T.LongType(), "INT": T.IntegerType(), "STRING": T.StringType(), "DOUBLE": T.DoubleType(), "BOOLEAN": T.BooleanType(), "TIMESTAMP": T.TimestampType(), "DECIMAL": T.DecimalType(38, 0)}
 
 
 def _table(columns: str, *more: T.StructField) -> T.StructType:
@@ -54,7 +54,8 @@ TABLES = {
     "day_minute_metrics": _table(f"{_WINDOW}, {_FOUR}, mouse_moves BIGINT, day STRING"),
     "heatmap_by_day": _table("cell_x INT, cell_y INT, type STRING, user STRING, count BIGINT, day STRING"),
     "heatmaps": _table("cell_x INT, cell_y INT, type STRING, user STRING, count BIGINT, range STRING"),
-    "day_counts": _table("day STRING, n BIGINT"),
+    "slices": _table("slice STRING, version STRING"),
+    "files": _table("path STRING, bytes BIGINT, modified TIMESTAMP, ok BOOLEAN, first_us BIGINT, last_us BIGINT"),
     "liveness": _table("user STRING, day STRING, nonhuman BOOLEAN, score DOUBLE"),
     "model_report": _table(
         "accuracy DOUBLE, precision DOUBLE, recall DOUBLE, f1 DOUBLE, roc_auc DOUBLE, n_train BIGINT, n_test BIGINT, n_human BIGINT, "
@@ -65,6 +66,18 @@ TABLES = {
 }
 
 
+#: Roll-ups that a batch run keeps by slice.
+ROLLUPS = {
+    "minutes": _table(f"slice STRING, day STRING, at TIMESTAMP, user STRING, piece BIGINT, {_FOUR}, mouse_moves BIGINT, first_us BIGINT, last_us BIGINT"),
+    "cells": _table("slice STRING, day STRING, at TIMESTAMP, cell_x INT, cell_y INT, pointer STRING, user STRING, n BIGINT"),
+    "windows": _table(f"slice STRING, user STRING, piece BIGINT, window_start TIMESTAMP, window_end TIMESTAMP, {_FOUR}, first_us BIGINT, last_us BIGINT"),
+    "pieces": _table(
+        "slice STRING, user STRING, piece BIGINT, first_us BIGINT, last_us BIGINT, session_start TIMESTAMP, session_end TIMESTAMP, window_count BIGINT, "
+        + ", ".join([*(f"{c}_total BIGINT" for c in COUNTS), *(f"{c}_squares DECIMAL" for c in COUNTS)])
+    ),
+}
+
+
 @dataclass(frozen=True)
 class Params:
     """Parameters of a batch run; all times of day are in ``tz``."""

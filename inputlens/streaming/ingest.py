@@ -15,7 +15,7 @@ import json
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -138,15 +138,17 @@ class Ingest:
         writer = writer.partitionBy("event_date") if name == "events" else writer
         writer.parquet(f"{self.root}/{name}/epoch={self.epoch}/batch={batch}")
 
-    def commit(self, decoded: DataFrame, batch: int) -> None:
+    def counted(self, decoded: DataFrame) -> Row:
         newest = F.max(F.when(~F.col("bad"), F.unix_micros("event_time")))
-        n = decoded.agg(F.count_if(~F.col("bad")).alias("rows"), F.count_if(F.col("bad")).alias("bad"), newest.alias("newest")).first()
-        late = decoded.sparkSession.read.parquet(f"{self.root}/minutes/epoch={self.epoch}/batch={batch}").filter("late").count()
+        return decoded.agg(F.count_if(~F.col("bad")).alias("rows"), F.count_if(F.col("bad")).alias("bad"), newest.alias("newest")).first()
+
+    def commit(self, spark: SparkSession, batch: int, n: Row) -> None:
+        late = spark.read.parquet(f"{self.root}/minutes/epoch={self.epoch}/batch={batch}").filter("late").count()
         if n.newest is not None:
             self.newest = n.newest if self.newest is None else max(self.newest, n.newest)
         at = None if self.newest is None else (EPOCH + dt.timedelta(microseconds=self.newest)).isoformat(timespec="microseconds")
         row = {"epoch": self.epoch, "batch": batch, "rows": n["rows"], "bad": n.bad, "late": late, "newest": at}
-        create_once(decoded.sparkSession, f"{self.root}/ledger/{self.epoch}-{batch:012d}.json", json.dumps(row))
+        create_once(spark, f"{self.root}/ledger/{self.epoch}-{batch:012d}.json", json.dumps(row))
         self.last = batch
 
     def __call__(self, decoded: DataFrame, batch: int) -> None:
@@ -157,9 +159,11 @@ class Ingest:
             return
         decoded.persist()  # parsed once for all tables
         try:
-            for name, df in self.tables(decoded).items():
-                self.write(name, df, batch)
-            self.commit(decoded, batch)
+            n = self.counted(decoded)
+            if n["rows"] + n.bad:  # batches without rows only move the watermark on
+                for name, df in self.tables(decoded).items():
+                    self.write(name, df, batch)
+                self.commit(decoded.sparkSession, batch, n)
         finally:
             decoded.unpersist()
 

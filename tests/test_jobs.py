@@ -70,14 +70,18 @@ def test_live_sessions_equal_batch(spark, tmp_path):
 
 
 def test_stream_thinning_spans_batches(spark, tmp_path):
-    src = tmp_path / "in"
+    src, old = tmp_path / "in", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     src.mkdir()
-    for i, ts in enumerate([(0.0, 0.01, 0.02), (0.03, 0.045, 0.2)]):
-        (src / f"{i}.txt").write_text("\n".join(line(t, "move") for t in ts))
-        events = speed.decoded_events(spark.readStream.schema("value string").text(f"file://{src}"))
-        speed.start_sink(speed.thin_moves_stream(events), f"file://{tmp_path}/out", f"file://{tmp_path}/cp").awaitTermination()
+    speed.rocksdb_state(spark)
+    try:
+        for i, ts in enumerate([(1.0, 1.01, 1.02), (1.03, 1.045, 1.2), (100.0,)]):  # the last lets the watermark pass the others
+            (src / f"{i}.txt").write_text("\n".join(line(t, "move") for t in ts))
+            events = speed.decoded_events(spark.readStream.schema("value string").text(f"file://{src}"))
+            speed.start_sink(speed.thin_moves_stream(events), f"file://{tmp_path}/out", f"file://{tmp_path}/cp").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
     kept = sorted(r.ts for r in spark.read.parquet(f"file://{tmp_path}/out").collect())
-    assert kept == [0.0, 0.02, 0.045, 0.2]
+    assert kept == [1.0, 1.02, 1.045, 1.2]
 
 
 def test_supervision_stops_the_rest_and_logs_progress(spark, tmp_path):
@@ -141,7 +145,7 @@ def test_a_failing_table_changes_nothing(spark, tmp_path, monkeypatch):
     e = good(decode(spark.createDataFrame([(line(t),) for t in (1, 70, 80, 3000)], "value string")))
     e.write.parquet(source)
     batch.run_batch(spark, source, root)
-    names = ["per_window", "sessions", "baseline", "day_minute_metrics", "heatmap_by_day", "heatmaps", "day_counts"]
+    names = RESULTS
     rows = lambda: {n: sorted(map(str, archive.read_table(spark, root, n).collect())) for n in names}
     before, real = rows(), batch.write_version
 
@@ -160,20 +164,160 @@ def test_a_failing_table_changes_nothing(spark, tmp_path, monkeypatch):
     assert all(r != before[n] for n, r in rows().items())
 
 
-def test_incremental_days_equal_a_whole_run(spark, tmp_path):
+RESULTS = ["per_window", "sessions", "baseline", "day_minute_metrics", "heatmap_by_day", "heatmaps"]
+
+
+def results(spark, root):
+    near = lambda v: round(v, 9) if isinstance(v, float) else v
+    return {n: sorted(str([near(v) for v in r]) for r in archive.read_table(spark, root, n).collect()) for n in RESULTS}
+
+
+@pytest.fixture
+def slices_read(monkeypatch):
+    """Spans of the archive that runs have read events of."""
+    seen, real = [], batch.read_spans
+
+    def spied(spark, index, spans):
+        seen.append(spans)
+        return real(spark, index, spans)
+
+    monkeypatch.setattr(batch, "read_spans", spied)
+    return seen
+
+
+def some_events(spark, ts, user="u"):
+    kinds = ["move", "click", "key_down", "scroll", "move"]
+    rows = [(json.dumps({"type": kinds[(t * 7 + len(user)) % 5], "user": None if user == "none" else user, "ts": t, "x": t % 900, "y": t * 3 % 700, "key": " " if t % 4 else "a"}),) for t in ts]
+    return decode(spark.createDataFrame(rows, "value string")).withColumn("bad", F.col("event_time").isNull()).filter("NOT bad").drop("raw", "bad")
+
+
+DAY_S = 86_400
+
+
+@pytest.mark.parametrize("params", [Params(), Params(gap_s=100, window_s=3600, tz="Asia/Kolkata"), Params(gap_s=4000, window_s=420, tz="America/New_York")])
+def test_incremental_runs_equal_whole_ones(spark, tmp_path, slices_read, params):
+    """Days that gain, lose or change events at an equal number, that vanish, and sessions over midnight."""
+    source, root, whole = (f"file://{tmp_path}/{x}" for x in ("archive", "tables", "whole"))
+    folder = lambda name: f"{source}/{name}"
+    over_midnight = [*range(DAY_S - 500, DAY_S + 500, 37), *range(2 * DAY_S - 40, 2 * DAY_S + 40, 3)]
+    some_events(spark, over_midnight).unionByName(some_events(spark, range(1000, 1400, 11), "v")).write.parquet(folder("a"))
+    some_events(spark, [*range(5 * DAY_S, 5 * DAY_S + 900, 70)], "none").write.parquet(folder("b"))
+    some_events(spark, [*range(9 * DAY_S, 9 * DAY_S + 4000, 100)]).write.parquet(folder("c"))
+
+    def check(days):
+        slices_read.clear()
+        batch.run_batch(spark, source, root, params, incremental=True)
+        read = [(a // 1_000_000 // DAY_S, -(-b // 1_000_000 // DAY_S)) for a, b in slices_read[0]] if len(slices_read) > 1 else None
+        batch.run_batch(spark, source, whole, params)
+        assert results(spark, root) == results(spark, whole)
+        assert read is None if days is None else {d for a, b in read for d in range(a, b)} <= days
+
+    check(None)  # the first run is a whole one
+    check(set())  # nothing has changed
+    some_events(spark, [*range(5 * DAY_S + 300, 5 * DAY_S + 1200, 90)], "v").write.parquet(folder("late"))
+    check({4, 5, 6})
+    some_events(spark, [t + 3 for t in range(9 * DAY_S, 9 * DAY_S + 4000, 100)]).write.mode("overwrite").parquet(folder("c"))  # as many as before
+    check({8, 9, 10})
+    archive.delete(spark, folder("b"), folder("late"))  # the day is gone
+    check({4, 5, 6})
+    archive.delete(spark, folder("a"))  # the first days are gone, ordinals move
+    check({-1, 0, 1, 2, 3})
+
+
+def test_other_parameters_make_a_whole_run(spark, tmp_path):
     source, root, whole = (f"file://{tmp_path}/{x}" for x in ("archive", "tables", "whole"))
-    made = lambda ts: good(decode(spark.createDataFrame([(line(t, "move" if t % 3 else "click"),) for t in ts], "value string")))
-    made([*range(0, 200, 7), *range(90_000, 90_200, 9)]).write.parquet(source)
+    some_events(spark, range(0, 200_000, 977)).write.parquet(source)
+    batch.run_batch(spark, source, root, Params(tz="UTC"))
+    other = Params(tz="Asia/Kolkata", cell=32)
+    batch.run_batch(spark, source, root, other, incremental=True)
+    batch.run_batch(spark, source, whole, other)
+    assert results(spark, root) == results(spark, whole)
+
+
+def test_tables_equal_the_operators(spark, tmp_path):
+    """From roll-ups as from events, in a zone of half hours and with windows longer than the gap too."""
+    from inputlens.operators import counts, heat
+
+    events = some_events(spark, range(0, 300_000, 331)).unionByName(some_events(spark, range(7, 200_000, 4001), "none"))
+    events.write.parquet(f"file://{tmp_path}/archive")
+    for i, p in enumerate([Params(), Params(gap_s=60, window_s=3600, tz="Asia/Kolkata"), Params(gap_s=5000, window_s=3600, tz="Asia/Kolkata")]):
+        root = f"file://{tmp_path}/{i}"
+        batch.run_batch(spark, f"file://{tmp_path}/archive", root, p, guard=i != 1)
+        windows = sessions.per_window(events, p.gap_s, p.window_s)
+        newest = events.agg(F.max("event_time")).scalar()
+        want = {
+            "per_window": windows.drop("first_us"), "sessions": sessions.session_summary(windows), "baseline": sessions.user_baseline(windows, newest),
+            "day_minute_metrics": counts.day_minute_metrics(events, p.tz, p.window_s), "heatmap_by_day": heat.heatmap_by_day(events, p.tz, p.cell),
+            "heatmaps": heat.range_heatmaps(events, p.ranges, p.cell),
+        }
+        near = lambda v: round(v, 9) if isinstance(v, float) else v
+        for name, rows in results(spark, root).items():
+            columns = archive.TABLES[name].names
+            assert rows == sorted(str([near(v) for v in r]) for r in want[name].select(columns).collect()), name
+
+
+def test_ranges_read_events_of_one_hour_each(spark, tmp_path, slices_read):
+    source, root = f"file://{tmp_path}/archive", f"file://{tmp_path}/tables"
+    some_events(spark, range(0, 700_000, 777)).write.parquet(source)
     batch.run_batch(spark, source, root)
-    made([*range(90_300, 90_400, 5), *range(180_000, 180_050, 3)]).write.mode("append").parquet(source)
+    (spans,) = slices_read
+    assert len(spans) == len(Params().ranges) and all(0 < b - a <= 3_600_000_000 for a, b in spans)
+
+
+def test_index_spans_files(spark, tmp_path):
+    spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
+    try:
+        some_events(spark, [100, 200]).coalesce(1).write.parquet(f"file://{tmp_path}/micros")
+    finally:
+        spark.conf.unset("spark.sql.parquet.outputTimestampType")
+    some_events(spark, [300, 400]).coalesce(1).write.parquet(f"file://{tmp_path}/ts")
+    some_events(spark, [500]).withColumn("ts", F.lit(None).cast("double")).coalesce(1).write.parquet(f"file://{tmp_path}/dated/event_date=1970-01-01")
+    some_events(spark, [600]).withColumn("ts", F.lit(None).cast("double")).coalesce(1).write.parquet(f"file://{tmp_path}/none")
+    found = {n: archive.file_index(spark, f"file://{tmp_path}/{n}").first() for n in ("micros", "ts", "dated", "none")}
+    for n, a, b in (("micros", 100, 200), ("ts", 300, 400)):
+        assert abs(found[n].first_us - a * 1_000_000) <= 2 and abs(found[n].last_us - b * 1_000_000) <= 2
+    assert found["dated"].first_us < 0 < found["dated"].last_us < 3 * DAY_S * 1_000_000 and found["none"].first_us is None
+    index = archive.file_index(spark, f"file://{tmp_path}/ts")
+    assert archive.overlapping(index, [(0, 300_000_000 - 5)]).count() == 0 and archive.read_spans(spark, index, [(0, 350_000_000)]).count() == 1
+
+
+def test_two_publishers(spark, tmp_path):
+    """Of one table the second is told; of two tables both are seen; a run overtaken by another is made again."""
+    root, source = f"file://{tmp_path}/t", f"file://{tmp_path}/archive"
+    rows = spark.createDataFrame([("u", "1970-01-01", True, 0.5)], archive.TABLES["liveness"])
+    mine = archive.write_version(rows, root, "liveness")
+    assert archive.publish(spark, root, {"liveness": mine}, 0) == 1
+    with pytest.raises(archive.Stale):
+        archive.publish(spark, root, {"liveness": archive.write_version(rows, root, "liveness")}, 0)
+    assert archive.publish(spark, root, {"sessions": "v-x"}, 0) == 2 and archive.current(spark, root) == (2, {"liveness": mine, "sessions": "v-x"})
+    some_events(spark, range(0, 1000, 50)).write.parquet(source)
+    real, raced = batch.publish, []
+
+    def overtaken(spark, root, versions, base=None):
+        if not raced:
+            nothing = spark.createDataFrame([], archive.TABLES["sessions"])
+            raced.append(real(spark, root, {"sessions": archive.write_version(nothing, root, "sessions")}))
+        return real(spark, root, versions, base)
+
+    batch.publish = overtaken
+    try:
+        batch.run_batch(spark, source, f"file://{tmp_path}/raced")
+    finally:
+        batch.publish = real
+    assert archive.current(spark, f"file://{tmp_path}/raced")[0] == 2 and archive.read_table(spark, f"file://{tmp_path}/raced", "sessions").count() == 1
+
+
+def test_vacuum_keeps_what_newer_runs_name(spark, tmp_path):
+    source, root = f"file://{tmp_path}/archive", f"file://{tmp_path}/tables"
+    for day in range(4):
+        some_events(spark, range(day * DAY_S + 3600, day * DAY_S + 4100, 50)).write.mode("append").parquet(source)
+        batch.run_batch(spark, source, root, incremental=True)
+    before = results(spark, root)
+    assert archive.vacuum(spark, root, keep=1) > 0 and archive.numbered_files(spark, f"{root}/_runs") == [4]
+    assert results(spark, root) == before and len(list((tmp_path / "tables" / "sessions").iterdir())) == 1
+    assert len(list((tmp_path / "tables" / "rollups").iterdir())) == 4  # a version for each day, all still named
     batch.run_batch(spark, source, root, incremental=True)
-    batch.run_batch(spark, source, whole)
-    for n in ("day_minute_metrics", "heatmap_by_day", "day_counts"):
-        got, want = (sorted(map(str, archive.read_table(spark, r, n).collect())) for r in (root, whole))
-        assert got == want and got
-    counted = lambda rows: spark.createDataFrame(rows, "day string, n long")
-    changed = batch.changed_days(counted([("a", 2), ("b", 1), ("c", 1)]), counted([("a", 2), ("b", 5)]))
-    assert sorted(r.day for r in changed.collect()) == ["b", "c"]
+    assert results(spark, root) == before
 
 
 def test_liveness_job(spark, tmp_path):
