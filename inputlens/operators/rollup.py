@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inputlens.functions.events import CLICK, MOVE, cell, event_count_exprs, mouse_moves, sums
-from inputlens.functions.times import bucket, bucket_start, day_key, moment
+from inputlens.functions.times import bucket, bucket_start, local, moment
 from inputlens.operators.heat import pointed
 from inputlens.operators.sessions import islands
 from inputlens.schema import COUNTS
@@ -21,7 +21,9 @@ HOUR_S = 3600
 
 
 def sliced(events: DataFrame, window_s: int) -> DataFrame:
-    return events.withColumn("slice", day_key(bucket_start(bucket(F.col("event_time"), window_s), window_s), "UTC"))
+    """Events with their slice, a date."""
+    days = F.floor(bucket(F.col("event_time"), window_s) * window_s / F.lit(86_400)).cast("int")
+    return events.withColumn("slice", F.date_from_unix_date(days))
 
 
 def rolled_up(events: DataFrame, tz: str, window_s: int, cell_size: int, gap_s: int) -> DataFrame:
@@ -38,11 +40,11 @@ def rolled_up(events: DataFrame, tz: str, window_s: int, cell_size: int, gap_s:
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     minute = F.struct(F.lit("minutes").alias("kind"), at(window_s), none("int", "cell_x"), none("int", "cell_y"), none("string", "pointer"), piece.alias("piece"))
     hour = F.struct(F.lit("cells").alias("kind"), at(HOUR_S), cell("x", cell_size).alias("cell_x"), cell("y", cell_size).alias("cell_y"), F.col("type").alias("pointer"), none("long", "piece"))
-    both = F.explode(F.array_compact(F.array(minute, F.when(F.col("type").isin(MOVE, CLICK), hour)))).alias("to")
-    rows = events.select("slice", day_key(F.col("event_time"), tz).alias("day"), "user", "type", "key", us.alias("us"), both)
+    both = F.explode(F.array(minute, F.when(F.col("type").isin(MOVE, CLICK), hour))).alias("to")
+    rows = events.select("slice", local(F.col("event_time"), tz).cast("date").alias("day"), "user", "type", "key", us.alias("us"), both).filter("to IS NOT NULL")
     keys = ["to.kind", "slice", "day", "to.at", "user", "to.cell_x", "to.cell_y", "to.pointer", "to.piece"]
     counts = [*event_count_exprs(), mouse_moves(), F.count(F.lit(1)).alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us")]
-    return rows.groupBy(*keys).agg(*counts)
+    return rows.groupBy(*keys).agg(*counts).withColumn("day", F.col("day").cast("string"))
 
 
 def windows_of(minutes: DataFrame, gap_s: int, window_s: int) -> DataFrame:
@@ -125,11 +127,11 @@ def range_cells(cells: DataFrame, events: DataFrame, newest_us: int, ranges: dic
     hour."""
     edges = range_edges(newest_us, ranges)
     at, us = F.unix_micros("at"), F.unix_micros("event_time")
-    whole = F.array_compact(F.array(*[F.when(at >= first, F.lit(name)) for name, (_, first) in edges.items()]))
-    part = F.array_compact(F.array(*[F.when((us >= start) & (us < first), F.lit(name)) for name, (start, first) in edges.items()]))
+    whole = F.array(*[F.when(at >= first, F.lit(name)) for name, (_, first) in edges.items()])
+    part = F.array(*[F.when((us >= start) & (us < first), F.lit(name)) for name, (start, first) in edges.items()])
     hours = cells.select(F.explode(whole).alias("range"), "cell_x", "cell_y", F.col("pointer").alias("type"), "user", "n")
     rest = pointed(events, size).select(F.explode(part).alias("range"), "cell_x", "cell_y", "type", "user", F.lit(1).cast("long").alias("n"))
-    return hours.unionByName(rest).groupBy("range", "cell_x", "cell_y", "type", "user").agg(F.sum("n").alias("count"))
+    return hours.unionByName(rest).filter("range IS NOT NULL").groupBy("range", "cell_x", "cell_y", "type", "user").agg(F.sum("n").alias("count"))
 
 
 def newest_of(pieces: DataFrame) -> int | None:

@@ -162,9 +162,10 @@ def read_spans(spark: SparkSession, index: DataFrame, spans: list[tuple[int, int
     """Events of the spans, from the files that may hold them: no other is opened."""
     paths = [r.path for r in overlapping(index, spans).select("path").collect()]
     events = _parts(spark, *paths) if paths else spark.createDataFrame([], ARCHIVED)
-    us, inside = F.unix_micros("event_time"), F.lit(False)
+    inside = F.lit(False)
     for start, end in spans:
-        inside = inside | ((us >= start) & (us < end))
+        at = [F.timestamp_micros(F.lit(t).cast("long")) for t in (start, end)]
+        inside = inside | ((F.col("event_time") >= at[0]) & (F.col("event_time") < at[1]))
     return events.filter(inside)
 
 
@@ -177,9 +178,9 @@ def deduplicated(events: DataFrame, keys: list[str] | None = None, columns: list
     content = [c for c in ARCHIVED.names if c in events.columns and c not in SOURCE]
     if not set(SOURCE) <= set(events.columns):
         return events.dropDuplicates(content).select(columns)
+    # a position's rows are one event, so all columns may be keys: no sort, as keeping a first row of texts would take
     unplaced = F.when(F.col(SOURCE[1]).isNull(), F.struct(content))
-    named = events.select(*{*columns, *SOURCE}, unplaced.alias("__content"))
-    return named.dropDuplicates([*SOURCE, "__content"]).select(columns)
+    return events.select(*{*columns, *SOURCE}, unplaced.alias("__content")).distinct().select(columns)
 
 
 class Stale(RuntimeError):
