@@ -6,7 +6,8 @@ task that holds them. So leaves stay small at any number of rows, while what all
 
 A query walks the upper tree through a priority queue, the open node whose centre has the largest inner product with it
 first, until it has visited as many leaves as calibration asks for. In the trees below it opens nodes whose centre's
-product, divided by the query's length, reaches a level that calibration sets too. Calibration compares with exact
+product, divided by the query's length, reaches a level that calibration sets too, and goes on to the next best of them while
+they hold fewer rows than a result has. Calibration compares with exact
 neighbours, over all rows, of a bounded sample of queries, and widens visits and level until their recall is reached.
 
 Neighbouring leaves are searched together, a query bringing the list of those it visits, so that a query has one short
@@ -18,7 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inputlens.llm.common import written
+from inputlens.llm.common import matched, written
 
 #: Rows that the upper tree is fitted on at most (about), children of a node, rows of a leaf aimed at (in all trees),
 #: leaves of the upper tree at most.
@@ -161,12 +162,27 @@ class Lower:
             lower = tree.assign(x[rows]) if tree else np.zeros(len(rows), dtype=np.int32)
             self.trees.append((own, rows, tree, lower))
 
-    def visited(self, query: np.ndarray, leaves: set[int] | None, level: float) -> np.ndarray:
-        """Rows below the given upper leaves (all) in lower leaves that the level opens."""
-        out = []
+    def visited(self, query: np.ndarray, leaves: set[int] | None, level: float, others: np.ndarray, k: int) -> np.ndarray:
+        """Rows below the given upper leaves (all) in lower leaves that the level opens; and, while fewer than ``k`` of them are
+        ``others`` (a flag for each row of the block), in the next best lower leaves of all those trees, through one queue."""
+        out, queue, held = [], [], 0
         for own, rows, tree, lower in self.trees:
-            if leaves is None or own in leaves:
-                out.append(rows if tree is None else rows[np.isin(lower, tree.opened(query, level))])
+            if leaves is not None and own not in leaves:
+                continue
+            open_ = [] if tree is None else tree.opened(query, level)
+            some = rows if tree is None else rows[np.isin(lower, open_)]
+            out.append(some)
+            held += int(others[some].sum())
+            if tree is not None:
+                queue.append((tree, rows, lower, set(open_)))
+        if held < k and queue:
+            left = [(-near, t, leaf) for t, (tree, _, _, open_) in enumerate(queue) for leaf, near in enumerate(tree.level(query).tolist()) if leaf not in open_]
+            heapify(left)
+            while left and held < k:
+                _, t, leaf = heappop(left)
+                _, rows, lower, _ = queue[t]
+                out.append(rows[lower == leaf])
+                held += int(others[out[-1]].sum())
         return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
     def levels(self, query: np.ndarray, n: int) -> np.ndarray:
@@ -254,18 +270,21 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for row, own, v in zip(pdf["query_row"], pdf["vec_id"], matrix(pdf["embedding"], dims), strict=True):
+            for row, own, copies, v in zip(pdf["query_row"], pdf["vec_id"], pdf["copies"], matrix(pdf["embedding"], dims), strict=True):
                 seen = held = 0
                 visited: dict[int, list[int]] = {}
                 for leaf in shared.value.walk(v):
-                    if seen >= visits and held > k:
+                    if seen >= visits and held >= k + copies:
                         break
                     seen, held = seen + 1, held + sizes[leaf]
                     visited.setdefault(group[leaf], []).append(leaf)
                 out += [(row, own, v, leaves, g, b) for g, leaves in visited.items() for b in range(blocks[leaves[0]])]
             yield pd.DataFrame(out, columns=["query_row", "query_id", "query", "leaves", "group", "block"])
 
-    asked = dealt.filter(is_query).select(number.alias("query_row"), "vec_id", "embedding")
+    # rows of a query's own id are no candidates, so that many more are needed
+    asked = dealt.filter(is_query)
+    copies = asked.groupBy("vec_id").agg(F.count(F.lit(1)).alias("copies"))
+    asked = matched(asked, copies, ["vec_id"]).select(number.alias("query_row"), "vec_id", "embedding", "copies")
     asked = asked.mapInPandas(walk, "query_row long, query_id long, query array<double>, leaves array<int>, group long, block long")
 
     def scan(block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
@@ -275,7 +294,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
             ids, x, q = block["vec_id"].to_numpy(), matrix(block["embedding"], dims), matrix(queries["query"], dims)
             lower, norms = Lower(x, block["leaf"].to_numpy()), np.linalg.norm(x, axis=1)
             for i, (row, own, leaves) in enumerate(zip(queries["query_row"], queries["query_id"], queries["leaves"], strict=True)):
-                here = lower.visited(q[i], set(leaves.tolist()), level)
+                here = lower.visited(q[i], set(leaves.tolist()), level, ids != own, k)
                 rough = np.zeros(len(x))
                 rough[here] = x[here] @ q[i]
                 best, scores = nearest(ids, x, norms, q[i], rough, own, k, here)

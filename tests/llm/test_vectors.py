@@ -140,3 +140,18 @@ def test_tree_search_of_wide_norms(spark):
     exact = ann_tree.exact_scores(x, x[0])
     want = sorted((-exact[i], i) for i in range(1, 400))[:20]
     assert sorted((-r.score, r.vec_id) for r in got) == want
+
+
+@pytest.mark.parametrize("leaves", [8, 4096])
+def test_tree_search_never_returns_too_few(spark, monkeypatch, leaves):
+    """Queries away from all centres, opposite to them, of tiny and huge length, and ids that many rows share."""
+    monkeypatch.setattr(ann_tree, "UPPER_LEAVES", leaves)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(5000, 8)) + 6
+    rows = [(i * 20 + 1, v.tolist()) for i, v in enumerate(x)]
+    odd = [-x[0], -50 * x[1], 1e-9 * x[2], 1e9 * x[3], np.eye(8)[0] * 1e4, -np.eye(8)[1], rng.normal(size=8)]
+    queries = [(20 * (i + 1) * 1000, v.tolist()) for i, v in enumerate(odd)]
+    queries += [(20, x[5].tolist())] * 40  # one id, more rows than a result has
+    table = spark.createDataFrame(rows + queries, "vec_id long, embedding array<double>")
+    got = ann_tree.search(table, F.col("vec_id") % 20 == 0, k=20).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in got} == {q: 20 * (40 if q == 20 else 1) for q, _ in queries}
