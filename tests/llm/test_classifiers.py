@@ -205,3 +205,12 @@ def test_quality_learns_from_the_whole_sample(spark):
     model = quality_knn.fit(made, made.select("doc_id", "label"))
     assert 5700 < len(model.labels) < 6300 and len(model.labels) == len(model.vectors)
     assert 0.45 < model.labels.mean() < 0.55
+
+
+def test_toxicity_keeps_all_unlike_documents():
+    """At the full sample's size nothing goes by chance, and near copies count once."""
+    rng = np.random.default_rng(2)
+    docs = [([f"w{i}" for i in rng.integers(0, 3000, 60)], int(i % 2)) for i in range(8000)]
+    assert len(toxicity.Sample(docs).different()) == 8000
+    near = [(w[:30] + ["other"] + w[31:], y) for w, y in docs[:50]]  # similarity about 0.93
+    assert toxicity.Sample(docs[:500] + near + docs[:50] + [([], 0), ([], 1)]).different().tolist() == [*range(500), 600, 601]
