@@ -105,7 +105,11 @@ def calendar(ratings: DataFrame, liveness: DataFrame, as_of: Column, tz: str, we
     spine = ratings.select("user").distinct().select("user", dates.alias("date"), today.alias("__today"))
     spine = spine.withColumn("day", F.date_format("date", "yyyy-MM-dd"))
     flags = liveness.filter("nonhuman").select("user", "day").distinct().withColumn("nonhuman", F.lit(True))
-    cells = spine.join(ratings.select("user", "day", "total_minutes", "tier"), ["user", "day"], "left").join(flags, ["user", "day"], "left")
+    # a null user has days too
+    named = lambda t, n: t.withColumnsRenamed({"user": f"__user{n}", "day": f"__day{n}"})
+    same = lambda n: (F.col("day") == F.col(f"__day{n}")) & F.col("user").eqNullSafe(F.col(f"__user{n}"))
+    rated = named(ratings.select("user", "day", "total_minutes", "tier"), 1)
+    cells = spine.join(rated, same(1), "left").join(named(flags, 2), same(2), "left")
     return cells.select(
         "user", "day", F.coalesce("tier", F.lit(TIERS[0])).alias("tier"), F.coalesce("total_minutes", F.lit(0)).cast("long").alias("total_minutes"),
         F.coalesce("nonhuman", F.lit(False)).alias("nonhuman"), (F.col("date") > F.col("__today")).alias("is_future"),
@@ -139,7 +143,8 @@ def latest_mix(metrics: DataFrame) -> DataFrame:
 
 
 def z_scores(metrics: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Every window's counts in standard deviations from the user's mean; null where the deviation is null or 0."""
+    """Every window's counts in standard deviations from the user's mean; null where the deviation is null or 0. Windows without a
+    user have no rows."""
     joined = metrics.join(baseline.drop("computed_at"), "user")
     z = [((F.col(c) - F.col(f"{c}_mean")) / F.nullif(f"{c}_std", F.lit(0.0))).alias(f"{c}_z") for c in COUNTS]
     return joined.select("user", "window_start", *z)

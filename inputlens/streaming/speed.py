@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import StreamingQueryException
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from inputlens.functions.events import event_count_exprs
 from inputlens.operators.counts import minute_metrics
 from inputlens.schema import EVENT
+from inputlens.sources.archive import create_once
 from inputlens.sources.events import decode, good
 
 #: How long after its end a minute still takes late events.
@@ -193,3 +196,35 @@ class ProgressLog(StreamingQueryListener):
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.rows), self.SCHEMA)
+
+
+class ProgressTable(ProgressLog):
+    """Progress kept for good: rows go to files below ``root``, ``every`` so many and when a query ends; ``progress`` reads them. What a
+    killed driver had not written yet is lost, at most ``every`` rows."""
+
+    def __init__(self, spark: SparkSession, root: str, every: int = 50):
+        super().__init__(most=1 << 62)
+        self.spark, self.root, self.every = spark, root, every
+
+    def onQueryProgress(self, event) -> None:
+        super().onQueryProgress(event)
+        if len(self.rows) >= self.every:
+            self.flush()
+
+    def onQueryTerminated(self, event) -> None:
+        self.flush()
+
+    def flush(self) -> None:
+        rows, self.rows = self.rows, []
+        if rows:
+            names = [c.split()[0] for c in self.SCHEMA.split(", ")]
+            text = "\n".join(json.dumps(dict(zip(names, r, strict=True)), default=lambda t: t.isoformat(timespec="microseconds")) for r in rows)
+            create_once(self.spark, f"{self.root}/progress/{uuid.uuid4().hex}.json", text)
+
+
+def progress(spark: SparkSession, root: str) -> DataFrame:
+    """All progress that was written below ``root``, of every run; none before the first."""
+    try:
+        return spark.read.schema(ProgressLog.SCHEMA).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(f"{root}/progress")
+    except AnalysisException:
+        return spark.createDataFrame([], ProgressLog.SCHEMA)

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -103,7 +104,7 @@ def test_repeats_are_ingested_once_and_late_ones_counted(spark, tmp_path):
     for _ in range(50):
         if sum(r.dropped_late for r in log.table(spark).collect()):
             break
-        __import__("time").sleep(0.1)
+        time.sleep(0.1)
     assert sum(r.dropped_late for r in log.table(spark).collect()) == 1
     spark.streams.removeListener(log)
 
@@ -158,3 +159,21 @@ def test_stream_thinning_equals_batch_under_shuffled_arrival(spark, tmp_path, ga
 def test_no_gap_keeps_all_moves(spark):
     rows = spark.createDataFrame([(line(t, "move"),) for t in (1, 1, 2)], "value string")
     assert sessions.thin_moves(good(decode(rows)), 0).count() == 3 and sessions.thin_moves(good(decode(rows)), 1e-9).count() == 3
+
+
+def test_progress_outlives_the_listener(spark, tmp_path):
+    source, root = Source(spark, tmp_path), f"file://{tmp_path}/root"
+    assert speed.progress(spark, root).count() == 0
+    for k in range(2):
+        log = speed.ProgressTable(spark, root, every=1000)
+        spark.streams.addListener(log)
+        source.add([line(100 * k + 1), line(100 * k + 2)])
+        ingested(source, tmp_path)
+        for _ in range(100):
+            if speed.progress(spark, root).agg(F.sum("input_rows")).first()[0] == 2 * (k + 1):
+                break
+            time.sleep(0.1)
+        spark.streams.removeListener(log)
+    rows = speed.progress(spark, root).filter("input_rows > 0").collect()
+    assert sorted(r.input_rows for r in rows) == [2, 2] and {r.query for r in rows} == {"ingest"} and len({r.batch for r in rows}) == 2
+    assert all(r.at.year > 2000 and r.dropped_late == 0 for r in rows)

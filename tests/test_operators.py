@@ -184,6 +184,10 @@ def test_calendar(spark):
     flags = spark.createDataFrame([("u", "2024-01-29", True), ("u", "2024-01-30", False)], "user string, day string, nonhuman boolean")
     got = {r.day: r for r in dashboard.calendar(ratings, flags, F.lit("2024-01-30T12:00:00Z").cast("timestamp"), "UTC").collect()}
     assert len(got) == 56 and min(got) == "2023-12-11" and max(got) == "2024-02-04"
+    nobody = ratings.withColumn("user", F.lit(None).cast("string"))
+    late = F.lit("2024-01-30T12:00:00Z").cast("timestamp")
+    of_null = {r.day: r for r in dashboard.calendar(nobody, flags.withColumn("user", F.lit(None).cast("string")), late, "UTC").collect()}
+    assert of_null["2024-01-30"].tier == "standard" and of_null["2024-01-29"].nonhuman and len(of_null) == 56
     assert got["2024-01-30"].tier == "standard" and not got["2024-01-30"].is_future and got["2024-01-31"].is_future and got["2024-01-29"].nonhuman
 
 
