@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from inputlens.plans.batch import run_batch
 from inputlens.schema import ARCHIVED, EVENT, Params
+from inputlens.sources import segments
 from inputlens.sources.archive import scratch
 from inputlens.streaming import ingest, speed
 
@@ -82,3 +83,15 @@ def thinned(spark: SparkSession, events: DataFrame, min_gap_s: float) -> DataFra
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return spark.read.schema(rows.drop("arrival").schema).parquet(f"{root}/out").filter("user <> 'flush'")
 
+
+def logged(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """The archive of an ingest that has followed a log in segments, which grew twice: four partitions, events in order of their ids."""
+    root = scratch(spark, "log")
+    half = (events.agg(F.max("event_id")).first()[0] or 0) / 2
+    wire = events.withColumn("ts", F.unix_micros("event_time") / F.lit(1e6))
+    for part in (F.col("event_id") <= half, F.col("event_id") > half):
+        lines = wire.filter(part).select("event_id", F.to_json(F.struct("type", "key", "x", "y", "button", "pressed", "dx", "dy", "user", "ts")).alias("value"))
+        segments.append(lines, f"{root}/log", F.col("event_id") % 4, [F.col("event_id")])
+        stream = segments.log_stream(spark, f"{root}/log", "earliest", fail_on_loss=True)
+        ingest.start_ingest(stream, root, f"{root}/checkpoint", FOREVER, None).awaitTermination()
+    return ingest.archived(spark, root)

@@ -370,4 +370,9 @@ FROM rn LEFT JOIN lt USING (round)""",
     "a8_incremental": ORACLE_SQL["a8_heatmap_day"],
     "c14_stream": ORACLE_SQL["c14_thin_moves"].split("SELECT event_id, \"user\", event_time, type FROM c WHERE type <> 'move'")[0]
     + """SELECT c."user", c.event_time, x, y FROM c JOIN kp ON kp."user" = c."user" AND kp.t = c.event_time WHERE type = 'move'""",
+    "s1_log_stream": _sql(
+        "",
+        """SELECT type, "user", event_time, CAST(event_id % 4 AS INT) AS source_partition,
+  row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) - 1 AS source_offset FROM c""",
+    ),
 }

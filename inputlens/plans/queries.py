@@ -413,6 +413,7 @@ QUERIES = {
     "q_recent_metrics": _with(_recent),
     "r2_stream_metrics": _with(lambda t: _stream(t, speed.live_metrics)),
     "r10_stream_sessions": _with(lambda t: _stream(t, speed.live_sessions)),
+    "s1_log_stream": _with(lambda t: arrivals.logged(t.spark, t.events).select("type", "user", "event_time", *SOURCE)),
     "s2_decode": _with(_decoded),
     "s8_automation_events": _with(lambda t: automation_events(t.spark, max(1, math.ceil(t.features().count() / 20)))),
     "t1_newest_sessions": _with(lambda t: sessions.newest_sessions(t.sessions(P0))),
