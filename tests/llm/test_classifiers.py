@@ -214,3 +214,7 @@ def test_toxicity_keeps_all_unlike_documents():
     assert len(toxicity.Sample(docs).different()) == 8000
     near = [(w[:30] + ["other"] + w[31:], y) for w, y in docs[:50]]  # similarity about 0.93
     assert toxicity.Sample(docs[:500] + near + docs[:50] + [([], 0), ([], 1)]).different().tolist() == [*range(500), 600, 601]
+
+
+def test_numbers_that_are_no_letters_have_no_language():
+    assert [lang_id.canonical(t) for t in ("½ ²", "Ⅷ ٣ 12", "_ !", None)] == [b""] * 4 and lang_id.canonical("Aé1b²ñ") == "aé b ñ".encode()
