@@ -116,35 +116,6 @@ def test_evolution_beats_best_fit(spark):
     assert check_packed(packing.pack(made).collect(), 1024) <= 61
 
 
-def test_evolution_reaches_a_whole_group(spark):
-    """9,000 items of which best fit is more than 10 percent over the bound: within 2 percent of it."""
-    sizes = triplets(3000, 8)
-    fit = packing.Bins(sizes, 1024).fit(sorted(range(9000), key=lambda i: -sizes[i]))
-    made = spark.createDataFrame(list(enumerate(sizes)), "row_id long, length long").persist()
-    assert len(fit.items) > 3300 and check_packed(packing.pack(made).collect(), 1024) <= 3060
-
-
-def test_nests_hold_the_loose_bins_once():
-    sizes = [700] * 900 + [300] * 10
-    made = packing.Bins(sizes, 1024).fit(list(range(len(sizes))))
-    assert (packing.nests(made, (1,)) == -1).all() == (len(made.items) <= -(-sum(sizes) // 1024))
-    nest = packing.nests(made, (1,))
-    assert nest.max() == round(len(sizes) / packing.NEST_ITEMS) - 1 or nest.max() == 0
-    full = packing.Bins([1024, 512, 512], 1024).fit([0, 1, 2])
-    assert (packing.nests(full, (1,)) == -1).all()
-
-
-def test_second_level_never_unmakes_bins(spark):
-    """Bins that fit well, but not fully, meet again whole: there are no more of them afterwards."""
-    rng, sizes = np.random.default_rng(4), []
-    for _ in range(400):
-        a, b = rng.integers(260, 480, 2).tolist()
-        sizes += [a, b, 1020 - a - b]
-    made = spark.createDataFrame(list(enumerate(sizes)), "row_id long, length long")
-    assert check_packed(packing.pack(made).collect(), 1024) <= 408
-
-
-
 def test_crossover_keeps_every_item():
     rng = np.random.default_rng(3)
     sizes = rng.integers(200, 500, 300).tolist()
