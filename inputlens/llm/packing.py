@@ -8,9 +8,11 @@ now hold an item twice, exchanges items of loose bins for displaced ones that fi
 by best fit. Mutation empties some bins. Between epochs each island's elite migrates to the next island through
 a shuffle. A group that reaches the lower bound on bins is done.
 
-What evolves is a group's loose end: its least filled bins, as many as a bin less could be won from. Fuller bins stay as
-best fit made them. Bins that end exactly full are kept at the first level; the items of all others meet once more in new
-groups, so that waste does not add up by group.
+A group starts from the better of best fit and exact fill, which completes the largest item with up to three others to an
+exactly full bin where it can. A group with more bins than the lower bound evolves: all its bins with room, dealt into
+nests of bounded size, each with islands of its own; a few full bins join them where there is little else. The lower bound is
+Martello and Toth's, so that a group whose large items can't share bins is known to be done. Bins that end exactly full are
+kept at the first level; the items of all others meet once more in new groups, so that waste does not add up by group.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from inputlens.llm.common import json_encoding, written
 
 CAPACITY = 1024
-#: Items of a group; items that evolve (about); islands, epochs between migrations, individuals of an island, children of
+#: Items of a group; items of a nest (about); islands, epochs between migrations, individuals of an island, children of
 #: an epoch, size of a tournament.
 GROUP_ITEMS, LOOSE_ITEMS, ISLANDS, EPOCHS, POPULATION, CHILDREN, TOURNAMENT = 32_768, 600, 2, 3, 24, 120, 3
 #: Share of bins that are injected in a crossover, by falling fill; share of children that mutate; share of their bins emptied.
@@ -108,6 +110,59 @@ class Bins:
             self._offer(b)
         return self
 
+    def fill_exactly(self) -> Bins:
+        """Put all items in bins: the largest left, and up to three others that fill its bin exactly, largest first. Where
+        none do, the largest that fits joins it, and so on."""
+        capacity, whole = self.capacity, (1 << self.capacity + 1) - 1
+        left: list[list[int]] = [[] for _ in range(capacity + 1)]
+        for i in range(len(self.sizes) - 1, -1, -1):
+            left[self.sizes[i]].append(i)
+        sizes = mirror = 0  # bit s: an item of size s is left; bit capacity - s, the same
+        for s in range(capacity + 1):
+            if left[s]:
+                sizes, mirror = sizes | 1 << s, mirror | 1 << capacity - s
+
+        def take(s: int) -> int:
+            nonlocal sizes, mirror
+            i = left[s].pop()
+            if not left[s]:
+                sizes, mirror = sizes & ~(1 << s), mirror & ~(1 << capacity - s)
+            return i
+
+        def pair(room: int) -> tuple[int, int] | None:
+            """Two sizes that are left and sum up to ``room``, the first as large as can be."""
+            both = sizes & (mirror >> capacity - room) & ((1 << room) - 1)
+            while both:
+                a = both.bit_length() - 1
+                if 2 * a < room:
+                    return None
+                if 2 * a > room or len(left[a]) > 1:
+                    return a, room - a
+                both ^= 1 << a
+            return None
+
+        while sizes:
+            items = [take(sizes.bit_length() - 1)]
+            room = capacity - self.sizes[items[0]]
+            while room and (fitting := sizes & (whole >> capacity - room)):
+                largest = fitting.bit_length() - 1
+                found = (room,) if largest == room else pair(room)
+                while not found and fitting:
+                    a = fitting.bit_length() - 1
+                    if 3 * a < room:
+                        break
+                    i = take(a)
+                    rest = pair(room - a)
+                    left[a].append(i)
+                    sizes, mirror = sizes | 1 << a, mirror | 1 << capacity - a
+                    found = rest and (a, *rest)
+                    fitting ^= 1 << a
+                for a in found or (largest,):
+                    items.append(take(a))
+                    room -= a
+            self.add(items)
+        return self
+
     def score(self) -> tuple[int, int]:
         """Fewer bins first, then the larger sum of squared fills."""
         return len(self.items), -sum((self.capacity - r) ** 2 for r in self.room)
@@ -119,6 +174,18 @@ class Bins:
         return out
 
 
+def least_bins(sizes: list[int], capacity: int) -> int:
+    """Martello and Toth's lower bound on bins: for each size k, items that k does not fit beside have bins of their own,
+    larger ones than half have one each, and those from k to half a bin fill what room these leave, then further bins."""
+    held = np.bincount(np.asarray(sizes, dtype=np.int64), minlength=capacity + 1)
+    count, total = (np.concatenate([[0], np.cumsum(v)]) for v in (held, held * np.arange(capacity + 1)))
+    k, half = np.arange(capacity // 2 + 1), capacity // 2 + 1
+    alone = count[-1] - count[capacity - k + 1]
+    shared = count[capacity - k + 1] - count[half]
+    room = shared * capacity - (total[capacity - k + 1] - total[half])
+    return int((alone + shared + np.maximum(0, -((room - (total[half] - total[k])) // capacity))).max(initial=0))
+
+
 def from_assignment(sizes: list[int], capacity: int, bin_of: np.ndarray) -> Bins:
     made = Bins(sizes, capacity)
     order = np.argsort(bin_of, kind="stable")
@@ -196,7 +263,7 @@ def evolve(sizes: list[int], capacity: int, seed: tuple[int, ...], given: list[n
     """One epoch of an island, best individual first; ends early at the lower bound on bins.
 
     ``given`` are assignments to start from; best fit in falling order and in noisy orders fill up the population."""
-    least = -(-sum(sizes) // capacity)
+    least = least_bins(sizes, capacity)
     rng = np.random.default_rng(seed)
     population = [from_assignment(sizes, capacity, g) for g in given] or [Bins(sizes, capacity).fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]))]
     while len(population) < POPULATION and min(len(p.items) for p in population) > least:
@@ -214,17 +281,17 @@ def evolve(sizes: list[int], capacity: int, seed: tuple[int, ...], given: list[n
     return population
 
 
-def loose_end(made: Bins) -> np.ndarray:
-    """Numbers of the bins that evolve: the least filled ones, until they leave a bin's worth of room, and on to about
-    LOOSE_ITEMS items; none where the lower bound is reached."""
-    least = -(-sum(made.sizes) // made.capacity)
-    if len(made.items) <= least:
-        return np.zeros(0, dtype=np.int64)
-    order = np.argsort(-np.array(made.room), kind="stable")
-    room = np.cumsum(np.array(made.room)[order])
-    items = np.cumsum([len(made.items[b]) for b in order])
-    n = max(int(np.searchsorted(room, made.capacity)) + 1, int(np.searchsorted(items, LOOSE_ITEMS)) + 1)
-    return order[:n]
+def nests_of(made: Bins) -> np.ndarray:
+    """The nest of each bin, -1 for those that stay as they are. All bins with room evolve, and full ones where that leaves a nest
+    with fewer than about LOOSE_ITEMS items; none where the lower bound is reached. Neighbours by room go to different nests."""
+    nest = np.full(len(made.items), -1, dtype=np.int64)
+    if len(made.items) > least_bins(made.sizes, made.capacity):
+        order = np.argsort(-np.array(made.room), kind="stable")
+        items = np.cumsum([len(made.items[b]) for b in order])
+        n = max(int(np.count_nonzero(made.room)), int(np.searchsorted(items, LOOSE_ITEMS)) + 1)
+        evolving = order[:n]
+        nest[evolving] = np.arange(len(evolving)) % max(1, int(items[len(evolving) - 1]) // LOOSE_ITEMS)
+    return nest
 
 
 def _pack(items: DataFrame, level: int, capacity: int) -> DataFrame:
@@ -236,40 +303,44 @@ def _pack(items: DataFrame, level: int, capacity: int) -> DataFrame:
     def best_fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_id").reset_index(drop=True)
         sizes = pdf["length"].tolist()
-        made = Bins(sizes, capacity).fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]))
+        made = min(Bins(sizes, capacity).fit(sorted(range(len(sizes)), key=lambda i: -sizes[i])), Bins(sizes, capacity).fill_exactly(), key=Bins.score)
         pdf["__bin"] = made.assigned()
-        pdf["__loose"] = np.isin(pdf["__bin"], loose_end(made))
+        pdf["__nest"] = nests_of(made)[pdf["__bin"]]
         return pdf
 
     def island(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        group, own, epoch = int(key[0]), int(key[1]), int(pdf["__epoch"].iloc[0])
+        group, nest, own, epoch = int(key[0]), int(key[1]), int(key[2]), int(pdf["__epoch"].iloc[0])
         pdf = pdf.sort_values(["row_id", "__from"], kind="stable")
         home = pdf[pdf["__from"] == own].reset_index(drop=True)
         given = [p["__bin"].to_numpy() for _, p in pdf.groupby("__from")]
-        best = evolve(home["length"].tolist(), capacity, (level, group, own, epoch), given)[0]
+        best = evolve(home["length"].tolist(), capacity, (level, group, nest, own, epoch), given)[0]
         home["__bin"] = best.assigned()
         home["__bins"] = len(best.items)
         home["__epoch"] = epoch + 1
         return home
 
     fitted = items.withColumn("__group", F.pmod(F.xxhash64("row_id", F.lit(level)), F.lit(groups)))
-    fitted = fitted.groupBy("__group").applyInPandas(best_fit, f"{kinds}, __group long, __bin long, __loose boolean")
+    fitted = fitted.groupBy("__group").applyInPandas(best_fit, f"{kinds}, __group long, __bin long, __nest long")
     fitted = written(fitted, "fitted")
-    state = "row_id long, length long, __group long, __island int, __from int, __epoch int, __bin long, __bins long"
-    evolved = fitted.filter("__loose").select("row_id", "length", "__group", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("__island"), "__bin")
+    state = "row_id long, length long, __group long, __nest long, __island int, __from int, __epoch int, __bin long, __bins long"
+    own = ["__group", "__nest", "__island"]
+    loose = fitted.filter("__nest >= 0")
+    islands = F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("__island")
+    evolved = loose.select("row_id", "length", "__group", "__nest", islands, "__bin")
     evolved = evolved.withColumns({"__from": F.col("__island"), "__epoch": F.lit(0), "__bins": F.lit(0).cast("long")})
-    evolved = evolved.groupBy("__group", "__island").applyInPandas(island, state)
+    # few rows, much work: an own number of tasks, which Spark does not join by their bytes
+    evolved = evolved.repartition(groups * ISLANDS, *own).groupBy(own).applyInPandas(island, state)
     for _ in range(EPOCHS - 1):
         # an elite stays and moves on to the next island
         to = F.explode(F.array_distinct(F.array(F.col("__island"), (F.col("__island") + 1) % ISLANDS)))
         moved = evolved.withColumn("__from", F.col("__island")).withColumn("__island", to)
-        evolved = moved.groupBy("__group", "__island").applyInPandas(island, state)
+        evolved = moved.repartition(groups * ISLANDS, *own).groupBy(own).applyInPandas(island, state)
     evolved = evolved.select("row_id", "__island", "__bin", "__bins")
 
     def winner(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["__bins", "__island"], kind="stable").drop_duplicates("row_id")
-        # best islands come first in all their rows: every item of the loose end has its place there
-        pdf = pdf.assign(__bin=2 * pdf["__bin"] + pdf["__loose"])
+        # a nest's best island comes first in all its rows: every item of the nest has its place there
+        pdf = pdf.assign(__bin=pd.factorize(pd.Series(zip(pdf["__nest"], pdf["__bin"], strict=True)))[0])
         rows = pdf.sort_values(["__bin", "row_id"])
         ends = rows.groupby("__bin")["length"].cumsum()
         rows["offset"] = ends - rows["length"]
@@ -277,9 +348,8 @@ def _pack(items: DataFrame, level: int, capacity: int) -> DataFrame:
         rows["bin"] = (int(key[0]) << 20) + rows["__bin"]
         return rows[[*columns, "bin", "room", "offset"]]
 
-    firm = fitted.filter("NOT __loose").withColumns({"__island": F.lit(0), "__bins": F.lit(0).cast("long")})
-    loose = fitted.filter("__loose").drop("__bin").join(evolved, "row_id")
-    return firm.unionByName(loose).groupBy("__group").applyInPandas(winner, f"{kinds}, bin long, room long, offset long")
+    firm = fitted.filter("__nest < 0").withColumns({"__island": F.lit(0), "__bins": F.lit(0).cast("long")})
+    return firm.unionByName(loose.drop("__bin").join(evolved, "row_id")).groupBy("__group").applyInPandas(winner, f"{kinds}, bin long, room long, offset long")
 
 
 def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
