@@ -58,6 +58,15 @@ def test_one_parse_three_tables(spark, tmp_path):
     assert [(r["rows"], r.bad, r.late) for r in ingest.ledger(spark, root).orderBy("batch").collect()] == [(2, 2, 0), (3, 1, 1)]
 
 
+def test_a_day_has_one_file_of_a_batch(spark, tmp_path):
+    source, root = Source(spark, tmp_path), f"file://{tmp_path}/root"
+    source.add([line(86_400 * (k % 3) + k + 1) for k in range(60)])
+    ingested(source, tmp_path)
+    files = ingest.archived(spark, root).inputFiles()
+    assert ingest.archived(spark, root).count() == 60
+    assert sorted(f.split("event_date=")[1][:10] for f in files) == ["1970-01-01", "1970-01-02", "1970-01-03"]
+
+
 @pytest.mark.parametrize("place", ["quarantine", "minutes", "commit", "after"])
 def test_a_crash_anywhere_loses_nothing_and_repeats_nothing(spark, tmp_path, place):
     source, root = Source(spark, tmp_path), f"file://{tmp_path}/root"
