@@ -49,3 +49,10 @@ def test_day_flags_of_the_model(spark, forests):
         best[day] = max(best.get(day, 0.0), r.probability)
         over[day] = over.get(day, 0) + (r.probability >= 0.8)
     assert {((r.user, r.day), r.score, r.nonhuman) for r in flags} == {(d, round(p, 6), over[d] >= 2) for d, p in best.items()}
+
+
+def test_forests_read_events_once(spark):
+    """What a forest is fitted, split and judged on is read from tables of its own, not made of the events each time."""
+    t = queries.Tables(spark, SF)
+    assert all("inputlens-labelled" in f for f in t.labelled().inputFiles())
+    assert all("inputlens-features" in f for f in t.features().inputFiles()) and t.features() is t.features()
