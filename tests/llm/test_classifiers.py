@@ -218,3 +218,54 @@ def test_toxicity_keeps_all_unlike_documents():
 
 def test_numbers_that_are_no_letters_have_no_language():
     assert [lang_id.canonical(t) for t in ("½ ²", "Ⅷ ٣ 12", "_ !", None)] == [b""] * 4 and lang_id.canonical("Aé1b²ñ") == "aé b ñ".encode()
+
+
+def test_toxicity_counts_every_labelled_document(spark):
+    """Gathered counts give the models that all documents on one machine give, with a part left out or none."""
+    rng = random.Random(9)
+    rows = [(i, " ".join([rng.choice("abcdefgh") + "word" for _ in range(rng.randint(0, 12))] + ["you", "fool"] * (y and rng.random() < 0.7)), y) for i, y in enumerate([0, 1] * 60)]
+    made = spark.createDataFrame([(y, i % toxicity.PARTS, t) for i, t, y in rows], "label int, part int, text string")
+    gathered = toxicity.Gathered(made, 1.0)
+    sample = toxicity.Sample((toxicity.words_of(t), y) for _, t, y in rows)
+    for out in (None, 0, 2):
+        some = np.array([i for i, *_ in rows if i % toxicity.PARTS != out])
+        for discount in (1.0, 4.0, 9.0):
+            got, want = gathered.ratios(out, discount), toxicity.named(sample, toxicity.Counts(sample, some).tables(discount))
+            assert got.single == pytest.approx(want.single) and got.pair == pytest.approx(want.pair) and want.single
+
+
+def test_toxicity_reads_beyond_the_former_sample(spark):
+    """A word that is toxic in a few of many documents is learnt: 12,000 ordinary ones were more than the sample held."""
+    rng = np.random.default_rng(6)
+    text = [" ".join(f"w{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in rng.integers(0, 600, 12)) for _ in range(12_600)]
+    rows = [(i, t + " gronk gronk" * (i >= 12_000), int(i >= 12_000)) for i, t in enumerate(text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(4).persist()
+    every = toxicity.unlike(docs.select("doc_id", "label", "text"))
+    assert every.count() == 12_600
+    sizes = toxicity.Gathered(every.withColumn("part", F.lit(0)), 1.0)
+    assert dict(zip(sizes.words.tolist(), sizes.counts[toxicity.WORD][1, 0].tolist()))["gronk"] == 600
+    total = sum(len(set(t.split())) for _, t, y in rows if not y)  # numbers of documents by word, digits aside
+    assert sizes.totals[toxicity.WORD][0, 0] == total
+
+
+def test_toxic_words_are_known_by_their_beginnings(spark):
+    """Toxic words that never occur twice, but for how they begin."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(900):
+        w, toxic = words(rng, "aa", rng.randint(20, 60)), rng.random() < 0.3
+        for _ in range(3 * toxic):
+            w.insert(rng.randrange(len(w)), "zorbak" + "".join(rng.choice("abcdefgh") for _ in range(9)))
+        rows.append((i, " ".join(w), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int").persist()
+    model = toxicity.fit(docs.filter("doc_id % 3 <> 1"), docs.select("doc_id", "label"))
+    got = docs.filter("doc_id % 3 = 1").select("label", toxicity.predict(F.col("text"), model).alias("p")).collect()
+    assert sum((r.p >= 0.7) == r.label for r in got) >= 0.93 * len(got)
+
+
+def test_toxicity_counts_near_copies_once(spark):
+    rng = np.random.default_rng(3)
+    docs = [" ".join(f"w{i}" for i in rng.integers(0, 3000, 200)) for _ in range(300)]
+    rows = docs + docs[:100] + [d.replace(" ", " extra ", 1) for d in docs[100:200]] + ["", None]
+    made = spark.createDataFrame([(i, i % 2, t) for i, t in enumerate(rows)], "doc_id long, label int, text string")
+    assert 302 <= toxicity.unlike(made).count() <= 312
