@@ -232,6 +232,10 @@ def test_toxicity_counts_every_labelled_document(spark):
         for discount in (1.0, 4.0, 9.0):
             got, want = gathered.ratios(out, discount), toxicity.named(sample, toxicity.Counts(sample, some).tables(discount))
             assert got.single == pytest.approx(want.single) and got.pair == pytest.approx(want.pair) and want.single
+        ratios = [gathered.ratios(out, d) for d in (1.0, 4.0, 9.0)]
+        several = toxicity.Several(gathered, ratios)
+        for text in [*(t for _, t, _ in rows), "aword bwordless foolish you fool youthfool", ""]:
+            assert np.allclose(several.of(toxicity.words_of(text)), [r.of(toxicity.words_of(text)) for r in ratios])
 
 
 def test_toxicity_reads_beyond_the_former_sample(spark):
