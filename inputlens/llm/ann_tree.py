@@ -35,6 +35,8 @@ SAMPLE_ROWS, BRANCHES, LEAF_ROWS, UPPER_LEAVES = 65_536, 8, 16, 4096
 #: Queries of the calibration at most (about), recall that it must reach, rows of a searched block at most (about).
 CALIBRATION_QUERIES, RECALL, BLOCK_ROWS = 200, 0.94, 8192
 ROUNDS = 8
+#: Queries whose way through the upper tree is found at once.
+WALKED = 256
 
 
 @dataclass
@@ -76,6 +78,25 @@ class Tree:
             todo += [(kid, min(level, near[kid])) for kid in self.children[node]]
         return out
 
+    def order(self, queries: np.ndarray) -> np.ndarray:
+        """Leaves in best-bin-first order, a row for each query. A leaf's turn comes when the worst node on its way is the best open one,
+        so leaves go by that node's product; those behind the same node by their own."""
+        out = np.empty((len(queries), self.leaves), dtype=np.int32)
+        at = np.empty(self.leaves, dtype=np.int64)
+        for node, leaf in enumerate(self.leaf):
+            if leaf >= 0:
+                at[leaf] = node
+        for a in range(0, len(queries), WALKED):
+            near = self.centres @ queries[a : a + WALKED].T
+            worst = near.copy()
+            worst[0] = np.inf
+            for node, kids in enumerate(self.children):  # a node comes before its children
+                if kids:
+                    worst[kids] = np.minimum(worst[node], near[kids])
+            for i in range(near.shape[1]):
+                out[a + i] = np.lexsort((-near[at, i], -worst[at, i]))
+        return out
+
     def opened(self, query: np.ndarray, level: float) -> list[int]:
         """Leaves that best-bin-first search visits until the best open node is below the level; the first one always."""
         near = (self.centres @ unit(query)).tolist()
@@ -88,18 +109,6 @@ class Tree:
                 heappush(queue, (-near[kid], kid))
         return out
 
-    def walk(self, query: np.ndarray) -> Iterator[int]:
-        """Leaves, best bin first."""
-        queue = [(0.0, 0)]
-        while queue:
-            _, node = heappop(queue)
-            kids = self.children[node]
-            if not kids:
-                yield self.leaf[node]
-            else:
-                for near, kid in zip((self.centres[kids] @ query).tolist(), kids, strict=True):
-                    heappush(queue, (-near, kid))
-
 
 def unit(query: np.ndarray) -> np.ndarray:
     return query / np.linalg.norm(query)
@@ -161,10 +170,13 @@ class Lower:
             tree = grow(x[rows], max(1, len(rows) // LEAF_ROWS)) if len(rows) > 2 * LEAF_ROWS else None
             lower = tree.assign(x[rows]) if tree else np.zeros(len(rows), dtype=np.int32)
             self.trees.append((own, rows, tree, lower))
+        self.leaf, self.flat = leaf, all(tree is None for _, _, tree, _ in self.trees)
 
     def visited(self, query: np.ndarray, leaves: set[int] | None, level: float, others: np.ndarray, k: int) -> np.ndarray:
         """Rows below the given upper leaves (all) in lower leaves that the level opens; and, while fewer than ``k`` of them are
         ``others`` (a flag for each row of the block), in the next best lower leaves of all those trees, through one queue."""
+        if self.flat:  # no tree to open: all rows of the leaves
+            return np.arange(len(self.leaf)) if leaves is None else np.flatnonzero(np.isin(self.leaf, list(leaves)))
         out, queue, held = [], [], 0
         for own, rows, tree, lower in self.trees:
             if leaves is not None and own not in leaves:
@@ -270,15 +282,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for row, own, copies, v in zip(pdf["query_row"], pdf["vec_id"], pdf["copies"], matrix(pdf["embedding"], dims), strict=True):
-                seen = held = 0
-                visited: dict[int, list[int]] = {}
-                for leaf in shared.value.walk(v):
-                    if seen >= visits and held >= k + copies:
-                        break
-                    seen, held = seen + 1, held + sizes[leaf]
-                    visited.setdefault(group[leaf], []).append(leaf)
-                out += [(row, own, v, leaves, g, b) for g, leaves in visited.items() for b in range(blocks[leaves[0]])]
+            queries = matrix(pdf["embedding"], dims)
+            for row, own, copies, v, turn in zip(pdf["query_row"], pdf["vec_id"], pdf["copies"], queries, shared.value.order(queries), strict=True):
+                enough = int(np.searchsorted(np.cumsum(sizes[turn]), k + copies)) + 1
+                near = turn[: max(visits, enough)]
+                near = near[np.argsort(group[near], kind="stable")]
+                for leaves in np.split(near, np.flatnonzero(np.diff(group[near])) + 1):
+                    out += [(row, own, v, leaves, group[leaves[0]], b) for b in range(blocks[leaves[0]])]
             yield pd.DataFrame(out, columns=["query_row", "query_id", "query", "leaves", "group", "block"])
 
     # rows of a query's own id are no candidates, so that many more are needed
@@ -295,8 +305,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
             lower, norms = Lower(x, block["leaf"].to_numpy()), np.linalg.norm(x, axis=1)
             for i, (row, own, leaves) in enumerate(zip(queries["query_row"], queries["query_id"], queries["leaves"], strict=True)):
                 here = lower.visited(q[i], set(leaves.tolist()), level, ids != own, k)
-                rough = np.zeros(len(x))
-                rough[here] = x[here] @ q[i]
+                if i % WALKED == 0:
+                    products = x @ q[i : i + WALKED].T
+                rough = products[:, i % WALKED]
                 best, scores = nearest(ids, x, norms, q[i], rough, own, k, here)
                 found.append((np.full(len(best), row), np.full(len(best), own), ids[best], scores, np.full(len(best), len(here))))
         parts = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.zeros(0, t) for t in ("i8", "i8", "i8", "f8", "i8")]
@@ -334,8 +345,7 @@ def calibrate(dealt: DataFrame, is_query: Column, nq: int, tree: Tree, dims: int
     if not len(true):
         return tree.leaves, -math.inf
     place = np.zeros((len(queries), tree.leaves), dtype=np.int64)
-    for i, q in enumerate(queries):
-        place[i, list(tree.walk(q))] = np.arange(tree.leaves)
+    np.put_along_axis(place, tree.order(queries).astype(np.int64), np.arange(tree.leaves)[None, :], axis=1)
     needed = place[true["i"].to_numpy(), true["leaf"].to_numpy()] + 1
     level = true["level"].to_numpy()
     split = np.isfinite(level).any()  # without lower trees the visits alone decide

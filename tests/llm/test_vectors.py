@@ -155,3 +155,26 @@ def test_tree_search_never_returns_too_few(spark, monkeypatch, leaves):
     table = spark.createDataFrame(rows + queries, "vec_id long, embedding array<double>")
     got = ann_tree.search(table, F.col("vec_id") % 20 == 0, k=20).groupBy("query_id").count().collect()
     assert {r.query_id: r["count"] for r in got} == {q: 20 * (40 if q == 20 else 1) for q, _ in queries}
+
+
+def test_upper_leaves_come_best_bin_first():
+    """The order found for many queries at once is that of a search by a queue of open nodes, one query at a time."""
+    from heapq import heappop, heappush
+
+    rng = np.random.default_rng(4)
+    tree = ann_tree.grow(rng.normal(size=(600, 8)), 40)
+    queries = rng.normal(size=(ann_tree.WALKED + 9, 8))
+    for q, turn in zip(queries, tree.order(queries)):
+        near, queue, worst, seen = tree.centres @ q, [(0.0, 0)], np.inf, []
+        while queue:
+            p, node = heappop(queue)
+            worst = min(worst, -p) if node else np.inf
+            if not tree.children[node]:
+                seen.append((worst, tree.leaf[node]))
+            for kid in tree.children[node]:
+                heappush(queue, (-near[kid], kid))
+        # leaves found while the worst node so far is the same one may come in any order
+        place = {leaf: i for i, leaf in enumerate(turn.tolist())}
+        assert sorted(place) == list(range(tree.leaves))
+        groups = [[place[leaf] for w, leaf in seen if w == level] for level in sorted({w for w, _ in seen}, reverse=True)]
+        assert all(max(a) < min(b) for a, b in zip(groups, groups[1:]))
