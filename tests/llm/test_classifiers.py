@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from inputlens.llm import lang_id, quality_knn, toxicity
-from inputlens.llm.common import labelled_sample
+from inputlens.llm.common import labelled_sample, labelled_texts
 
 SYLLABLES = {"aa": ["th", "er", "in", "on", "an"], "bb": ["sch", "ung", "ei", "keit", "be"], "cc": ["ción", "que", "ado", "mi", "es"]}
 BAD = ["vilx", "vilxen", "gronk", "gronkish"]
@@ -273,3 +273,26 @@ def test_toxicity_counts_near_copies_once(spark):
     rows = docs + docs[:100] + [d.replace(" ", " extra ", 1) for d in docs[100:200]] + ["", None]
     made = spark.createDataFrame([(i, i % 2, t) for i, t in enumerate(rows)], "doc_id long, label int, text string")
     assert 302 <= toxicity.unlike(made).count() <= 312
+
+
+def test_toxicity_shuffles_labelled_texts_alone(spark):
+    """Texts without a label, and all texts once near copies are known, stay where they are; the rows are those of the rules."""
+    rows = [(i % 90, f"text {i % 90} of {i // 90}" if i % 7 else None) for i in range(180)] + [(None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 120, 3)] + [(3, 0), (None, 1), (7, None)], "doc_id long, label int")
+    made = labelled_texts(docs, F.broadcast(labels.filter("doc_id IS NOT NULL")))
+    want = {i: (i % 2, min((t for d, t in rows if d == i and t is not None), default=None)) for i in range(0, 90, 3)}
+    assert {r.doc_id: (r.label, r.text) for r in made.collect()} == want
+    aggregate, join = (made._jdf.queryExecution().optimizedPlan().toString().find(n) for n in ("min(text", "Join Inner"))
+    assert 0 <= aggregate < join  # the join is below
+    plan = toxicity.unlike(made)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftAnti" in plan and "LeftSemi" not in plan
+
+
+def test_reader_gives_the_ratios_of_every_text(monkeypatch):
+    """Words numbered and remembered, pairs of a word that only begins one, and more words than are remembered."""
+    monkeypatch.setattr(toxicity, "REMEMBERED", 3)
+    ratios = toxicity.Ratios({"one": 0.5, "two": -1.0}, {("one", "two"): 2.0, ("three", "two"): 3.0, ("one", "three"): 4.0}, {"fool": 0.7, "fooli": 0.9})
+    read = toxicity.Reader(ratios)
+    for text in ("one two three two foolish fools nothing one two", "", "two", "three one three two foo fool"):
+        assert read.of(text.split()).tolist() == ratios.of(text.split()).tolist()
