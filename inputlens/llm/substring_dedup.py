@@ -76,7 +76,7 @@ class Runs:
         return joined_hashes(self.words.hashes[1], self.first, self.first + self.n - 1 + self.window)
 
 
-RUN = "anchor long, one long, id long, hash long, at int, n int"
+RUN = "anchor long, one long, id long, hash long, at int, n int, met boolean"
 
 
 def packed_runs(rows: DataFrame, window: int, blocks: int) -> DataFrame:
@@ -123,7 +123,7 @@ _KINDS = dict(zip(PACKED, ["<u8", "<u8", "<i4", "<i4", "<i4", "<i8", "<i8"], str
 
 
 def _suspects(bits: np.ndarray, packed: pd.DataFrame) -> pd.DataFrame:
-    """The runs whose anchor is estimated to occur twice."""
+    """The runs whose anchor is estimated to occur twice; ``met`` are those that meet an equal one right here."""
     parts = []
     for values in packed[PACKED].itertuples(index=False):
         a = {c: np.frombuffer(v, _KINDS[c]) for c, v in zip(PACKED, values, strict=True)}
@@ -131,7 +131,8 @@ def _suspects(bits: np.ndarray, packed: pd.DataFrame) -> pd.DataFrame:
         row = a["row"][some]
         parts.append((a["anchor"][some].view("<i8"), a["one"][some].view("<i8"), a["id"][row], a["hash"][row], a["at"][some], a["n"][some]))
     columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, "i8")] * 6
-    return pd.DataFrame(dict(zip(("anchor", "one", "id", "hash", "at", "n"), columns, strict=True)))
+    runs = pd.DataFrame(dict(zip(("anchor", "one", "id", "hash", "at", "n"), columns, strict=True)))
+    return runs.assign(met=runs.duplicated(["anchor", "one"], keep=False).to_numpy(dtype=bool))
 
 
 def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -151,7 +152,9 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     runs = written(sketch.ask(packed_runs(rows, window, sketch.blocks_for(expected)), counted, _suspects, RUN), "runs")
     contents = runs.groupBy("anchor", "one").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "hash", "at", "n")).alias("some"))
     contents = written(contents, "contents")
-    whole = written(with_keys(runs, contents.filter("times > 1"), ["anchor", "one"], "times").select("id", "hash", "at", "n"), "whole")
+    # most copies have met in a block; only what is alone in its lot is looked up, of a key one row a lot at most
+    alone = runs.filter("NOT met").join(contents.filter("times > 1"), ["anchor", "one"], "left_semi")
+    whole = written(runs.filter("met").unionByName(alone).select("id", "hash", "at", "n"), "whole")
     # anchors with several different runs: one of each, to be compared by window
     several = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
     compared = with_keys(contents, several, ["anchor"], "times").groupBy("some.id", "some.hash").agg(F.collect_list(F.struct("some.at", "some.n")).alias("runs"))

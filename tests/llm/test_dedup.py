@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from inputlens.llm import common, sketch, substring_dedup
@@ -76,6 +77,18 @@ def test_few_single_keys_pass_at_any_size():
         assert some.min() >= 0 and some.max() < blocks
 
 
+def test_copies_are_known_where_they_meet(spark):
+    """A passage that every document holds is not looked up: of its runs none is alone."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, i, f"u{i} " * 3 + passage + f" v{i}" * 3) for i in range(400)]
+    made = spark.createDataFrame(rows, "id long, hash long, text string").repartition(4)
+    every = np.full(2 * sketch.CELLS // 8, 255, dtype=np.uint8)
+    runs = pd.concat([substring_dedup._suspects(every, p.toPandas()) for p in [substring_dedup.packed_runs(made, 35, 1)]])
+    assert runs["met"].dtype == bool and runs["met"].sum() >= 400
+    times = runs.groupby(["anchor", "one"])["id"].transform("size")
+    assert (runs["met"] == (times > 1)).all()
+
+
 def test_empty_table(spark):
     assert substring_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
