@@ -296,3 +296,30 @@ def test_reader_gives_the_ratios_of_every_text(monkeypatch):
     read = toxicity.Reader(ratios)
     for text in ("one two three two foolish fools nothing one two", "", "two", "three one three two foo fool"):
         assert read.of(text.split()).tolist() == ratios.of(text.split()).tolist()
+
+
+def test_words_are_the_runs_of_letters(monkeypatch):
+    """Every character between letters, by the pattern; texts of letters and ASCII alone take no pattern, which is slow."""
+    texts = [f"a{c}bA{c} {c} 1{c}_" for c in map(chr, range(0x110000))] + ["", None]
+    found = [toxicity.words_of(t) for t in texts]
+    assert found == [re.findall(r"[^\W\d_]+", (t or "").lower()) for t in texts]
+    monkeypatch.setattr(toxicity, "_LETTERS", None)
+    assert toxicity.words_of("It's 1_000 TIMES\x1e\tmás: Straße!\n") == ["it", "s", "times", "más", "straße"]
+
+
+def test_pairs_are_the_same_however_often_tasks_send(spark, monkeypatch):
+    """Counts of pairs do not depend on how much a task gathers, and documents without words or of one word have none."""
+    rng = random.Random(8)
+    rows = [(i % 2, i % 3, " ".join(rng.choice("abcdefgh") + "word" for _ in range(rng.randint(0, 9)))) for i in range(150)] + [(0, 0, None), (1, 1, "aword")]
+    made = spark.createDataFrame(rows, "label int, part int, text string").coalesce(2)
+    known = ["aword", "bword", "cword"]
+    want = {tuple(r) for r in toxicity.counted_pairs(made, known, 1.0).collect()}
+    pairs = Counter((y * toxicity.PARTS + k, p) for y, k, t in rows for w in [(t or "").split()] for p in set(zip(w, w[1:])))
+    after = Counter()
+    for (slot, (a, _)), n in pairs.items():
+        if a in known:
+            after[known.index(a), slot] += n
+    assert {(code, i): n for kind, code, *slots in want for i, n in enumerate(slots) if kind == toxicity.AFTER and n} == after
+    for name, size in (("GATHERED_PAIRS", 5), ("GATHERED", 3)):
+        monkeypatch.setattr(toxicity, name, size)
+        assert {tuple(r) for r in toxicity.counted_pairs(made, known, 1.0).collect()} == want
