@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from inputlens.operators import sessions
-from inputlens.plans import batch, reads
+from inputlens.plans import arrivals, batch, reads
 from inputlens.schema import EVENT, Params
 from inputlens.sources import archive
 from inputlens.sources.automation import ANCHOR, AWAKE_KEYS, CADENCE, DISTANCES, PATTERNS, TYPER_KEYS, automation_events
@@ -388,3 +388,21 @@ def test_automation_shares_and_patterns(spark):
         assert fits or not walked
         seen |= {n for n, _ in fits}
     assert seen == set(PATTERNS)
+
+
+def test_growing_archive_reads_the_events_twice(spark, monkeypatch):
+    """Events are read for their span and to be written, not again for each round that arrives; a run sees the rounds up to its own."""
+    rows = [(i, "u", dt.datetime(2024, 1, 1 + i // 10, 1, i % 10)) for i in range(60)]
+    events = spark.createDataFrame(rows, "event_id long, user string, event_time timestamp").coalesce(1)
+    seen, found = spark.sparkContext.accumulator(0), []
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(arrivals, "run_batch", lambda spark, path, *_, **__: found.append({r.source_offset for r in archive.read_archive(spark, path)[0].collect()}))
+    arrivals.grown(spark, events.mapInArrow(counted, events.schema), Params(), F.lit(None))
+    rounds = {r.event_id: r.round for r in arrivals.in_rounds(events).collect()}
+    assert found == [{i for i, k in rounds.items() if k <= last} for last in range(arrivals.ROUNDS)]
+    assert seen.value == 2 * len(rows)
